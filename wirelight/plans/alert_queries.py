@@ -48,7 +48,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.select(F.to_json(page).alias("value"))
 
 
-_B = "CAST(regexp_replace(p_brand, '[^0-9]', '') AS INTEGER)"
+_B = "CAST(substr(p_brand, 7) AS INTEGER)"
 _ALERT_THREATS = f"""(SELECT DISTINCT l_orderkey, p_brand AS id, CASE WHEN {_B} % 9 <> 0 THEN {_B} % 6 ELSE 0 END AS sev,
  CASE WHEN {_B} % 9 <> 0 THEN concat('Threat | ', p_brand) ELSE '' END AS title, CASE WHEN {_B} % 9 <> 0 THEN {_B} % 2 = 0 ELSE false END AS policy
  FROM lineitem JOIN part ON l_partkey = p_partkey)"""

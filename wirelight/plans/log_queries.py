@@ -166,7 +166,7 @@ def named(spark: SparkSession, sf: str) -> DataFrame:
     return _us(registry.parse(lines, "syslog-named", "dns").select("ts", "srcIP", "proto", "query", "qtype"), "ts")
 
 
-@query("s09_edge_dns", f"SELECT epoch_ms(ts) * 1000 AS ts, \"srcIP\", proto, concat(\"query\", '.') AS \"query\", qtype FROM {view_sql('dns')}")
+@query("s09_edge_dns", f"SELECT epoch_us(ts) // 1000 * 1000 AS ts, \"srcIP\", proto, concat(\"query\", '.') AS \"query\", qtype FROM {view_sql('dns')}")
 def edge(spark: SparkSession, sf: str) -> DataFrame:
     records = view(spark, sf, "dns").select(
         F.unix_millis("ts").alias("time"), F.col("srcIP").alias("source"), F.concat("query", F.lit(".")).alias("query"),

@@ -59,7 +59,7 @@ def tailed(spark: SparkSession, sf: str) -> DataFrame:
     out = work_dir(spark, "tail")
     tail_to_events(spark, _landed(eve_dns_lines(spark, sf), "landing"), "suricata", "dns", GROUPS, f"{out}/data", f"{out}/checkpoint",
                    once=True, horizon="1 millisecond").awaitTermination()
-    return spark.read.text(f"{out}/data")
+    return spark.read.text(f"{out}/data").select("value")
 
 
 @query("s18_tail_stream", f"SELECT \"srcIP\", count(*) AS entries, CAST(sum(\"bytesCount\") AS BIGINT) AS bytes FROM (SELECT *, {_SCOPE_IP} FROM {view_sql('conn')}) WHERE keep GROUP BY \"srcIP\"")
@@ -120,7 +120,7 @@ def remembered(spark: SparkSession, sf: str) -> DataFrame:
 @query("t04_horizon_dedup", f"SELECT DISTINCT \"srcIP\", qtype, \"query\" FROM {view_sql('chatter')}")
 def remembered_longer(spark: SparkSession, sf: str) -> DataFrame:
     """First question of each key within a horizon longer than the data."""
-    stream = horizon_dedup(_stream(spark, sf, CHATTER), ["srcIP", "qtype", "query"], "100 days")
+    stream = horizon_dedup(_stream(spark, sf, CHATTER), ["srcIP", "qtype", "query"], "100 days", late="100 days")
     return _drain(stream, "horizon").select("srcIP", "qtype", "query")
 
 
@@ -154,7 +154,7 @@ def requeued(spark: SparkSession, sf: str) -> DataFrame:
         except Exception:
             if attempt == 2:
                 raise
-    return spark.read.text(f"{out}/data")
+    return spark.read.text(f"{out}/data").select("value")
 
 
 @query("t07_dead_letter", f"SELECT sensor AS source_file, count(*) AS letters FROM {view_sql('dns')} WHERE (1024 + event_id % 60000) % 10 = 0 GROUP BY sensor")

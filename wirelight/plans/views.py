@@ -112,10 +112,10 @@ ALERT_EVENT = {
 THREAT = {
     "id": "p_brand",
     "title": "concat('Threat | ', p_brand)",
-    "severity": "CAST(regexp_replace(p_brand, '[^0-9]', '') AS INT) % 6",
-    "policy": "CAST(regexp_replace(p_brand, '[^0-9]', '') AS INT) % 2 = 0",
+    "severity": "CAST(substr(p_brand, 7) AS INT) % 6",
+    "policy": "CAST(substr(p_brand, 7) AS INT) % 2 = 0",
 }
-KNOWN_THREAT = "CAST(regexp_replace(p_brand, '[^0-9]', '') AS INT) % 9 <> 0"
+KNOWN_THREAT = "CAST(substr(p_brand, 7) AS INT) % 9 <> 0"
 
 _TABLES = {"conn": "lineitem", "dns": "events", "chatter": "events", "http": "pages", "alert": "orders"}
 _VIEWS = {"conn": CONN, "dns": DNS, "chatter": CHATTER, "http": HTTP, "alert": ALERT_EVENT}

@@ -64,7 +64,9 @@ def stateful_dedup(rows: DataFrame, group: str, order: list[str], key: list[str]
         seen = deque(state.get[0] if state.exists else [], maxlen=LOOK_BACK)
         for part in parts:
             part = part.sort_values(order, kind="stable")
-            yield part[keep_unlike_recent(seen, part["_key"])][names]
+            kept = part[keep_unlike_recent(seen, part["_key"])]
+            if len(kept):
+                yield kept[names]
         state.update((list(seen),))
 
     state = T.StructType([T.StructField("kept", T.ArrayType(T.StringType()))])
@@ -73,9 +75,16 @@ def stateful_dedup(rows: DataFrame, group: str, order: list[str], key: list[str]
     ).drop("_key")
 
 
-def horizon_dedup(rows: DataFrame, key: list[str], horizon: str = "30 seconds") -> DataFrame:
-    """First row of each key within the horizon; partitioned by key, state expires."""
-    return rows.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(key)
+def horizon_dedup(
+    rows: DataFrame, key: list[str], horizon: str = "30 seconds", late: str = "1 hour"
+) -> DataFrame:
+    """First row of each key per horizon-long slot of event time, over all batches.
+
+    Partitioned by key and slot, state expires after ``late``; rows that come
+    later than that behind the newest one are dropped by the watermark.
+    """
+    slotted = rows.withColumn("_slot", F.window("ts", horizon)["start"]).withWatermark("ts", late)
+    return slotted.dropDuplicatesWithinWatermark([*key, "_slot"]).drop("_slot")
 
 
 def tail_to_events(
@@ -92,16 +101,16 @@ def tail_to_events(
 ) -> StreamingQuery:
     """Log files landing in a folder -> scoped, de-duplicated entries as JSON lines.
 
-    Formats read line by line run as one streaming plan; Zeek logs, whose lines
-    need their file's header, are read per batch of whole files.
+    A micro-batch is the flush buffer: repeats of a DNS query within the horizon
+    are suppressed inside it.  Formats read line by line whose rows need no such
+    step run as one streaming plan.  Zeek lines need their file's header, so their
+    batches are read again as whole files.
     """
     fmt = get_format(log_format)
     # a batch of whole files is read again by name, so its number of files is bounded
     lines = stream_lines(spark, landing, None if fmt.stateless else FILES_PER_BATCH)
-    if fmt.stateless and dead_letter_path is None:
+    if fmt.stateless and event_type != "dns" and dead_letter_path is None:
         rows = in_scope(parse(lines, log_format, event_type, on_error="skip"), event_type, groups)
-        if event_type == "dns":
-            rows = horizon_dedup(rows, ["srcIP", "qtype", "query"], horizon)
         text = to_entry(rows, event_type).select(entry_json(event_type).alias("value"))
         return text.writeStream.format("text").option("path", out).option(
             "checkpointLocation", checkpoint
