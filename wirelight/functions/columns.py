@@ -45,3 +45,8 @@ def derive_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     record = F.struct(*[expr.alias(name) for name, expr in columns.items()])
     # the projection shares common sub-expressions, the generator is the barrier
     return df.select(*kept, record.alias("_once")).select(*kept, F.inline(F.array("_once")))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Work out all columns here, once, whatever is filtered or derived later."""
+    return derive_once(df, {name: F.col(name) for name in df.columns})

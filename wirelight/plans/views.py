@@ -121,9 +121,20 @@ _TABLES = {"conn": "lineitem", "dns": "events", "chatter": "events", "http": "pa
 _VIEWS = {"conn": CONN, "dns": DNS, "chatter": CHATTER, "http": HTTP, "alert": ALERT_EVENT}
 
 
+def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, spread over the cores when it has fewer files than there are cores.
+
+    One small file is one row group, hence one task; a large table has files
+    enough and is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame."""
-    table = spark.read.parquet(f"{sf_dir}/{_TABLES[name]}.parquet")
+    table = read_table(spark, sf_dir, _TABLES[name])
     return table.selectExpr(*[f"{expr} AS {column}" for column, expr in _VIEWS[name].items()])
 
 

@@ -11,8 +11,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone to UTC; every timestamp in the engine is UTC."""
+    """Session settings: UTC timestamps, and no generated method the JIT refuses.
+
+    HotSpot never compiles methods over 8000 bytes of bytecode.  With the limit
+    set, Spark falls back to split-up projections for the few operators that wide
+    text parsing would push over it.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

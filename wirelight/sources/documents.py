@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wirelight import schemas
 from wirelight.functions import documents as d
-from wirelight.functions.columns import all_of, derive_once
+from wirelight.functions.columns import all_of, derive_once, settle
 from wirelight.functions.ip import with_ip_keys
 from wirelight.functions.times import rfc3339
 from wirelight.sources.search_config import LOOK_BACK, Search
@@ -126,7 +126,7 @@ def decode(found: DataFrame, search: Search) -> DataFrame:
         dest.alias("_dst"), *[expr.alias(name) for name, expr in _entry_columns(kind, paths).items()],
     )
     rows = with_ip_keys(
-        picked, {"srcKey": "_src", "destKey": "_dst"}, {"srcKey": "srcIP", "destKey": "destIP"}
+        settle(picked), {"srcKey": "_src", "destKey": "_dst"}, {"srcKey": "srcIP", "destKey": "destIP"}
     )
     needed = {"dns": ["query"], "ip": ["destKey"], "http": ["url"], "tls": []}[kind]
     rows = rows.where(all_of([F.col(c).isNotNull() for c in ["ts", "srcKey", *needed]]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelight.functions.columns import settle
 from wirelight.functions.ip import with_ip_keys
 
 ERROR = "_error"
@@ -43,7 +44,7 @@ def finish(rows: DataFrame, ips: dict[str, str], error: Column, on_error: str) -
     """
     keys = {name.removesuffix("IP") + "Key": raw for name, raw in ips.items()}
     canonical = {name.removesuffix("IP") + "Key": name for name in ips}
-    rows = with_ip_keys(rows, keys, canonical).withColumn(ERROR, error)
+    rows = with_ip_keys(settle(rows), keys, canonical).withColumn(ERROR, error)
     rows = rows.drop(*ips.values())
     if on_error == "keep":
         return rows

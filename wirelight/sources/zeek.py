@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from wirelight.functions import values as v
 from wirelight.functions.columns import derive_once
 from wirelight.functions.times import zeek_epoch
-from wirelight.operators.lookup import lookup_join
+from wirelight.operators.lookup import lookup_join, materialise
 from wirelight.operators.networks import BROADCAST_LIMIT
 from wirelight.sources.lines import RAW, finish, first_error
 
@@ -88,7 +88,8 @@ def _headers_by_file(lines: DataFrame, names: list[str]) -> DataFrame:
 
 def zeek_rows(lines: DataFrame, names: list[str]) -> DataFrame:
     """Data lines with ``parts`` (split text) and ``header`` (version in force, or NULL)."""
-    headers = _headers_by_file(lines, names)
+    # header lines are looked up in one pass over the text and kept as a small table
+    headers = materialise(_headers_by_file(lines, names), "headers")
     data = lines.withColumn("_line", v.trim_space("value")).where(
         (F.col("_line") != "") & ~F.col("_line").startswith("#")
     )
