@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelight.functions.names import (
-    is_domain_name, name_suffixes, pattern_name, trusted_by, valid_pattern,
-)
+from wirelight.functions.names import name_suffixes, pattern_name, trusted_by, valid_pattern
 from wirelight.operators.lookup import lookup_join
 from wirelight.operators.networks import BROADCAST_LIMIT, LITERAL_LIMIT
 
-__all__ = ["domain_table", "domain_hits", "domain_join", "drop_trusted", "is_domain_name"]
-
 
 def domain_table(patterns: DataFrame, pattern: str, *tags: str) -> DataFrame:
     """(name, below, tags...) of valid entries; ``below`` marks ``*.`` entries."""

@@ -57,8 +57,8 @@ def dead_letters(bad: DataFrame, event_type: str, day: Column | None = None) ->
     )
 
 
-def write_dead_letters(letters: DataFrame, path: str) -> None:
-    letters.write.mode("append").partitionBy("event_type", "day").parquet(path)
+def write_dead_letters(letters: DataFrame, path: str, mode: str = "append") -> None:
+    letters.write.mode(mode).partitionBy("event_type", "day").parquet(path)
 
 
 def replay_dead_letters(spark: SparkSession, path: str, event_type: str) -> DataFrame:

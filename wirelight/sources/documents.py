@@ -14,7 +14,6 @@ from wirelight import schemas
 from wirelight.functions import documents as d
 from wirelight.functions.columns import all_of, derive_once, settle
 from wirelight.functions.ip import with_ip_keys
-from wirelight.functions.times import rfc3339
 from wirelight.sources.search_config import LOOK_BACK, Search
 
 HIT = "_id string, _source variant, fields map<string,array<string>>"
@@ -138,8 +137,3 @@ def valid_ip(rows: DataFrame, ip: str) -> DataFrame:
     """Rows whose address parses."""
     return with_ip_keys(rows, {"_k": ip}).where(F.col("_k").isNotNull()).select(*rows.columns)
 
-
-__all__ = [
-    "decode", "ingested_after", "land_hits", "must_exist", "newest_ingested", "page", "rfc3339",
-    "search", "term_filter", "valid_ip",
-]

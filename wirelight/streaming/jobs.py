@@ -131,7 +131,8 @@ def tail_to_events(
             kept = dedup_horizon(kept, ["srcIP", "qtype", "query"], [], horizon)
         publish(to_entry(kept, event_type), event_type, out, batch_id)
         if dead_letter_path is not None:
-            write_dead_letters(dead_letters(bad, event_type), f"{dead_letter_path}/batch_id={batch_id}")
+            letters = dead_letters(bad, event_type)
+            write_dead_letters(letters, f"{dead_letter_path}/batch_id={batch_id}", mode="overwrite")
 
     return lines.writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint
