@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -17,11 +19,33 @@ def configure(spark: SparkSession) -> SparkSession:
     set, Spark falls back to split-up projections for the few operators that wide
     text parsing would push over it.
     """
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives executors this package, once per application.
+
+    Without it Python functions only run where the executors happen to find the
+    package, such as in the driver's own folder.
+    """
+    context, name = spark.sparkContext, __package__.partition(".")[0]
+    if getattr(context, "_shipped", None) != name:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = f"{tempfile.mkdtemp(prefix=name)}/{name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(root):
+                for file in files:
+                    if file.endswith(".py"):
+                        path = os.path.join(folder, file)
+                        out.write(path, os.path.join(name, os.path.relpath(path, root)))
+        context.addPyFile(archive)
+        context._shipped = name
+    return spark
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory for checkpoints and intermediate tables.
 
