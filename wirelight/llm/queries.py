@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelight.llm import decontaminate, html_text, mixing, ngram_jaccard, permutation_index, quality, secrets, warc
+from wirelight.llm import decontaminate, html_text, licenses, mixing, ngram_jaccard, permutation_index, private_data, quality, secrets, warc
 from wirelight.llm.workspace import Workspace
 
 
@@ -19,6 +19,15 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return private_data.scan(docs, private_data.train(docs))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
 def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark)
     root = space.path("archives")
@@ -58,7 +67,9 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
+    "op2_personal_data": personal_data,
     "op3_warc_archive": warc_archive,
+    "op4_license_scan": license_scan,
     "op5_nearest_vectors": nearest_vectors,
     "op6_secret_scan": secret_scan,
     "op7_decontamination": decontamination,
