@@ -15,7 +15,10 @@ summed over the fragments and held against the threshold. Nothing is estimated.
    components and whose sizes and positions allow the threshold is verified. Pairs
    inside a component needn't be: no component is lost, and groups of copies are
    never expanded into all pairs.
-4. Candidates travel as arrays per set and verification block, not as rows.
+4. Verification first counts over the prefixes alone: a pair whose prefixes share
+   too little can't reach the threshold. Only for what is left the whole sets go
+   to the fragments.
+5. Candidates travel as arrays per set and verification block, not as rows.
 
 Equal sets are one class, so exact copies cost one row each.
 """
@@ -38,7 +41,8 @@ CELLS = 1 << 20  # of the sketch: 4 MB on every executor, whatever the input
 CELL_ROWS = 64
 BUCKET = 400_000  # postings a bucket, on average and at most for one shingle
 BLOCK = 50_000  # sets a verification block
-FRAGMENT = 1_000_000  # shingles a fragment, on average
+FRAGMENTS = 16
+SHORT_LIST = 32
 BROADCAST_IDS = 2_000_000  # 16 bytes each
 
 
@@ -155,6 +159,22 @@ def _prefixes(docs: DataFrame, order, buckets: int, size: int, percent: int) ->
     return docs.mapInArrow(run, "bucket int, shingle binary, at binary, place binary, klass binary, n binary")
 
 
+def _has_partner(shingle, n, place, percent: int) -> np.ndarray:
+    """Postings that may link with another of their list; in lists beyond SHORT_LIST all do for now."""
+    keep = np.zeros(len(shingle), dtype=bool)
+    for step in range(1, SHORT_LIST + 1):
+        like = np.flatnonzero(shingle[step:] == shingle[:-step])
+        if not len(like):
+            break
+        ok = like[_may_link(n[like], n[like + step], place[like], place[like + step], percent)] if step < SHORT_LIST else like
+        keep[ok] = keep[ok + step] = True
+    if len(shingle) > SHORT_LIST:
+        first = np.r_[True, shingle[1:] != shingle[:-1]]
+        long = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > SHORT_LIST
+        keep |= long
+    return keep
+
+
 def _shared(percent: int):
     """A bucket's postings of shingles that two classes have (y NULL), and pairs of neighbours in their lists (y set)."""
 
@@ -170,10 +190,7 @@ def _shared(percent: int):
         keep = np.ones(len(by), dtype=bool)
         keep[1:] = (shingle[1:] != shingle[:-1]) | (klass[1:] != klass[:-1])
         shingle, klass, n, place = shingle[keep], klass[keep], n[keep], place[keep]
-        like = shingle[1:] == shingle[:-1]
-        keep = np.zeros(len(shingle), dtype=bool)
-        keep[1:] |= like
-        keep[:-1] |= like
+        keep = _has_partner(shingle, n, place, percent)
         shingle, klass, n, place = shingle[keep], klass[keep], n[keep], place[keep]
         found = []
         for turn in range(3):
@@ -210,22 +227,27 @@ def _across(percent: int):
     return run
 
 
-def _segments(docs: DataFrame, order, fragments: int, size: int) -> DataFrame:
-    """Each class's shingles cut at the pivots of the global order: (klass, n, fragment, segment)."""
+def _segments(docs: DataFrame, order, size: int, percent: int, whole: bool) -> DataFrame:
+    """Each class's shingles, or those of its prefix, cut at the pivots of the global order: (klass, n, fragment, segment)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, before, share = order.value.pivots(fragments)
+        places, sent = order.value, set()
+        values, before, share = places.pivots(FRAGMENTS)
         for _, texts in _texts(batches, 500):
             out = []
             for s in shingle_sets(texts, size):
-                if not len(s):
+                number, n = set_number(s), len(s)
+                if not n or number in sent:
                     continue
-                at = np.searchsorted(values, order.value.of(s))
-                fragment = np.minimum((before[at] + share[at] * (s.astype(np.float64) / 2.0**64)).astype(np.int64), fragments - 1)
+                if len(sent) < 1_000_000:
+                    sent.add(number)
+                if not whole:
+                    s = np.sort(places.sort(s)[: prefix_length(n, percent)])
+                at = np.searchsorted(values, places.of(s))
+                fragment = np.minimum((before[at] + share[at] * (s.astype(np.float64) / 2.0**64)).astype(np.int64), FRAGMENTS - 1)
                 by = np.argsort(fragment, kind="stable")
-                number = set_number(s)
                 for rows in np.split(by, np.flatnonzero(np.diff(fragment[by])) + 1):
-                    out.append((number, len(s), int(fragment[rows[0]]), s[rows].tobytes()))
+                    out.append((number, n, int(fragment[rows[0]]), s[rows].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["klass", "n", "fragment", "segment"])
 
@@ -258,37 +280,53 @@ def _partial(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["x", "n", "block", "ys", "sizes", "comps", "counts"])
 
 
-def _sum_pairs(percent: int):
-    """Sums the counts of each pair over the fragments; of an x's links, one into each component."""
+def _sum_pairs(percent: int, whole: bool):
+    """Sums the counts of each pair over the fragments.
+
+    Over whole sets the pairs that reach the threshold, one into each component;
+    over prefixes those that still can: what the prefix with the nearer end lacks
+    is lost, so the overlap is at most the count and the longer rest.
+    """
 
-    def finish(held: list) -> list[tuple[int, int]]:
-        x, n = held[0][0], held[0][1]
-        ys, sizes, comps, counts = (np.concatenate([np.frombuffer(h[i], dtype=np.int64) for h in held]) for i in (2, 3, 4, 5))
+    def finish(held: list) -> np.ndarray:
+        n = held[0][0]
+        ys, sizes, comps, counts = (np.concatenate([np.frombuffer(h[i], dtype=np.int64) for h in held]) for i in (1, 2, 3, 4))
         y, first, at = np.unique(ys, return_index=True, return_inverse=True)
-        total = np.bincount(at, weights=counts).astype(np.int64)
-        linked = 100 * total >= percent * (n + sizes[first] - total)
-        _, one = np.unique(comps[first][linked], return_index=True)
-        return [(x, int(v)) for v in y[linked][one]]
+        total, m = np.bincount(at, weights=counts).astype(np.int64), sizes[first]
+        if not whole:
+            rest = np.maximum(n - prefix_length(n, percent), m - prefix_length(m, percent))
+            return y[(100 + percent) * (total + rest) >= percent * (n + m)]
+        linked = 100 * total >= percent * (n + m - total)
+        return y[linked][np.unique(comps[first][linked], return_index=True)[1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key, out = [], None, []
+
+        def close() -> None:
+            if held and len(ys := finish(held)):
+                out.append((*key, ys))
+            held.clear()
+
+        def made() -> pa.RecordBatch:
+            rows = [pa.array([o[i] for o in out], k) for i, k in enumerate([pa.int64(), pa.int32(), pa.list_(pa.int64())])]
+            out.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["x", "block", "ys"])
+
         for batch in batches:
-            out = []
-            for x, block, n, *rest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (x, block) != key and held:
-                    out += finish(held)
-                    held = []
-                key = (x, block)
-                held.append((x, n, *rest))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
-        out = finish(held) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+            for x, block, *rest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (x, block) != key:
+                    close()
+                    key = (x, block)
+                held.append(rest)
+            yield made()
+        close()
+        yield made()
 
     return run
 
 
-def _links(probes: DataFrame, segments: DataFrame, blocks: int, percent: int) -> DataFrame:
-    """Links (a, b) among the candidates (x, block, ys)."""
+def _counted(probes: DataFrame, segments: DataFrame, blocks: int, percent: int, whole: bool) -> DataFrame:
+    """Those of the candidates (x, block, ys) that pass, in the same form; `segments` has a component for each class."""
     own = segments.select(F.col("klass").alias("x"), F.col("n").alias("size"), F.col("fragment").alias("part"), F.col("segment").alias("own"))
     left = probes.join(own, "x").select("part", "block", "x", "size", "own", "ys")
     right = segments.select("fragment", F.pmod("klass", F.lit(blocks)).cast("int").alias("block"), "klass", "n", "component", "segment")
@@ -296,7 +334,7 @@ def _links(probes: DataFrame, segments: DataFrame, blocks: int, percent: int) ->
         _partial, "x long, n long, block int, ys binary, sizes binary, comps binary, counts binary"
     )
     dealt = counted.select("x", "block", "n", "ys", "sizes", "comps", "counts").repartition("x", "block").sortWithinPartitions("x", "block")
-    return dealt.mapInArrow(_sum_pairs(percent), "a long, b long")
+    return dealt.mapInArrow(_sum_pairs(percent, whole), "x long, block int, ys array<long>")
 
 
 def _by_block(pairs: DataFrame, blocks: int) -> DataFrame:
@@ -330,16 +368,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = space.keep(packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared(percent), "shingle long, klass long, n long, place long, y long"), "shared")
     shared = both.where("y IS NULL").select("shingle", "klass", "n", "place")
     involved = space.keep(shared.select("klass").distinct().join(classes.select("klass", "n", "least"), "klass"), "involved")
-    count, shingles = involved.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    blocks, fragments = 1 + count // BLOCK, max(12, 1 + shingles // FRAGMENT)
-
-    ids = involved.select(F.col("least").alias("_least"))
-    ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
-    segments = space.keep(_segments(docs.join(ids, F.col("id").eqNullSafe(F.col("_least")), "left_semi"), order, fragments, size), "segments")
+    blocks = 1 + involved.count() // BLOCK
+    prefix_parts = space.keep(_segments(_only(docs, involved), order, size, percent, False), "prefixes")
+
+    def links(candidates: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+        likely = space.keep(_counted(candidates, prefix_parts.join(comps, "klass"), blocks, percent, False), f"likely{name}")
+        named = likely.select(F.col("x").alias("klass")).union(likely.select(F.explode("ys"))).distinct()
+        chosen = space.keep(named.join(involved, "klass").select("klass", "least"), f"chosen{name}")
+        segments = space.keep(_segments(_only(docs, chosen), order, size, percent, True), f"segments{name}")
+        found = _counted(likely, segments.join(comps, "klass"), blocks, percent, True)
+        found = space.keep(found.select(F.col("x").alias("a"), F.explode("ys").alias("b")), f"links{name}")
+        space.drop(f"likely{name}", f"chosen{name}", f"segments{name}")
+        return found
 
     near = both.where("y IS NOT NULL").select(F.col("klass").alias("x"), F.array("y").alias("ys"))
-    links = space.keep(_links(_by_block(near, blocks), segments.withColumn("component", F.col("klass")), blocks, percent), "links1")
-    grouped = space.keep(connected(links, space, "star1-"), "components1")
+    found = links(_by_block(near, blocks), involved.select("klass", F.col("klass").alias("component")), "1")
+    grouped = space.keep(connected(found, space, "star1-"), "components1")
     comps = involved.select("klass").join(grouped, F.col("klass") == F.col("node"), "left").select("klass", F.coalesce("component", "klass").alias("component"))
     comps = space.keep(comps, "comps")
 
@@ -355,14 +399,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cut = cut.withColumn("role", F.lit(0)).withColumn("other", F.explode(every)).withColumn("grid", F.col("other") * F.col("grids") + F.col("mine")).drop("other").union(
         cut.where(probe).withColumn("role", F.lit(1)).withColumn("other", F.explode(every)).withColumn("grid", F.col("mine") * F.col("grids") + F.col("other")).drop("other")
     )
-    lists = whole.union(cut).select("shingle", "klass", "n", "place", "component", "grid", "role")
-    lists = space.keep(lists, "lists")
+    lists = space.keep(whole.union(cut).select("shingle", "klass", "n", "place", "component", "grid", "role"), "lists")
+    space.drop("shared")
     groups = max(spark.sparkContext.defaultParallelism, 1 + lists.count() // BUCKET)
     pairs = lists.groupBy(F.pmod(F.xxhash64("shingle", "grid"), F.lit(groups)).alias("group")).applyInPandas(_across(percent), "x long, ys array<long>")
-    more = _links(_by_block(pairs, blocks), segments.join(comps, "klass"), blocks, percent)
-    links = links.union(space.keep(more, "links2"))
+    found = found.union(links(_by_block(pairs, blocks), comps, "2"))
 
-    grouped = connected(links, space, "star2-")
+    grouped = connected(found, space, "star2-")
     labelled = grouped.join(classes.select(F.col("klass").alias("node"), "least"), "node")
     lowest = space.keep(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")
     placed = labelled.select(F.col("node").alias("klass"), "component").join(lowest, "component").select("klass", "component_id")
@@ -372,3 +415,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order.unpersist()
     space.close("result")
     return result
+
+
+def _only(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that stand for the classes (klass, least)."""
+    ids = classes.select(F.col("least").alias("_least"))
+    ids = F.broadcast(ids) if classes.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col("id").eqNullSafe(F.col("_least")), "left_semi")
