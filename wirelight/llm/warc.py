@@ -176,7 +176,8 @@ def write_archives(pages: DataFrame, root: str, space: Workspace, least_bytes: i
     else:
         marked = look_up(marked, copies, "digest", "members")
     rows = marked.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id")).alias("refers_to"))
-    some = pages.orderBy(F.xxhash64("page_id", "url")).select("page_id", "url", "html").limit(sample)
+    ids = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select(F.col("page_id").alias("_id"))
+    some = pages.join(F.broadcast(ids), F.col("page_id") == F.col("_id"), "left_semi").limit(sample)
     few = some.select("page_id", "url", F.substring("html", 1, 20_000).alias("html")).collect()
     samples = [record(r.page_id, r.url, (r.html or "").encode("utf-8", "surrogatepass"), "A" * 32, None, date) for r in few]
     dictionary = pages.sparkSession.sparkContext.broadcast(make_dictionary(samples))
