@@ -143,12 +143,21 @@ def cidr_valid(cidr: ColumnOrName, key: ColumnOrName) -> Column:
     return F.coalesce(well_formed & as_column(key).isNotNull(), F.lit(False))
 
 
-def cidr_length(cidr: ColumnOrName) -> Column:
-    """Prefix length within the address family of the key."""
-    text = as_column(cidr)
+def _network_start(text: Column, key: Column) -> tuple[Column, Column]:
+    """Key and prefix length of a network in one address family.
+
+    A network of IPv4-mapped addresses is an IPv4 network from 96 bits on; a
+    wider one holds more than them and stays IPv6.
+    """
     bits = F.substring_index(text, "/", -1).try_cast("int")
-    mapped = text.rlike(r"(?i)\A::ffff:[0-9.]+/")
-    return F.when(mapped, F.greatest(bits - 96, F.lit(0))).otherwise(bits)
+    mapped = _is_v6(text) & key.startswith("4")
+    wide = F.concat(F.lit("6" + "0" * 20 + "FFFF"), F.substring(key, 2, 8))
+    return F.when(mapped & (bits < 96), wide).otherwise(key), F.when(mapped & (bits >= 96), bits - 96).otherwise(bits)
+
+
+def cidr_length(cidr: ColumnOrName, key: ColumnOrName) -> Column:
+    """Prefix length within the address family of the network."""
+    return _network_start(as_column(cidr), as_column(key))[1]
 
 
 def cidr_prefixes(cidr: ColumnOrName, key: ColumnOrName) -> Column:
@@ -158,7 +167,10 @@ def cidr_prefixes(cidr: ColumnOrName, key: ColumnOrName) -> Column:
     when the length is a multiple of four, otherwise up to eight neighbours.
     """
     text, key = as_column(cidr), as_column(key)
-    bits = F.coalesce(cidr_length(text), F.lit(0))
+    valid, plain = cidr_valid(text, key), ~F.contains(text, F.lit("/")) & key.isNotNull()
+    given = key
+    key, bits = _network_start(text, key)
+    bits = F.coalesce(bits, F.lit(0))
     whole = F.floor(bits / 4).cast("int")
     head = F.substring(key, F.lit(1), whole + 1)
     span = F.pow(F.lit(2), (4 - bits % 4) % 4).cast("int")
@@ -167,15 +179,14 @@ def cidr_prefixes(cidr: ColumnOrName, key: ColumnOrName) -> Column:
     network = F.when(bits % 4 == 0, F.array(head)).otherwise(
         F.transform(F.sequence(first, first + span - 1), lambda n: F.concat(head, F.hex(n)))
     )
-    plain = ~F.contains(text, F.lit("/")) & key.isNotNull()
-    return F.when(plain, F.array(key)).when(cidr_valid(text, key), network)
+    return F.when(plain, F.array(given)).when(valid, network)
 
 
 def cidr_bounds(cidr: ColumnOrName, key: ColumnOrName) -> tuple[Column, Column]:
     """Lowest and highest address key of a network."""
     prefixes = cidr_prefixes(cidr, key)
     low, high = F.array_min(prefixes), F.array_max(prefixes)
-    width = F.when(as_column(key).startswith("4"), V4_KEY_LENGTH).otherwise(V6_KEY_LENGTH)
+    width = F.when(low.startswith("4"), V4_KEY_LENGTH).otherwise(V6_KEY_LENGTH)
     return F.rpad(low, width, "0"), F.rpad(high, width, "F")
 
 
@@ -191,16 +202,16 @@ def in_prefixes(key: ColumnOrName, prefixes: list[str]) -> Column:
     network.  A NULL key is in no network.
     """
     key = as_column(key)
-    kept: dict[int, list[str]] = {}
+    kept: dict[int, dict[str, None]] = {}
     for prefix in sorted(set(prefixes), key=lambda p: (len(p), p)):
         covered = any(prefix[:n] in kept[n] for n in kept)
         if not covered:
-            kept.setdefault(len(prefix), []).append(prefix)
+            kept.setdefault(len(prefix), {})[prefix] = None
     if not kept:
         return F.lit(False)
     tests = [
         key.startswith(values[0]) if len(values) == 1 else F.substring(key, 1, n).isin(values)
-        for n, values in sorted(kept.items())
+        for n, values in sorted((n, list(found)) for n, found in kept.items())
     ]
     result = tests[0]
     for test in tests[1:]:

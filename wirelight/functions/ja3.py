@@ -59,10 +59,11 @@ def _hello(payload: bytes) -> tuple | None:
     ciphers = _numbers(hello.take(hello.number(2) // 2 * 2), 2)
     hello.take(hello.number(1))
     extensions, curves, formats = [], [], []
-    if hello.rest() > 6:
-        hello.take(2)
-        while hello.rest() > 0:
-            kind, body = hello.number(2), _Cursor(hello.take(hello.number(2)))
+    if hello.rest() >= 2:
+        size = hello.number(2)
+        listed = _Cursor(hello.take(min(size, hello.rest())))
+        while listed.rest() > 0:
+            kind, body = listed.number(2), _Cursor(listed.take(listed.number(2)))
             extensions.append(kind)
             if kind == 10:
                 curves = _numbers(body.take(body.number(2)), 2)

@@ -47,11 +47,10 @@ def join_catalogue(alerts: DataFrame, alert_id: str, ids: str, catalogue: DataFr
     """Threat entries from a separate catalogue table: (alert_id, threats, severity).
 
     One row per alert.  The catalogue (id, title, severity, policy) is joined on
-    distinct threat ids, however often each id occurs.
+    distinct threat ids, however often each id occurs.  Of several entries of an id
+    the greatest (by title, severity, policy) counts.
     """
-    facts = catalogue.select(
-        F.col("id").alias("key"), F.struct("title", "severity", "policy").alias("facts")
-    )
+    facts = catalogue.groupBy(F.col("id").alias("key")).agg(F.max(F.struct("title", "severity", "policy")).alias("facts"))
     exploded = alerts.select(alert_id, F.explode_outer(ids).alias("_threat"))
     found = lookup_join(exploded, "_threat", lambda keys: keys.join(facts, "key"), "_facts")
     entry = F.struct(F.col("_threat").alias("id"), _threat(F.col("_facts")).alias("threat"))

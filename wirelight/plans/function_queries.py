@@ -153,7 +153,7 @@ def cidr_parse(spark: SparkSession, sf: str) -> DataFrame:
     def number(key):
         return F.conv(F.substring(key, 2, 8), 16, 10).cast("bigint")
 
-    return df.select("s_suppkey", ok.alias("ok"), F.when(ok, cidr_length("c")).alias("bits"),
+    return df.select("s_suppkey", ok.alias("ok"), F.when(ok, cidr_length("c", "k")).alias("bits"),
                      number(lo).alias("lo"), number(hi).alias("hi"))
 
 

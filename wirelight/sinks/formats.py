@@ -124,7 +124,7 @@ def leef_line(product: Product) -> Column:
         "flags": F.array_join("flags", ","),
         "description": F.col("threat.desc"),
         "devTimeFormat": F.lit("MMM dd yyyy HH:mm:ss"),
-        "devTime": F.date_format("ts", "MMM dd yyyy HH:mm:ss"),
+        "devTime": F.coalesce(F.date_format("ts", "MMM dd yyyy HH:mm:ss"), F.lit("")),
         "proto": _text("proto"),
         "src": _address("srcIP"),
         "srcPort": _number("srcPort").cast("string"),
@@ -135,7 +135,9 @@ def leef_line(product: Product) -> Column:
         "query": _text("query"),
         "recordType": _text("qtype"),
     }
-    body = [F.concat(F.lit(f"{key}="), value, F.lit("\t")) for key, value in attributes.items()]
+    # a tab ends an attribute and a line end the line, so neither may stand inside
+    plain = {key: F.coalesce(F.regexp_replace(value, r"[\t\r\n]+", " "), F.lit("")) for key, value in attributes.items()}
+    body = [F.concat(F.lit(f"{key}="), value, F.lit("\t")) for key, value in plain.items()]
     return F.concat(F.concat_ws("|", *map(F.lit, header), F.col("threatId"), F.lit("")), *body)
 
 

@@ -52,9 +52,9 @@ def finish(rows: DataFrame, ips: dict[str, str], error: Column, on_error: str) -
         return rows.where(F.col(ERROR).isNull()).drop(ERROR, RAW)
     if on_error != "fail":
         raise ValueError("on_error must be 'fail', 'skip' or 'keep'")
-    first = rows.columns[0]
-    failing = F.when(F.col(ERROR).isNotNull(), F.raise_error(F.col(ERROR)).cast(rows.schema[first].dataType))
-    return rows.withColumn(first, failing.otherwise(F.col(first))).drop(ERROR, RAW)
+    # a filter stays whatever columns are used later
+    fine = F.when(F.col(ERROR).isNotNull(), F.raise_error(F.col(ERROR)).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(fine).drop(ERROR, RAW)
 
 
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

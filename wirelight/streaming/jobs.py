@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -169,10 +169,17 @@ def follow_alerts(
 def load_cursor(spark: SparkSession, control: str) -> datetime | None:
     """Newest ingested time already written, from the control table."""
     try:
-        row = spark.read.parquet(control).agg(F.max("newest")).first()
-    except AnalysisException:
+        row = spark.read.parquet(control).agg(F.unix_micros(F.max("newest"))).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return row[0]
+    return _moment(row[0])
+
+
+def _moment(micros: int | None) -> datetime | None:
+    """Epoch microseconds as an aware time, whatever zone Python runs in."""
+    return None if micros is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
 
 
 def incremental_documents(
@@ -191,9 +198,10 @@ def incremental_documents(
     the same cursor writes to the same place.  Returns the new cursor.
     """
     cursor = load_cursor(spark, control)
+    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     since = None if cursor is None else max(cursor, now - max_age)
     found = search_documents(docs, search, None if since is None else F.lit(since), F.lit(now))
-    newest = found.agg(F.max("ingested")).first()[0]
+    newest = _moment(found.agg(F.unix_micros(F.max("ingested"))).first()[0])
     if newest is None:
         return cursor
     # documents that arrive while this poll runs are left to the next one
