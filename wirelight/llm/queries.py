@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelight.llm import decontaminate, html_text, licenses, mixing, ngram_jaccard, permutation_index, private_data, quality, secrets, warc
+from wirelight.llm import decontaminate, html_text, licenses, mixing, ngram_jaccard, oracles, permutation_index, private_data, quality, secrets, warc
 from wirelight.llm.workspace import Workspace
 
 
@@ -78,7 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": source_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op3_warc_archive": oracles.WARC_ARCHIVE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
