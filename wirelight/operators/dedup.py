@@ -84,20 +84,31 @@ def dedup_last8(rows: DataFrame, group: list[str], order: list[str], key: list[s
     return ordered.mapInPandas(_suppress, ordered.schema).drop("_group", "_key")
 
 
-def dedup_horizon(rows: DataFrame, key: list[str], order: list[str], horizon: str = "30 seconds") -> DataFrame:
+def dedup_horizon(
+    rows: DataFrame, key: list[str], order: list[str], horizon: str = "30 seconds", before: DataFrame | None = None,
+) -> DataFrame:
     """Drop rows that follow an equal row (on ``key``) within the horizon.
 
     The row before decides, kept or not, so a steady repetition stays silent.
     One hot key is cut into time slices first; each slice only needs the last
-    timestamp of the slices before it.
+    timestamp of the slices before it.  ``before`` (key columns, ``_last``) has the
+    newest times of rows that came earlier.
     """
     sliced = rows.withColumn("_slice", F.window("ts", "1 minute")["start"])
     within = Window.partitionBy(*key, "_slice").orderBy("ts", *order)
     ends = sliced.groupBy(*key, "_slice").agg(F.max("ts").alias("_last"))
     earlier = Window.partitionBy(*key).orderBy("_slice")
     ends = ends.select(*key, "_slice", F.lag("_last").over(earlier).alias("_prior"))
+    if before is not None:
+        same = [F.col(f"e.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+        ends = ends.alias("e").join(before.alias("b"), same, "left").select(
+            *[F.col(f"e.{c}") for c in [*key, "_slice"]], F.col("e._prior").alias("_prior"), F.col("b._last").alias("_known"))
+    else:
+        ends = ends.withColumn("_known", F.lit(None).cast("timestamp"))
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in [*key, "_slice"]]
     joined = sliced.withColumn("_prev", F.lag("ts").over(within)).alias("r").join(ends.alias("e"), on, "left")
-    previous = F.coalesce(F.col("r._prev"), F.col("e._prior"))
+    # a remembered time after the row says nothing about what came before it
+    known = F.when(F.col("e._known") <= F.col("r.ts"), F.col("e._known"))
+    previous = F.greatest(F.coalesce(F.col("r._prev"), F.col("e._prior")), known)
     fresh = previous.isNull() | (F.col("r.ts") > previous + F.expr(f"INTERVAL {horizon}"))
     return joined.where(fresh).select(*[F.col(f"r.{c}") for c in rows.columns])

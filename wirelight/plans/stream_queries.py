@@ -33,15 +33,6 @@ def _stream(spark: SparkSession, sf: str, columns: dict[str, str]) -> DataFrame:
     return raw.selectExpr(*[f"{expr} AS {name}" for name, expr in columns.items()])
 
 
-def _drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream to the end into files and read them back."""
-    spark = stream.sparkSession
-    out = work_dir(spark, name)
-    stream.writeStream.format("parquet").option("path", f"{out}/data").option(
-        "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
-
-
 def _landed(lines: DataFrame, name: str) -> str:
     path = work_dir(lines.sparkSession, name)
     lines.select("value").write.text(path)
@@ -113,15 +104,18 @@ def polled(spark: SparkSession, sf: str) -> DataFrame:
  FROM (SELECT list([concat("srcIP", '/', qtype, '/', "query", '|', CAST(event_id AS VARCHAR))] ORDER BY event_id) AS rows FROM {view_sql('chatter')} GROUP BY sensor))""")
 def remembered(spark: SparkSession, sf: str) -> DataFrame:
     """The last eight kept questions of each sensor as streaming state."""
-    stream = stateful_dedup(_stream(spark, sf, CHATTER), "sensor", ["event_id"], ["srcIP", "destIP", "qtype", "query"])
-    return _drain(stream, "stateful").select("event_id")
+    out = work_dir(spark, "stateful")
+    stateful_dedup(_stream(spark, sf, CHATTER), "sensor", ["event_id"], ["srcIP", "destIP", "qtype", "query"],
+                   f"{out}/data", f"{out}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("event_id")
 
 
 @query("t04_horizon_dedup", f"SELECT DISTINCT \"srcIP\", qtype, \"query\" FROM {view_sql('chatter')}")
 def remembered_longer(spark: SparkSession, sf: str) -> DataFrame:
     """First question of each key within a horizon longer than the data."""
-    stream = horizon_dedup(_stream(spark, sf, CHATTER), ["srcIP", "qtype", "query"], "100 days", late="100 days")
-    return _drain(stream, "horizon").select("srcIP", "qtype", "query")
+    out, rows = work_dir(spark, "horizon"), _stream(spark, sf, CHATTER)
+    horizon_dedup(rows, ["srcIP", "qtype", "query"], f"{out}/data", f"{out}/checkpoint", ["event_id"], "100 days", once=True).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/data").select("srcIP", "qtype", "query")
 
 
 @query("t05_alert_follow", f"SELECT count(*) AS lines, count(DISTINCT id) AS threats FROM {_LINES}")

@@ -58,3 +58,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         parent = tempfile.mkdtemp(prefix="wirelight-")
     return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

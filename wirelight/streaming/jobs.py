@@ -11,13 +11,11 @@ from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wirelight.operators.alerts import enrich_alerts
 from wirelight.operators.dedup import (
@@ -25,6 +23,7 @@ from wirelight.operators.dedup import (
 )
 from wirelight.operators.scope import scope_dns, scope_http, scope_ip
 from wirelight.operators.special import drop_special
+from wirelight.session import delete_folder
 from wirelight.sinks.events import dead_letters, entry_json, events_ndjson, write_alerts, write_dead_letters
 from wirelight.sources.alert_pages import explode_pages
 from wirelight.sources.documents import decode, search as search_documents
@@ -52,39 +51,132 @@ def in_scope(rows: DataFrame, event_type: str, groups: Sequence[ScopeGroup]) ->
     return scope_ip(rows, groups)
 
 
-def stateful_dedup(rows: DataFrame, group: str, order: list[str], key: list[str]) -> DataFrame:
-    """``dedup_last8`` on a stream: the last eight kept keys per group are state.
+class Memory:
+    """A small table that every micro-batch reads as the batch before left it.
 
-    Sequential per group; ``horizon_dedup`` spreads one busy group over the cluster.
+    A batch writes the table under its own id, so a batch that runs again starts
+    from the same rows and replaces what its first run left.  Only the newest two
+    versions are kept.
     """
-    tagged = rows.withColumn("_key", query_key(key))
-    names = tagged.columns
 
-    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = deque(state.get[0] if state.exists else [], maxlen=LOOK_BACK)
-        for part in parts:
-            part = part.sort_values(order, kind="stable")
-            kept = part[keep_unlike_recent(seen, part["_key"])]
-            if len(kept):
-                yield kept[names]
-        state.update((list(seen),))
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def before(self, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch_id - 1}")
+
+    def after(self, batch_id: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        if batch_id > 1:
+            delete_folder(self.spark, f"{self.path}/{batch_id - 2}")
+
+
+def _remember(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams through (_row, _group, _key, _kept) by group, a group's memory first; yields kept rows, then its new memory."""
+    group, seen, schema = None, deque(maxlen=LOOK_BACK), None
+
+    def memory() -> pa.RecordBatch:
+        known = {"_group": [group], "_kept": [list(seen)]}
+        return pa.RecordBatch.from_arrays([pa.array(known.get(f.name, [None]), f.type) for f in schema], schema=schema)
+
+    for batch in batches:
+        schema, keep = batch.schema, []
+        groups, keys, carried = (batch.column(c).to_pylist() for c in ("_group", "_key", "_kept"))
+        start = 0
+        for at, (name, key, kept) in enumerate(zip(groups, keys, carried, strict=True)):
+            if name != group:
+                if group is not None:
+                    yield batch.slice(start, at - start).filter(pa.array(keep, pa.bool_()))
+                    yield memory()
+                    start, keep = at, []
+                group, seen = name, deque(maxlen=LOOK_BACK)
+            if kept is not None:
+                seen.extend(kept)
+                keep.append(False)
+            else:
+                keep += keep_unlike_recent(seen, [key])
+        yield batch.slice(start).filter(pa.array(keep, pa.bool_()))
+    if group is not None:
+        yield memory()
+
+
+def remember_last8(batch: DataFrame, memory: DataFrame, group: str, order: list[str], key: list[str]) -> DataFrame:
+    """Rows of a batch unlike the last eight kept of their group, and (``_kept`` set) the new memory.
+
+    ``memory`` is (``_group``, ``_kept``).  Spark sorts the batch by group and
+    order and Python streams through with eight keys, whatever a group's size.
+    """
+    tagged = batch.select(
+        F.struct(*batch.columns).alias("_row"), query_key([group]).alias("_group"), query_key(key).alias("_key"),
+        F.lit(None).cast("array<string>").alias("_kept"), F.struct(*order).alias("_order"),
+    )
+    carried = memory.join(tagged.select("_group").distinct(), "_group", "left_semi")
+    both = tagged.unionByName(carried, allowMissingColumns=True)
+    # a NULL order comes first: the memory row stands before its group
+    ordered = both.repartition("_group").sortWithinPartitions("_group", F.col("_order").asc_nulls_first()).drop("_order")
+    return ordered.mapInArrow(_remember, ordered.schema).drop("_key")
+
+
+def stateful_dedup(
+    rows: DataFrame, group: str, order: list[str], key: list[str], out: str, checkpoint: str, once: bool = False,
+) -> StreamingQuery:
+    """``dedup_last8`` over a stream, the last eight kept keys of each group carried from batch to batch.
+
+    Kept rows are written to ``out`` as Parquet, one folder per batch.  A batch is
+    sorted by Spark before the eight-key step, so the order of its files and
+    splits plays no part; a row of an earlier time in a later batch is judged
+    then, never dropped for being late.  Sequential per group; ``horizon_dedup``
+    spreads one busy group over the cluster.
+    """
+    spark = rows.sparkSession
+    memory = Memory(spark, f"{checkpoint}/memory", "_group string, _kept array<string>")
 
-    state = T.StructType([T.StructField("kept", T.ArrayType(T.StringType()))])
-    return tagged.groupBy(group).applyInPandasWithState(
-        step, tagged.schema, state, "append", GroupStateTimeout.NoTimeout
-    ).drop("_key")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = memory.before(batch_id)
+        place = f"{checkpoint}/found"
+        remember_last8(batch, before, group, order, key).write.mode("overwrite").parquet(place)
+        found = spark.read.parquet(place)
+        found.where("_kept IS NULL").select("_row.*").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        new = found.where("_kept IS NOT NULL").select("_group", "_kept")
+        memory.after(batch_id, before.join(new, "_group", "left_anti").unionByName(new))
+
+    return rows.writeStream.foreachBatch(write).option(
+        "checkpointLocation", checkpoint
+    ).trigger(**flush_trigger(once)).start()
 
 
 def horizon_dedup(
-    rows: DataFrame, key: list[str], horizon: str = "30 seconds", late: str = "1 hour"
-) -> DataFrame:
-    """First row of each key per horizon-long slot of event time, over all batches.
+    rows: DataFrame, key: list[str], out: str, checkpoint: str, order: list[str] | None = None,
+    horizon: str = "30 seconds", late: str = "1 hour", once: bool = False,
+) -> StreamingQuery:
+    """``dedup_horizon`` over a stream: drops rows that follow an equal row (on ``key``) within the horizon.
 
-    Partitioned by key and slot, state expires after ``late``; rows that come
-    later than that behind the newest one are dropped by the watermark.
+    The newest time of each key is carried from batch to batch and forgotten once
+    it is ``late`` and a horizon behind the newest row.  A row that comes late is
+    judged by the rows of its own batch alone and is never dropped for being
+    late.  Kept rows are written to ``out`` as Parquet, one folder per batch.
     """
-    slotted = rows.withColumn("_slot", F.window("ts", horizon)["start"]).withWatermark("ts", late)
-    return slotted.dropDuplicatesWithinWatermark([*key, "_slot"]).drop("_slot")
+    spark = rows.sparkSession
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+    memory = Memory(spark, f"{checkpoint}/memory", f"{kinds}, _last timestamp")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = memory.before(batch_id)
+        batch = batch.persist()
+        kept = dedup_horizon(batch, key, order or [], horizon, before)
+        kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        every = before.unionByName(batch.groupBy(*key).agg(F.max("ts").alias("_last")))
+        end = every.agg(F.unix_micros(F.max("_last"))).first()[0]
+        oldest = F.timestamp_micros(F.lit(end)) - F.expr(f"INTERVAL {horizon}") - F.expr(f"INTERVAL {late}")
+        newest = every.groupBy(*key).agg(F.max("_last").alias("_last"))
+        memory.after(batch_id, newest.where(F.col("_last") >= oldest))
+        batch.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option(
+        "checkpointLocation", checkpoint
+    ).trigger(**flush_trigger(once)).start()
 
 
 def tail_to_events(
