@@ -11,6 +11,7 @@ from wirelight.operators.projections import event_unified, to_ip_entry, with_dir
 from wirelight.sources import registry
 from wirelight.sources.documents import decode, land_hits, newest_ingested, page, search
 from wirelight.sources.lines import read_lines, split_errors
+from wirelight.sources.placed_lines import range_lines, read_placed_lines
 from wirelight.sources.pcap import pcap_frames, split_captures
 from wirelight.sources.search_config import Search
 from wirelight.sources.zeek import header_fill, zeek_events, zeek_scan
@@ -36,13 +37,13 @@ def test_zeek_dns(spark, tmp_path):
     # other columns, other separator, and a second header in the same file
     _write(tmp_path / "b.log", ["#separator \\x2c", "#unset_field,*", "#fields,query,ts,id.orig_h", "q1,1700000002.0,10.0.0.3",
         "#separator \\x09", "#fields\tts\tid.orig_h\tquery\tqtype_name", "1700000003.0\tbad\tq2\t*"])
-    rows = zeek_events(read_lines(spark, str(tmp_path)), "dns").orderBy("ts").collect()
+    rows = zeek_events(read_placed_lines(spark, str(tmp_path)), "dns").orderBy("ts").collect()
     got = [(r.srcIP, r.srcPort, r.destPort, r.proto, r.query, r.qtype) for r in rows]
     assert got == [("10.0.0.1", 4242, 53, "udp", "shop.example.org", "A"), ("fd00::1", 4243, 53, "tcp", "-", ""),
                    ("10.0.0.3", None, None, None, "q1", None), (None, None, None, None, "q2", "")]
     assert rows[0].ts == ts("2023-11-14T22:13:20.384253")
-    assert header_fill(read_lines(spark, str(tmp_path))).count() == 9
-    scan = zeek_scan(read_lines(spark, str(tmp_path / "b.log"))).collect()
+    assert header_fill(read_placed_lines(spark, str(tmp_path))).count() == 9
+    scan = zeek_scan(read_placed_lines(spark, str(tmp_path / "b.log"))).collect()
     assert [r.fields for r in scan] == [{"query": "q1", "ts": "1700000002.0", "id.orig_h": "10.0.0.3"},
                                        {"ts": "1700000003.0", "id.orig_h": "bad", "query": "q2", "qtype_name": "*"}]
 
@@ -51,26 +52,63 @@ def test_zeek_many_files_path(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("wirelight.sources.zeek.BROADCAST_LIMIT", 0)
     for i in range(3):
         _write(tmp_path / f"{i}.log", HEAD + [DNS_FIELDS, f"170000000{i}.0\tC\t10.0.0.{i}\t1\t10.0.0.9\t53\tudp\tq{i}\tA"])
-    rows = zeek_events(read_lines(spark, str(tmp_path)), "dns").collect()
+    rows = zeek_events(read_placed_lines(spark, str(tmp_path)), "dns").collect()
     assert sorted((r.srcIP, r.query) for r in rows) == [(f"10.0.0.{i}", f"q{i}") for i in range(3)]
 
 
+def test_zeek_rows_do_not_depend_on_splits(spark, tmp_path, monkeypatch):
+    """Headers found under one cutting of the files, data read under another; header changes in mid-file and compressed files included."""
+    import gzip
+
+    swapped = DNS_FIELDS.replace("query\tqtype_name", "qtype_name\tquery")
+    row = lambda i, a, b: f"{1700000000 + i}.0\tC\t10.0.{i // 250}.{i % 250}\t1\t10.0.0.9\t53\tudp\t{a}\t{b}"
+    lines = HEAD + [DNS_FIELDS] + [row(i, f"q{i}", "A") for i in range(3000)] + [swapped] + [row(i, "A", f"q{i}") for i in range(3000, 6000)]
+    _write(tmp_path / "plain.log", lines)
+    (tmp_path / "packed.log.gz").write_bytes(gzip.compress("\r\n".join(lines).encode()))
+    plans = iter((1_000, 77_777, 1 << 20, 5_000))
+    real = read_placed_lines.__globals__["split_ranges"]
+    monkeypatch.setattr("wirelight.sources.placed_lines.split_ranges", lambda files, _: real(files, next(plans)))
+    for _ in range(2):
+        spark.conf.set("spark.sql.files.minPartitionNum", "24")
+        rows = zeek_events(read_placed_lines(spark, str(tmp_path)), "dns", on_error="fail")
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        found = rows.collect()
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert len(found) == 12_000 and {r.qtype for r in found} == {"A"}
+        assert len({r.query for r in found}) == 6000
+
+
+def test_line_ranges_meet(tmp_path):
+    """Every cut of a file gives each line once, at its place."""
+    body = b"one\n\nthree\r\n" + b"x" * 30 + b"\nlast"
+    path = tmp_path / "t"
+    path.write_bytes(body)
+    for size in (1, 2, 3, 5, 8, 13, 100):
+        for chunk in (1, 4, 64):
+            got = []
+            for start in range(0, len(body), size):
+                with open(path, "rb") as stream:
+                    for lines, begins in range_lines(stream, start, min(start + size, len(body)), chunk):
+                        got += zip(lines.to_pylist(), begins.tolist())
+            assert got == [("one", 0), ("", 4), ("three", 5), ("x" * 30, 12), ("last", 43)], (size, chunk)
+
+
 def test_zeek_conn_http_and_errors(spark, tmp_path):
     f = _write(tmp_path / "conn.log", HEAD + ["#fields\tts\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\torig_bytes\tresp_bytes\torig_ip_bytes\tresp_ip_bytes\tja3",
         "1.0\t10.0.0.1\t1\t8.8.8.8\t53\tUDP\t-\t-\t10\t0\t-", "2.0\t10.0.0.1\t1\t8.8.8.8\t53\tUDP\t-5\t7\t-\t13\tabc"])
-    rows = zeek_events(read_lines(spark, f), "ip").orderBy("ts").collect()
+    rows = zeek_events(read_placed_lines(spark, f), "ip").orderBy("ts").collect()
     assert [(r.bytesCount, r.ja3, r.destIP, r.destPort) for r in rows] == [(10, "", "8.8.8.8", 53), (20, "abc", "8.8.8.8", 53)]
-    assert to_ip_entry(zeek_events(read_lines(spark, f), "ip")).agg(F.sum("bytesOut")).first()[0] == 30
+    assert to_ip_entry(zeek_events(read_placed_lines(spark, f), "ip")).agg(F.sum("bytesOut")).first()[0] == 30
     f = _write(tmp_path / "http.log", HEAD + ["#fields\tts\tid.orig_h\tid.orig_p\tmethod\thost\turi\treferrer\tuser_agent\trequest_body_len\tresponse_body_len\tstatus_code\tresp_mime_types",
         "1.0\t10.0.0.1\t99\tGET\tex.org\t/a?b\t-\t(empty)\t0\t3698\t200\ttext/html", "2.0\t10.0.0.1\t99\tGET\tex.org\t/\t-\tx\t-\t0\t-\t-"])
-    rows = zeek_events(read_lines(spark, f), "http", on_error="skip").orderBy("ts").collect()
+    rows = zeek_events(read_placed_lines(spark, f), "http", on_error="skip").orderBy("ts").collect()
     assert (rows[0].url, rows[0].status, rows[0].bytesIn, rows[0].referrer, rows[0].userAgent) == ("http://ex.org/a?b", 200, 3698, "", "")
     assert rows[1].status is None and len(rows) == 2
     with pytest.raises(Exception, match="zeek: bad"):
-        zeek_events(read_lines(spark, f), "http").collect()
+        zeek_events(read_placed_lines(spark, f), "http").collect()
     f = _write(tmp_path / "bad.log", HEAD + [DNS_FIELDS, "x\ty", "1.0\tC\t10.0.0.1\t70000\t10.0.0.9\t53\tudp\tq\tA",
         "1\tC\t10.0.0.1\t7\t10.0.0.9\t53\tudp\tq\tA", "1.0\tC\t10.0.0.1\t7\t10.0.0.9\t53\tudp\tq\tA"])
-    good, bad = split_errors(zeek_events(read_lines(spark, f), "dns", on_error="keep"))
+    good, bad = split_errors(zeek_events(read_placed_lines(spark, f), "dns", on_error="keep"))
     assert good.count() == 1 and sorted(r._error for r in bad.collect()) == [
         "zeek: bad port", "zeek: bad timestamp", "zeek: wrong number of columns"]
     assert all(r._raw for r in bad.collect())

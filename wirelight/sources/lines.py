@@ -15,8 +15,9 @@ RAW = "_raw"
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files: value, source_file, block_start, line_no.
 
-    ``(block_start, line_no)`` orders the lines of one file; ``line_no`` alone is
-    unique but has gaps.
+    ``(block_start, line_no)`` orders the lines of one file in one scan; another
+    scan may be cut otherwise.  Formats whose lines depend on earlier ones read
+    ``placed_lines.read_placed_lines``.
     """
     return spark.read.text(path).select(
         "value",

@@ -1,0 +1,136 @@
+"""Text lines with their byte offset, which belongs to the file and not to a split.
+
+Two scans of the same files may be cut into other splits; a line's offset stays.
+Files are cut into ranges of ``SPLIT_BYTES``, small files share a task, and a
+compressed file is read by one task (its offsets are those of the plain text).
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+SPLIT_BYTES = 128 << 20
+CHUNK = 4 << 20
+PACKED = {"gz": "gzip", "bz2": "bz2", "zst": "zstd", "lz4": "lz4"}
+
+
+def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    for name in ("s3a:", "s3n:"):
+        uri = uri.replace(name, "s3:", 1) if uri.startswith(name) else uri
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+@dataclass
+class Ranges(InputPartition):
+    """(file, first byte, end) of what one task reads; an end of -1 is the file's."""
+
+    parts: list[tuple[str, int, int]]
+
+
+def split_ranges(files: list[str], split_bytes: int) -> list[Ranges]:
+    """Ranges of about ``split_bytes``, several small files together."""
+    out, held, size = [], [], 0
+    for file in files:
+        system, path = _open(file)
+        length = system.get_file_info(path).size or 0
+        if path.rsplit(".", 1)[-1] in PACKED:
+            cuts = [(file, 0, -1)]
+        else:
+            cuts = [(file, at, min(at + split_bytes, length)) for at in range(0, length, split_bytes)]
+        for cut in cuts:
+            held.append(cut)
+            size += length if cut[2] < 0 else cut[2] - cut[1]
+            if size >= split_bytes:
+                out.append(Ranges(held))
+                held, size = [], 0
+    return [*out, Ranges(held)] if held or not out else out
+
+
+def range_lines(stream, start: int, end: int, chunk: int = CHUNK) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Lines that begin in [start, end), without their line ends, and their offsets."""
+    rest, at = b"", start
+    if start:
+        # the byte before tells whether a line begins at `start`
+        stream.seek(start - 1)
+        at = start - 1
+        while True:
+            data = stream.read(chunk)
+            if not data:
+                return
+            cut = data.find(b"\n")
+            if cut >= 0:
+                rest, at = data[cut + 1 :], at + cut + 1
+                break
+            at += len(data)
+    while end < 0 or at < end:
+        data = stream.read(chunk)
+        last = not data
+        data = rest + data
+        stop = len(data) if last else data.rfind(b"\n") + 1
+        body, rest = data[:stop], data[stop:]
+        if body:
+            ends = np.flatnonzero(np.frombuffer(body, dtype=np.uint8) == 10) + 1
+            bounds = np.r_[0, ends] if len(ends) and ends[-1] == len(body) else np.r_[0, ends, len(body)]
+            begins = at + bounds[:-1].astype(np.int64)
+            count = len(begins) if end < 0 else int(np.searchsorted(begins, end))
+            if count:
+                lines = pa.StringArray.from_buffers(count, pa.py_buffer(bounds[: count + 1].astype(np.int32)), pa.py_buffer(body))
+                yield pc.ascii_rtrim(lines, characters="\r\n"), begins[:count]
+            at += len(body)
+        if last:
+            return
+
+
+class PlacedLines(DataSource):
+    """Options ``files`` (JSON list of URIs) and ``split_bytes``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "placed_lines"
+
+    def schema(self) -> str:
+        return "value string, source_file string, line_no bigint"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PlacedLinesReader(json.loads(self.options["files"]), int(self.options["split_bytes"]))
+
+
+class PlacedLinesReader(DataSourceReader):
+    def __init__(self, files: list[str], split_bytes: int) -> None:
+        self.files, self.split_bytes = files, split_bytes
+
+    def partitions(self) -> list[InputPartition]:
+        return split_ranges(self.files, self.split_bytes)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        names = ["value", "source_file", "line_no"]
+        for file, start, end in partition.parts:
+            system, path = _open(file)
+            packed = PACKED.get(path.rsplit(".", 1)[-1])
+            with system.open_input_stream(path, compression=packed) if packed else system.open_input_file(path) as stream:
+                for lines, begins in range_lines(stream, start, end):
+                    for i in range(0, len(lines), 20_000):
+                        part = lines.slice(i, 20_000)
+                        yield pa.RecordBatch.from_arrays([part, pa.array([file] * len(part)), pa.array(begins[i : i + 20_000])], names=names)
+
+
+def read_placed_lines(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Lines of text files: value, source_file, block_start, line_no.
+
+    ``line_no`` is the byte offset of the line in its file and ``block_start`` is
+    0, so ``(block_start, line_no)`` orders the lines of a file in every scan.
+    """
+    spark.dataSource.register(PlacedLines)
+    files = sorted(spark.read.text(path).inputFiles())
+    rows = spark.read.format("placed_lines").option("files", json.dumps(files)).option("split_bytes", split_bytes).load()
+    return rows.select("value", "source_file", F.lit(0).cast("bigint").alias("block_start"), "line_no")

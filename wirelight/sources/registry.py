@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wirelight.operators.projections import to_dns_entry, to_http_entry, to_ip_entry
 from wirelight.sources import dns_logs, pcap, suricata, zeek
 from wirelight.sources.lines import read_lines
+from wirelight.sources.placed_lines import read_placed_lines
 
 Reader = Callable[[SparkSession, str], DataFrame]
 Parser = Callable[..., DataFrame]
@@ -89,7 +90,7 @@ def _zeek(kind: str) -> Parser:
     return lambda rows, **options: zeek.zeek_events(rows, kind, **options)
 
 
-register_format("bro", LogFormat(read_lines, {k: _zeek(k) for k in ("dns", "ip", "http")}, stateless=False))
+register_format("bro", LogFormat(read_placed_lines, {k: _zeek(k) for k in ("dns", "ip", "http")}, stateless=False))
 register_format("suricata", LogFormat(read_lines, {"dns": suricata.suricata_dns, "http": suricata.suricata_http}))
 register_format("msdns", LogFormat(read_lines, {"dns": dns_logs.msdns_dns}))
 register_format("syslog-named", LogFormat(read_lines, {"dns": dns_logs.named_dns}))

@@ -3,7 +3,8 @@
 ``#`` lines set the separator, the empty and unset markers and the column names
 for the lines that follow, and may come again in mid-file.  Only those few lines
 are ordered per file; data lines find their header by position and are never
-sorted or grouped.
+sorted or grouped.  Header lines and data lines are found by two scans, so the
+positions must belong to the file: see ``placed_lines``.
 """
 
 from __future__ import annotations
