@@ -95,6 +95,39 @@ def test_join_form_agrees_with_literal_form(spark, monkeypatch, tiny):
         assert len({x[2] for x in want}) >= 3
 
 
+def _verdicts(rows):
+    return sorted((r.id, r.keep, r.reason) for r in rows.collect())
+
+
+def test_scope_join_with_destinations(spark):
+    """dst_includes, use_dest, an empty scope and networks of mapped addresses, as in the literal forms."""
+    groups = [
+        G("a", in_scope=("10.0.0.0/8",), out_scope=("10.9.0.0/16",), dst_includes=("8.8.0.0/16",), trusted_ips=("8.8.8.8",), trusted_domains=("*.lan",)),
+        G("b", in_scope=("::ffff:172.16.0.0/108", "fd00::/8"), dst_includes=("8.0.0.0/8", "2001:db8::/32"), trusted_domains=("ok.org",)),
+        G("c", out_scope=("192.168.0.0/16",), dst_includes=("1.1.1.1/32",)),
+    ]
+    sources = ["10.0.0.1", "10.9.0.1", "172.16.3.4", "192.168.1.1", "fd00::7", "bad", None]
+    targets = ["8.8.8.8", "8.8.4.4", "8.1.1.1", "1.1.1.1", "2001:db8::1", "9.9.9.9", "bad", None]
+    names = ["a.lan", "ok.org", "x.ok.org", "", None]
+    rows = [(i, s, t, n, None if n is None else f"http://{n}/") for i, (s, t, n) in enumerate((s, t, n) for s in sources for t in targets for n in names)]
+    df = spark.createDataFrame(rows, "id int, srcIP string, destIP string, query string, url string")
+    scope = scope_frame(spark, groups)
+    for kind, literal in {"ip": scope_ip, "dns": scope_dns, "http": scope_http}.items():
+        assert _verdicts(scope_join(df, scope, kind, flag=True)) == _verdicts(literal(df, groups, flag=True)), kind
+    assert _verdicts(scope_join(df, scope, "dns", True, use_dest=True)) == _verdicts(scope_dns(df, groups, True, use_dest=True))
+    assert scope_join(df, scope_frame(spark, []), "ip").count() == len(rows)
+    assert _verdicts(scope_join(df, scope_frame(spark, []), "dns", True)) == _verdicts(scope_dns(df, [], True))
+
+
+@pytest.mark.parametrize("column, entry", [("in_scope", "10.0.0.1"), ("in_scope", "10.0.0.0/33"), ("out_scope", "10.0.0"), ("dst_includes", "x/8"),
+                                           ("trusted_ips", None), ("trusted_domains", "a..b"), ("trusted_domains", None)])
+def test_scope_join_refuses_malformed_entries(spark, column, entry):
+    scope = scope_frame(spark, [G("a", in_scope=("10.0.0.0/8",))]).withColumn(column, F.array(F.lit(entry)).cast("array<string>"))
+    df = spark.createDataFrame([("10.0.0.1", "8.8.8.8", "q.org")], "srcIP string, destIP string, query string")
+    with pytest.raises(Exception, match="is not"):
+        scope_join(df, scope, "dns" if column == "trusted_domains" else "ip").collect()
+
+
 def test_groups_of_src(spark):
     df = spark.createDataFrame([("10.1.0.1",), ("10.9.0.1",), ("172.16.0.1",), (None,)], "srcIP string")
     got = [[g.label for g in r.g] for r in groups_of_src(df, _mixed_groups(), "g").collect()]

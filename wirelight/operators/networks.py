@@ -90,10 +90,17 @@ class NetworkMatch:
         )
 
 
-def network_table(cidrs: DataFrame, cidr: str, *tags: str) -> DataFrame:
-    """One row (prefix, tags...) per key prefix of each valid network, as a written table."""
+def network_table(cidrs: DataFrame, cidr: str, *tags: str, strict: bool = False) -> DataFrame:
+    """One row (prefix, tags...) per key prefix of each valid network, as a written table.
+
+    Malformed networks are left out, or an error with ``strict``.
+    """
     keyed = with_cidr_keys(cidrs.select(cidr, *tags), cidr, "_net")
-    exploded = keyed.select(F.explode(cidr_prefixes(cidr, "_net")).alias("prefix"), *tags)
+    prefixes = cidr_prefixes(cidr, "_net")
+    if strict:
+        message = F.concat(F.coalesce(F.col(cidr), F.lit("NULL")), F.lit(" is not cidr or ip"))
+        prefixes = F.coalesce(prefixes, F.raise_error(message).cast("array<string>"))
+    exploded = keyed.select(F.explode(prefixes).alias("prefix"), *tags)
     return materialise(exploded.distinct(), "networks")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wirelight.functions.columns import any_of, derive_once
 from wirelight.functions.ip import in_prefixes, with_ip_keys
-from wirelight.functions.names import trusted_by, url_host
+from wirelight.functions.names import trusted_by, url_host, valid_pattern
 from wirelight.operators.domains import domain_hits, domain_table
 from wirelight.operators.lookup import lookup_join
 from wirelight.operators.networks import key_hits, keyed_events, network_table
@@ -143,7 +143,7 @@ def groups_of_src(events: DataFrame, groups: Sequence[ScopeGroup], out: str, ip:
 
 def _name_sets(hits: DataFrame) -> DataFrame:
     """(key, group, role) -> facts with one group array per role."""
-    roles = ("src_in", "src_out", "dst_out")
+    roles = ("src_in", "src_dst", "src_out", "dst_in", "dst_out")
     sets = [
         F.array_sort(F.collect_set(F.when(F.col("tag.role") == r, F.col("tag.name")))).alias(r)
         for r in roles
@@ -151,36 +151,57 @@ def _name_sets(hits: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(F.struct(*sets).alias("facts"))
 
 
+def _valid_or_fail(table: DataFrame, valid: Column, text: str, what: str) -> DataFrame:
+    """The table; a row that isn't valid stops the job, as it does in the literal form."""
+    message = F.concat(F.coalesce(F.col(text), F.lit("NULL")), F.lit(f" is not a valid {what}"))
+    return table.where(F.when(F.coalesce(valid, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def scope_join(
-    events: DataFrame, scope: DataFrame, event_type: str, flag: bool = False
+    events: DataFrame, scope: DataFrame, event_type: str, flag: bool = False, use_dest: bool = False
 ) -> DataFrame:
-    """Verdicts against a scope table of any size (see ``scope_file.scope_frame``)."""
+    """Verdicts against a scope table of any size (see ``scope_file.scope_frame``).
+
+    The same as the literal forms: a scope without groups keeps everything,
+    ``use_dest`` lets the asked server of DNS rows count, and a malformed network
+    or domain is an error.
+    """
+    if event_type not in ("ip", "tls", "dns", "http"):
+        raise ValueError(f"unknown event type {event_type}")
+    if scope.isEmpty():
+        return _judge(events, events, [], lambda _: {}, F.lit(False), flag)
+    named = scope_networks(scope)
+    whole = ~F.col("role").isin("src_in", "src_dst", "dst_in") | F.contains("cidr", F.lit("/"))
     tag = F.struct("name", "role").alias("tag")
-    networks = network_table(scope_networks(scope).select("cidr", tag), "cidr", "tag")
+    networks = network_table(_valid_or_fail(named, whole, "cidr", "network").select("cidr", tag), "cidr", "tag", strict=True)
 
     def addresses(*roles: str):
         wanted = networks.where(F.col("tag.role").isin(*roles))
         return lambda keys: _name_sets(key_hits(keys, wanted, "tag"))
 
-    if event_type in ("ip", "tls"):
-        keyed = keyed_events(events, "_src", "_dst")
-    elif event_type == "dns":
-        keyed = keyed_events(events, "_src").withColumn("_name", F.lower("query"))
+    by_dest = event_type in ("ip", "tls") or (event_type == "dns" and use_dest)
+    keyed = keyed_events(events, "_src", "_dst" if by_dest else None)
+    if event_type == "dns":
+        keyed = keyed.withColumn("_name", F.lower("query"))
     elif event_type == "http":
-        keyed = keyed_events(events, "_src").withColumn("_name", url_host("url"))
-    else:
-        raise ValueError(f"unknown event type {event_type}")
-    joined = lookup_join(keyed, "_src", addresses("src_in", "src_out"), "_src_groups")
+        keyed = keyed.withColumn("_name", url_host("url"))
+    joined = lookup_join(keyed, "_src", addresses("src_in", "src_dst", "src_out"), "_src_groups")
     none = F.array().cast("array<string>")
-    included = F.coalesce("_src_groups.src_in", none)
+    anywhere, bound = F.coalesce("_src_groups.src_in", none), F.coalesce("_src_groups.src_dst", none)
     excluded = [F.coalesce("_src_groups.src_out", none)]
-    if event_type in ("ip", "tls"):
-        joined = lookup_join(joined, "_dst", addresses("dst_out"), "_dst_groups", keys_from=keyed)
+    missing = F.col("_src").isNull()
+    if by_dest:
+        joined = lookup_join(joined, "_dst", addresses("dst_in", "dst_out"), "_dst_groups", keys_from=keyed)
+        # a source that is excluded needn't ask for the destination
+        reached = F.array_intersect(bound, F.concat(excluded[0], F.coalesce("_dst_groups.dst_in", none)))
+        bound = F.when(F.col("_dst").isNull(), bound).otherwise(reached)
         excluded.append(F.coalesce("_dst_groups.dst_out", none))
-        missing = F.col("_src").isNull() | F.col("_dst").isNull()
+    included = F.concat(anywhere, bound)
+    if event_type in ("ip", "tls"):
+        missing = missing | F.col("_dst").isNull()
     else:
-        trusted = scope_domains(scope).withColumnRenamed("name", "tag")
-        table = domain_table(trusted, "pattern", "tag")
+        trusted = _valid_or_fail(scope_domains(scope), valid_pattern("pattern"), "pattern", "domain name")
+        table = domain_table(trusted.withColumnRenamed("name", "tag"), "pattern", "tag")
 
         def trusting(names: DataFrame) -> DataFrame:
             return domain_hits(names, table, "tag").groupBy("key").agg(
@@ -190,7 +211,7 @@ def scope_join(
         joined = lookup_join(joined, "_name", trusting, "_name_groups", keys_from=keyed)
         excluded.append(F.coalesce("_name_groups.groups", none))
         field = "query" if event_type == "dns" else "url"
-        missing = F.col("_src").isNull() | (F.coalesce(F.col(field), F.lit("")) == "")
+        missing = missing | (F.coalesce(F.col(field), F.lit("")) == "")
     denied = F.array_min(F.array_intersect(included, F.flatten(F.array(*excluded))))
     reason = (
         F.when(missing, NO_DATA).when(denied.isNotNull(), denied).when(F.size(included) == 0, NO_MATCH)

@@ -118,6 +118,12 @@ def scope_http_groups(spark: SparkSession, sf: str) -> DataFrame:
     return scope_http(view(spark, sf, "http"), GROUPS, flag=True).select("page_id", "keep", "reason")
 
 
+@query("j08_scope_http_join", f"SELECT page_id, {_multi('http')} FROM {view_sql('http')}")
+def scope_http_join(spark: SparkSession, sf: str) -> DataFrame:
+    out = scope_join(view(spark, sf, "http"), scope_frame(spark, GROUPS), "http", flag=True)
+    return out.select("page_id", "keep", "reason")
+
+
 # --- networks ---------------------------------------------------------------------
 
 # Networks from the suppliers: one /16 or /24 each, some wide ones among them.

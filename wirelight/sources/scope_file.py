@@ -110,18 +110,31 @@ def scope_frame(spark: SparkSession, groups: list[ScopeGroup]) -> DataFrame:
     """The scope as a small table, one row per group."""
     rows = [
         (g.name, g.label, list(g.in_scope), list(g.out_scope), list(g.trusted_ips),
-         list(g.trusted_domains))
+         list(g.trusted_domains), list(g.dst_includes))
         for g in groups
     ]
-    lists = ", ".join(f"{name} array<string>" for name in _LISTS)
+    lists = ", ".join(f"{name} array<string>" for name in (*_LISTS, "dst_includes"))
     return spark.createDataFrame(rows, f"name string, label string, {lists}")
 
 
 def scope_networks(scope: DataFrame) -> DataFrame:
-    """(name, role, cidr): the networks of every group; an empty in_scope is everything."""
+    """(name, role, cidr): the networks of every group; an empty in_scope is everything.
+
+    The sources of a group that is bound to destinations (``dst_includes``, a
+    column the table may lack) have the role ``src_dst`` instead of ``src_in``.
+    """
+    none = F.array().cast("array<string>")
+
+    def given(name: str) -> Column:
+        return F.coalesce(F.col(name), none) if name in scope.columns else none
+
     everywhere = F.array(F.lit("0.0.0.0/0"), F.lit("::/0"))
-    in_scope = F.when(F.size("in_scope") > 0, F.col("in_scope")).otherwise(everywhere)
-    roles = {"src_in": in_scope, "src_out": F.col("out_scope"), "dst_out": F.col("trusted_ips")}
+    in_scope = F.when(F.size(given("in_scope")) > 0, given("in_scope")).otherwise(everywhere)
+    bound = F.size(given("dst_includes")) > 0
+    roles = {
+        "src_in": F.when(~bound, in_scope).otherwise(none), "src_dst": F.when(bound, in_scope).otherwise(none),
+        "src_out": given("out_scope"), "dst_in": given("dst_includes"), "dst_out": given("trusted_ips"),
+    }
 
     def with_role(role: str, cidrs: Column) -> Column:
         return F.transform(cidrs, lambda c: F.struct(F.lit(role).alias("role"), c.alias("cidr")))
