@@ -115,13 +115,13 @@ def host(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "http").select("page_id", url_host("url").alias("host"))
 
 
-@query("f13_is_domain_name", f"""SELECT DISTINCT word, length(word) > 0 AND length(word) < 64 AND regexp_matches(word, '^[A-Za-z0-9_-]*$')
- AND regexp_matches(word, '[A-Za-z_]') AND word NOT LIKE '-%' AND word NOT LIKE '%-' AS ok
- FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word NOT LIKE '%.%'""")
+@query("f13_is_domain_name", r"""SELECT DISTINCT word, strlen(word) < 254 + CAST(word LIKE '%.' AS INT) AND regexp_matches(word, '[A-Za-z_]')
+ AND len(list_filter(string_split(regexp_replace(word, '[.]$', ''), '.'), lambda l: NOT (strlen(l) BETWEEN 1 AND 63 AND regexp_matches(l, '^[A-Za-z0-9_-]*$')
+ AND l NOT LIKE '-%' AND l NOT LIKE '%-'))) = 0 AS ok FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)""")
 def domain_name(spark: SparkSession, sf: str) -> DataFrame:
-    """Every distinct word of the documents as a one-label name."""
+    """Every distinct word of the documents as a name."""
     words = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", " ")).alias("word"))
-    return words.where(~F.contains("word", F.lit("."))).distinct().select("word", is_domain_name("word").alias("ok"))
+    return words.distinct().select("word", is_domain_name("word").alias("ok"))
 
 
 _HEX4 = "lower(lpad(to_hex({}), 8, '0'))".format(int4('"srcIP"'))

@@ -232,13 +232,13 @@ def directions(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("srcIP", "srcPort", "destPort", "direction")
 
 
-@query("p03_sensor_direction", f"""SELECT "srcIP", "srcPort", "destPort", CASE WHEN "srcPort" % 4 = order_id % 4 THEN 'out' ELSE 'in' END AS direction FROM {_FRAMED}""")
+@query("p03_sensor_direction", f"""SELECT "srcIP", "srcPort", "destPort", CASE WHEN "srcPort" % 4 = order_id % 5 THEN 'out' ELSE 'in' END AS direction FROM {_FRAMED}""")
 def sensor_directions(spark: SparkSession, sf: str) -> DataFrame:
-    """One interface address per sensor, here four sensors taken from the regions."""
-    macs = spark.read.parquet(f"{sf}/region.parquet").where("r_regionkey < 4").select(
+    """One interface address per sensor, here a sensor in each region."""
+    macs = spark.read.parquet(f"{sf}/region.parquet").select(
         F.col("r_regionkey").cast("string").alias("sensor"), F.concat(F.lit("02-00-00-00-00-0"), F.col("r_regionkey").cast("string")).alias("mac"))
     out = registry.parse(split_captures(_conn_captures(spark, sf)), "pcap", "ip")
-    out = out.withColumn("sensor", (F.col("source_file").cast("bigint") % 4).cast("string"))
+    out = out.withColumn("sensor", (F.col("source_file").cast("bigint") % 5).cast("string"))
     return with_sensor_direction(out, macs).select("srcIP", "srcPort", "destPort", "direction")
 
 

@@ -46,7 +46,11 @@ def finish(rows: DataFrame, ips: dict[str, str], error: Column, on_error: str) -
     keys = {name.removesuffix("IP") + "Key": raw for name, raw in ips.items()}
     canonical = {name.removesuffix("IP") + "Key": name for name in ips}
     rows = with_ip_keys(settle(rows), keys, canonical).withColumn(ERROR, error)
-    rows = rows.drop(*ips.values())
+    return route(rows.drop(*ips.values()), on_error)
+
+
+def route(rows: DataFrame, on_error: str) -> DataFrame:
+    """Rows with a message in ``_error`` stop the job, are left out, or stay, see ``finish``."""
     if on_error == "keep":
         return rows
     if on_error == "skip":

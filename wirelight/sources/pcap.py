@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from wirelight import schemas
 from wirelight.functions.columns import derive_once
 from wirelight.functions.ip import key_text
 from wirelight.functions.values import dns_type_name
+from wirelight.sources.lines import ERROR, route
 
 ETHERNET = 1
 _BATCH = 8192
@@ -30,49 +32,143 @@ _MAGIC = {
 }
 
 
-def _split_frames(path: str, content: bytes) -> Iterator[tuple]:
+# Block types of the next-generation capture format.
+_SECTION, _INTERFACE, _OLD_PACKET, _SIMPLE, _PACKET = 0x0A0D0D0A, 1, 2, 3, 6
+
+
+_CUT = "cut off"
+
+
+class BrokenCapture(ValueError):
+    """What is wrong with a capture file, from some place on."""
+
+
+def _classic_frames(content: bytes) -> Iterator[tuple]:
+    """(micros, linktype, bytes) of a classic capture file."""
     order, units = _MAGIC[content[:4]]
-    linktype = struct.unpack_from(order + "I", content, 20)[0]
-    at, number = 24, 0
-    while at + 16 <= len(content):
+    if len(content) < 24:
+        raise BrokenCapture(f"pcap: file header {_CUT}")
+    linktype = struct.unpack_from(order + "I", content, 20)[0] & 0x0FFFFFFF
+    at = 24
+    while at < len(content):
+        if at + 16 > len(content):
+            raise BrokenCapture(f"pcap: frame header {_CUT} at {at}")
         seconds, fraction, size, _ = struct.unpack_from(order + "IIII", content, at)
         at += 16
         if at + size > len(content):
-            return
-        yield path, number, seconds * 1_000_000 + fraction // units, linktype, size, content[at : at + size]
+            raise BrokenCapture(f"pcap: frame {_CUT} at {at}")
+        yield seconds * 1_000_000 + fraction // units, linktype, content[at : at + size]
         at += size
-        number += 1
 
 
-def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["source_file", "frame_no", "micros", "linktype", "captured", "payload"]
+def _ticks_per_second(order: str, options: bytes) -> int:
+    """Resolution of an interface's times; a million where it doesn't say."""
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack_from(order + "HH", options, at)
+        if code == 0:
+            break
+        if code == 9 and size == 1 and at + 5 <= len(options):
+            value = options[at + 4]
+            return 2 ** (value & 0x7F) if value & 0x80 else 10**value
+        at += 4 + size + -size % 4
+    return 1_000_000
+
+
+def _block_frames(content: bytes) -> Iterator[tuple]:
+    """(micros, linktype, bytes) of a capture file made of blocks (pcapng); a frame without a time has NULL."""
+    at, order, interfaces = 0, "<", []
+    while at < len(content):
+        if at + 12 > len(content):
+            raise BrokenCapture(f"pcapng: block {_CUT} at {at}")
+        if content[at : at + 4] == b"\n\r\r\n":
+            order, interfaces = "<" if content[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
+        kind, size = struct.unpack_from(order + "II", content, at)
+        if size < 12 or size % 4 or at + size > len(content):
+            raise BrokenCapture(f"pcapng: block {_CUT} at {at}")
+        body = content[at + 8 : at + size - 4]
+        try:
+            if kind == _INTERFACE:
+                link, _, snap = struct.unpack_from(order + "HHI", body)
+                interfaces.append((link, snap, _ticks_per_second(order, body[8:])))
+            elif kind == _PACKET:
+                port, high, low, kept, _ = struct.unpack_from(order + "5I", body)
+                link, _, ticks = interfaces[port]
+                yield (high << 32 | low) * 1_000_000 // ticks, link, body[20 : 20 + kept]
+            elif kind == _OLD_PACKET:
+                port, _, high, low, kept, _ = struct.unpack_from(order + "HH4I", body)
+                link, _, ticks = interfaces[port]
+                yield (high << 32 | low) * 1_000_000 // ticks, link, body[20 : 20 + kept]
+            elif kind == _SIMPLE:
+                (length,) = struct.unpack_from(order + "I", body)
+                link, snap, _ = interfaces[0]
+                yield None, link, body[4 : 4 + (min(length, snap) if snap else length)]
+        except (IndexError, struct.error):
+            raise BrokenCapture(f"pcapng: block without its interface or cut short at {at}") from None
+        at += size
+
+
+def _split_frames(path: str, content: bytes) -> Iterator[tuple]:
+    """Rows of a capture file; what can't be read is one row with an error."""
+    number = 0
+    try:
+        if content[:4] == b"\n\r\r\n":
+            found = _block_frames(content)
+        elif content[:4] in _MAGIC:
+            found = _classic_frames(content)
+        else:
+            raise BrokenCapture("pcap: not a capture file")
+        for micros, linktype, data in found:
+            yield path, number, micros, linktype, len(data), data, None
+            number += 1
+    except BrokenCapture as problem:
+        yield path, number, None, None, None, None, str(problem)
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    names = ["source_file", "frame_no", "micros", "linktype", "captured", "payload", ERROR]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     rows: list[tuple] = []
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for row in _split_frames(path, bytes(content)):
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            for row in _split_frames(path.as_py(), content.as_py() or b""):
                 rows.append(row)
                 if len(rows) == _BATCH:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield made(rows)
                     rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=names)
+        yield made(rows)
+
 
+def split_captures(files: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Frames of capture files (columns path, content), each file cut in its own task.
 
-def split_captures(files: DataFrame) -> DataFrame:
-    """Frames of capture files (columns path, content), each file cut in its own task."""
-    raw = files.select("path", "content").mapInPandas(
+    Classic files and files made of blocks (pcapng).  A file that is no capture,
+    or breaks off inside a frame, is one malformed row after its good frames:
+    ``fail`` stops the job, ``skip`` leaves it out, ``keep`` adds it with its
+    message in ``_error`` (see ``lines.split_errors``).  A file that breaks off,
+    as one that is still being written does, isn't a reason for ``fail`` to stop.
+    """
+    raw = files.select("path", "content").mapInArrow(
         _frames,
-        "source_file string, frame_no bigint, micros bigint, linktype int, captured int, payload binary",
+        f"source_file string, frame_no bigint, micros bigint, linktype int, captured int, payload binary, {ERROR} string",
     )
-    return raw.select(*[
+    rows = raw.select(*[
         (F.timestamp_micros("micros") if f.name == "ts" else F.col(f.name)).alias(f.name)
         for f in schemas.FRAME.fields
-    ])
+    ], ERROR)
+    if on_error == "fail":
+        rows = rows.where(~F.coalesce(F.contains(F.col(ERROR), F.lit(_CUT)), F.lit(False)))
+    return route(rows, on_error)
 
 
-def pcap_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def pcap_frames(spark: SparkSession, path: str | list[str], on_error: str = "fail") -> DataFrame:
     """Frames of all capture files under a path."""
-    return split_captures(spark.read.format("binaryFile").load(path))
+    return split_captures(spark.read.format("binaryFile").load(path), on_error)
 
 
 def _number(hexed: Column, at: Column | int, size: int) -> Column:
@@ -82,27 +178,60 @@ def _number(hexed: Column, at: Column | int, size: int) -> Column:
     return F.conv(F.substring(hexed, start, F.lit(size * 2)), 16, 10).cast("int")
 
 
+def _past_extensions(h: Column, at: Column, following: Column, size: Column) -> Column:
+    """(at, next): place and kind of the first header behind an IPv6 header that is no extension.
+
+    Each extension takes eight bytes at least, so the steps are bounded by the
+    frame's own length.
+    """
+    counted = (0, 43, 60, 135, 139, 140)
+    start = F.struct(at.alias("at"), following.alias("next"))
+
+    def step(s: Column, _: Column) -> Column:
+        at, kind = s["at"], s["next"]
+        length = F.when(kind == 51, (_number(h, at + 1, 1) + 2) * 4).when(kind == 44, 8).otherwise((_number(h, at + 1, 1) + 1) * 8)
+        later = (kind == 44) & (_number(h, at + 2, 2) >= 8)
+        passed = F.struct((at + length).alias("at"), F.when(later, 59).otherwise(_number(h, at, 1)).alias("next"))
+        return F.when(kind.isin(44, 51, *counted), passed).otherwise(s)
+
+    walked = F.aggregate(F.sequence(F.lit(0), (size / 8).cast("int")), start, step)
+    return F.when(following.isin(44, 51, *counted), walked).otherwise(start)
+
+
 def transport(frames: DataFrame) -> DataFrame:
     """TCP or UDP over IPv4 or IPv6 on Ethernet; all other frames are dropped.
 
-    Adds addresses, ports, proto, srcMac and ``body``, the byte offset of the
-    transport payload.
+    Stacked VLAN tags, PPPoE sessions and IPv6 extension headers are passed over;
+    of a fragmented packet only the first fragment has ports.  Adds addresses,
+    ports, proto, srcMac and ``body``, the byte offset of the transport payload.
     """
     eth = frames.where(F.col("linktype") == ETHERNET)
-    # headers end within the first 160 bytes: link 18, network 60, transport 60
-    eth = derive_once(eth, {"_h": F.hex(F.substring("payload", 1, 160))})
-    tagged = F.substring("_h", 25, 4) == "8100"
-    eth = derive_once(eth, {"_l3": F.when(tagged, 18).otherwise(14), "_size": F.length("payload")})
-    kind = F.substring(F.col("_h"), F.col("_l3") * 2 - 3, F.lit(4))
-    l3 = F.col("_l3")
+    kind, following = F.hex(F.substring("payload", 13, 2)), F.hex(F.substring("payload", 21, 1))
+    plain = (kind == "0800") | ((kind == "86DD") & following.isin("06", "11"))
+    size = F.length("payload")
+    # headers of a plain frame end within the first 160 bytes: link 14, network 60, transport 60
+    eth = derive_once(eth, {"_size": size, "_h": F.hex(F.substring("payload", F.lit(1), F.when(plain, 160).otherwise(size)))})
+    tags = F.regexp_extract(F.substring("_h", 25, 1 << 20), r"^(?:(?:8100|88A8|9100)[0-9A-F]{4})*", 0)
+    eth = derive_once(eth, {"_type": (F.length(tags) / 2).cast("int") + 12})
+    outer = F.substring(F.col("_h"), F.col("_type") * 2 + 1, F.lit(4))
+    inner = F.substring(F.col("_h"), F.col("_type") * 2 + 17, F.lit(4))
+    session = F.when(inner == "0021", "0800").when(inner == "0057", "86DD")
+    eth = derive_once(eth, {
+        "_kind": F.when(outer == "8864", session).otherwise(outer),
+        "_l3": F.col("_type") + F.when(outer == "8864", 10).otherwise(2),
+    })
+    kind, l3 = F.col("_kind"), F.col("_l3")
     first = _number(F.col("_h"), l3, 1)
     unfragmented = F.pmod(_number(F.col("_h"), l3 + 6, 2), F.lit(8192)) == 0
     v4 = (kind == "0800") & (F.shiftright(first, 4) == 4) & unfragmented
     v6 = (kind == "86DD") & (F.shiftright(first, 4) == 6)
-    net = derive_once(eth, {
-        "_fam": F.when(v4, 4).when(v6, 6),
-        "_l4": F.when(v4, l3 + F.pmod(first, F.lit(16)) * 4).when(v6, l3 + 40),
-        "_proto": F.when(v4, _number(F.col("_h"), l3 + 9, 1)).when(v6, _number(F.col("_h"), l3 + 6, 1)),
+    net = derive_once(eth, {"_fam": F.when(v4, 4).when(v6, 6), "_first": first})
+    net = derive_once(net, {
+        "_ext": F.when(F.col("_fam") == 6, _past_extensions(F.col("_h"), l3 + 40, _number(F.col("_h"), l3 + 6, 1), F.col("_size"))),
+    })
+    net = derive_once(net, {
+        "_l4": F.when(F.col("_fam") == 4, l3 + F.pmod("_first", F.lit(16)) * 4).otherwise(F.col("_ext.at")),
+        "_proto": F.when(F.col("_fam") == 4, _number(F.col("_h"), l3 + 9, 1)).otherwise(F.col("_ext.next")),
     })
     net = net.where(
         ((F.col("_proto") == 6) & (F.col("_size") >= F.col("_l4") + 20))
@@ -129,7 +258,7 @@ def transport(frames: DataFrame) -> DataFrame:
     mapped = "^6" + "0" * 20 + "FFFF"
     keyed = keyed.withColumns({k: F.regexp_replace(k, mapped, "4") for k in ("srcKey", "destKey")})
     keyed = keyed.withColumns({"srcIP": key_text("srcKey"), "destIP": key_text("destKey")})
-    return keyed.drop("_h", "_l3", "_l4", "_fam", "_proto", "_size")
+    return keyed.drop("_h", "_type", "_kind", "_l3", "_l4", "_first", "_ext", "_fam", "_proto", "_size")
 
 
 def frames_ip(frames: DataFrame) -> DataFrame:
@@ -143,7 +272,7 @@ def frames_ip(frames: DataFrame) -> DataFrame:
 
 def _question(message: bytes) -> tuple[str | None, int | None]:
     """Name and type number of the first question of a DNS message."""
-    labels, at, after, hops = [], 12, None, 0
+    labels, at, after, seen = [], 12, None, set()
     while at < len(message):
         size = message[at]
         if size == 0:
@@ -152,10 +281,12 @@ def _question(message: bytes) -> tuple[str | None, int | None]:
                 return None, None
             return ".".join(labels), message[after] << 8 | message[after + 1]
         if size >= 0xC0:
-            if at + 1 >= len(message) or hops > 16:
+            # a pointer met twice leads in a circle
+            if at + 1 >= len(message) or at in seen:
                 return None, None
+            seen.add(at)
             after = at + 2 if after is None else after
-            at, hops = (size & 0x3F) << 8 | message[at + 1], hops + 1
+            at = (size & 0x3F) << 8 | message[at + 1]
             continue
         labels.append(message[at + 1 : at + 1 + size].decode("latin-1"))
         at += 1 + size
