@@ -2,10 +2,11 @@
 
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from wirelight.operators.dedup import dedup_horizon, keep_unlike_recent
-from wirelight.streaming.jobs import horizon_dedup, stateful_dedup
+from wirelight.streaming.jobs import horizon_dedup, stateful_dedup, tail_to_events
 
 
 def _streamed(spark, folder, batches, start):
@@ -55,3 +56,9 @@ def test_late_first_rows_are_kept(spark, tmp_path):
     out = f"{tmp_path}/out"
     _streamed(spark, str(tmp_path), [first, second], lambda s: horizon_dedup(s, ["q"], out, f"{tmp_path}/check", once=True))
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("name", ["edge", "pcap"])
+def test_tailing_takes_text_formats_only(spark, tmp_path, name):
+    with pytest.raises(ValueError, match="tailed"):
+        tail_to_events(spark, str(tmp_path), name, "dns", [], f"{tmp_path}/o", f"{tmp_path}/c", once=True)

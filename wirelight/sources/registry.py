@@ -22,11 +22,13 @@ class LogFormat:
     """How to scan a format, and one parser per event type it can hold.
 
     ``stateless`` parsers look at one line at a time and may run on a stream.
+    ``text`` formats are lines of text; only these can be tailed.
     """
 
     read: Reader
     parsers: dict[str, Parser]
     stateless: bool = True
+    text: bool = True
 
 
 _FORMATS: dict[str, LogFormat] = {}
@@ -94,5 +96,5 @@ register_format("bro", LogFormat(read_placed_lines, {k: _zeek(k) for k in ("dns"
 register_format("suricata", LogFormat(read_lines, {"dns": suricata.suricata_dns, "http": suricata.suricata_http}))
 register_format("msdns", LogFormat(read_lines, {"dns": dns_logs.msdns_dns}))
 register_format("syslog-named", LogFormat(read_lines, {"dns": dns_logs.named_dns}))
-register_format("edge", LogFormat(dns_logs.read_edge, {"dns": dns_logs.edge_dns}))
-register_format("pcap", LogFormat(pcap.pcap_frames, {"dns": pcap.frames_dns, "ip": pcap.frames_ip}))
+register_format("edge", LogFormat(dns_logs.read_edge, {"dns": dns_logs.edge_dns}, text=False))
+register_format("pcap", LogFormat(pcap.pcap_frames, {"dns": pcap.frames_dns, "ip": pcap.frames_ip}, text=False))

@@ -199,6 +199,8 @@ def tail_to_events(
     batches are read again as whole files.
     """
     fmt = get_format(log_format)
+    if not fmt.text:
+        raise ValueError(f"format {log_format!r} is not read line by line, so it can't be tailed")
     # a batch of whole files is read again by name, so its number of files is bounded
     lines = stream_lines(spark, landing, None if fmt.stateless else FILES_PER_BATCH)
     if fmt.stateless and event_type != "dns" and dead_letter_path is None:
