@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelight.operators.lookup import lookup_join
+from wirelight.operators.lookup import BROADCAST_BYTES, lookup_join, materialise, text_bytes
 from wirelight.operators.scope import groups_of_src
 from wirelight.sources.scope_file import ScopeGroup
 
@@ -46,13 +46,19 @@ def alert_threats(alerts: DataFrame) -> DataFrame:
 def join_catalogue(alerts: DataFrame, alert_id: str, ids: str, catalogue: DataFrame) -> DataFrame:
     """Threat entries from a separate catalogue table: (alert_id, threats, severity).
 
-    One row per alert.  The catalogue (id, title, severity, policy) is joined on
-    distinct threat ids, however often each id occurs.  Of several entries of an id
-    the greatest (by title, severity, policy) counts.
+    One row per alert.  The catalogue (id, title, severity, policy) is broadcast
+    while it is small in bytes, else joined on distinct threat ids, however often
+    each id occurs.  Of several entries of an id the greatest (by title, severity,
+    policy) counts.
     """
     facts = catalogue.groupBy(F.col("id").alias("key")).agg(F.max(F.struct("title", "severity", "policy")).alias("facts"))
+    facts = materialise(facts, "threats")
     exploded = alerts.select(alert_id, F.explode_outer(ids).alias("_threat"))
-    found = lookup_join(exploded, "_threat", lambda keys: keys.join(facts, "key"), "_facts")
+    if facts.agg(text_bytes(facts)).first()[0] <= BROADCAST_BYTES:
+        small = F.broadcast(facts.select(F.col("key").alias("_id"), F.col("facts").alias("_facts")))
+        found = exploded.join(small, F.col("_threat") == F.col("_id"), "left")
+    else:
+        found = lookup_join(exploded, "_threat", lambda keys: keys.join(facts, "key"), "_facts")
     entry = F.struct(F.col("_threat").alias("id"), _threat(F.col("_facts")).alias("threat"))
     # a set per alert: as many entries as the alert itself lists
     return found.groupBy(alert_id).agg(

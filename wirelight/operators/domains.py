@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelight.functions.names import name_suffixes, pattern_name, trusted_by, valid_pattern
-from wirelight.operators.lookup import lookup_join
+from wirelight.operators.lookup import broadcast_levels, level_join, lookup_join, materialise
 from wirelight.operators.networks import BROADCAST_LIMIT, LITERAL_LIMIT
 
 
@@ -17,7 +17,22 @@ def domain_table(patterns: DataFrame, pattern: str, *tags: str) -> DataFrame:
     ).distinct()
 
 
-def domain_hits(names: DataFrame, table: DataFrame, tag: str) -> DataFrame:
+def domain_entries(table: DataFrame, tag: str) -> DataFrame:
+    """One row (level, entry, tags) per entry of a domain table, as a written table.
+
+    The level is the number of labels of a ``*.`` entry, 0 for a whole name.
+    """
+    level = F.when(F.col("below"), F.size(F.split("name", r"\."))).otherwise(0)
+    entries = table.groupBy(level.alias("level"), F.col("name").alias("entry")).agg(F.collect_set(tag).alias("tags"))
+    return materialise(entries, "domains")
+
+
+def name_tail(key: str):
+    """What a name looks up at a level of ``domain_entries``."""
+    return lambda level: F.substring_index(key, ".", -level) if level else F.col(key)
+
+
+def domain_hits(names:DataFrame, table: DataFrame, tag: str) -> DataFrame:
     """(key, tag) for distinct lower-cased names (column ``key``) under a domain table."""
     longest = table.where("below").agg(F.max(F.size(F.split("name", r"\.")))).first()[0] or 0
     suffixes = F.transform(name_suffixes("key", longest), lambda s: F.struct(
@@ -46,6 +61,8 @@ def domain_join(
 ) -> DataFrame:
     """Add ``out``: sorted tags of all entries that cover the event's name."""
     table = domain_table(patterns, pattern, tag)
+    entries = domain_entries(table, tag)
+    levels = broadcast_levels(entries, F.lit(True))
 
     def facts(names: DataFrame) -> DataFrame:
         return domain_hits(names, table, tag).groupBy("key").agg(
@@ -53,10 +70,13 @@ def domain_join(
         )
 
     keyed = events.withColumn("_name", F.lower(name))
+    if levels is not None:
+        small = entries.select("level", "entry", F.struct("tags").alias("facts"))
+        found = level_join(keyed, small, levels[0], name_tail("_name"), "_facts")
+    else:
+        found = lookup_join(keyed, "_name", facts, "_facts")
     none = F.array().cast("array<string>")
-    return lookup_join(keyed, "_name", facts, "_facts").select(
-        *events.columns, F.coalesce("_facts.tags", none).alias(out)
-    )
+    return found.select(*events.columns, F.coalesce("_facts.tags", none).alias(out))
 
 
 def drop_trusted(events: DataFrame, name: str, patterns: DataFrame, pattern: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Left join of a large event table with facts about one of its key columns.
 
-One key may hold a third of all rows.  The facts are worked out once per
-distinct key (partial aggregation removes the repeats before any shuffle).  The
-hottest keys, a fixed number of them, are joined by broadcast; only the rest is
-shuffled, and no key of that rest can hold more than one part in
-``HOT_KEYS`` of the rows.
+``level_join`` is for facts of a proven size: they are broadcast, the events are
+read once, in place and only in the columns that are wanted.
+
+``lookup_join`` is for facts of any size.  One key may hold a third of all rows.
+The facts are worked out once per distinct key (partial aggregation removes the
+repeats before any shuffle).  The hottest keys, a fixed number of them, are joined
+by broadcast; only the rest is shuffled, and no key of that rest can hold more
+than one part in ``HOT_KEYS`` of the rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,49 @@ from wirelight.session import work_dir
 HOT_KEYS = 1024
 _SPREAD = 4096
 
+# Facts of at most this many bytes, written out as text, are broadcast.
+BROADCAST_BYTES = 16 << 20
+MOST_LEVELS = 40
+
+
+def text_bytes(df: DataFrame) -> Column:
+    """Aggregate: the size of a table's rows, written out as text."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+
+
+def broadcast_levels(entries: DataFrame, *wanted: Column) -> list[list[int]] | None:
+    """Per condition the levels of its entries; None when the table is too large for ``level_join``."""
+    levels = [F.collect_set(F.when(condition, F.col("level"))) for condition in wanted]
+    size, *found = entries.agg(text_bytes(entries), *levels).first()
+    fits = size <= BROADCAST_BYTES and all(len(f) <= MOST_LEVELS for f in found)
+    return [sorted(f) for f in found] if fits else None
+
+
+def level_join(
+    rows: DataFrame, entries: DataFrame, levels: list[int], probe: Callable[[int], Column], out: str
+) -> DataFrame:
+    """Add struct column ``out``: the facts of all entries that cover a row, merged.
+
+    ``entries`` has one row (level, entry, facts) per entry, ``facts`` being a
+    struct of arrays; ``probe`` gives what a row looks up at a level.  A broadcast
+    join per level: no shuffle, and a row never becomes several.
+    """
+    before, found = rows.columns, []
+    for level in levels:
+        side = entries.where(F.col("level") == level).select(
+            F.col("entry").alias("_entry"), F.col("facts").alias(f"_level_{level}")
+        )
+        rows = rows.join(F.broadcast(side), probe(level) == F.col("_entry"), "left").drop("_entry")
+        found.append(f"_level_{level}")
+
+    def merged(field: T.StructField) -> Column:
+        none = F.array().cast(field.dataType)
+        lists = [F.coalesce(F.col(f)[field.name], none) for f in found]
+        return (F.array_sort(F.array_distinct(F.concat(*lists))) if lists else none).alias(field.name)
+
+    fields = entries.schema["facts"].dataType.fields
+    return rows.select(*before, F.struct(*[merged(f) for f in fields]).alias(out))
+
 
 def _row_spread(df: DataFrame) -> Column:
     """A deterministic per-row number, to scatter rows that need no join."""

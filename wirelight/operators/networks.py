@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wirelight.functions.columns import ColumnOrName
 from wirelight.functions.ip import cidr_prefixes, in_prefixes, with_cidr_keys, with_ip_keys
-from wirelight.operators.lookup import lookup_join, materialise
+from wirelight.operators.lookup import broadcast_levels, level_join, lookup_join, materialise
 
 ANYWHERE = ("0.0.0.0/0", "::/0")
 
@@ -95,13 +95,28 @@ def network_table(cidrs: DataFrame, cidr: str, *tags: str, strict: bool = False)
 
     Malformed networks are left out, or an error with ``strict``.
     """
+    return materialise(_prefix_rows(cidrs, cidr, *tags, strict=strict).distinct(), "networks")
+
+
+def network_entries(cidrs: DataFrame, cidr: str, tag: str, strict: bool = False) -> DataFrame:
+    """One row (level, entry, tags) per distinct key prefix, its length being the level, as a written table."""
+    rows = _prefix_rows(cidrs, cidr, tag, strict=strict)
+    entries = rows.groupBy(F.col("prefix").alias("entry")).agg(F.collect_set(tag).alias("tags"))
+    return materialise(entries.select(F.length("entry").alias("level"), "entry", "tags"), "networks")
+
+
+def key_prefix(key: str):
+    """What an address key looks up at a level of ``network_entries``."""
+    return lambda level: F.substring(key, 1, level)
+
+
+def _prefix_rows(cidrs: DataFrame, cidr: str, *tags: str, strict: bool = False) -> DataFrame:
     keyed = with_cidr_keys(cidrs.select(cidr, *tags), cidr, "_net")
     prefixes = cidr_prefixes(cidr, "_net")
     if strict:
         message = F.concat(F.coalesce(F.col(cidr), F.lit("NULL")), F.lit(" is not cidr or ip"))
         prefixes = F.coalesce(prefixes, F.raise_error(message).cast("array<string>"))
-    exploded = keyed.select(F.explode(prefixes).alias("prefix"), *tags)
-    return materialise(exploded.distinct(), "networks")
+    return keyed.select(F.explode(prefixes).alias("prefix"), *tags)
 
 
 def _candidate_prefixes(keys: DataFrame, networks: DataFrame) -> DataFrame:
@@ -134,10 +149,19 @@ def cidr_join(
 ) -> DataFrame:
     """Add ``out``: the sorted tags of all networks that hold the event's address.
 
-    Scales in both tables: only distinct addresses meet the networks, through an
-    equi-join on key prefixes.
+    Networks of a small size in bytes are broadcast.  Beyond it only distinct
+    addresses meet the networks, through an equi-join on key prefixes.
     """
-    networks = network_table(cidrs, cidr, tag)
+    entries = network_entries(cidrs, cidr, tag)
+    levels = broadcast_levels(entries, F.lit(True))
+    none = F.array().cast("array<string>")
+    if levels is not None:
+        keyed = with_ip_keys(events, {"_ip_key": ip})
+        small = entries.select("level", "entry", F.struct("tags").alias("facts"))
+        return level_join(keyed, small, levels[0], key_prefix("_ip_key"), "_facts").select(
+            *events.columns, F.coalesce("_facts.tags", none).alias(out)
+        )
+    networks = entries.select(F.col("entry").alias("prefix"), F.explode("tags").alias(tag))
 
     def facts(keys: DataFrame) -> DataFrame:
         hits = key_hits(keys, networks, tag)
@@ -147,7 +171,6 @@ def cidr_join(
 
     keyed = with_ip_keys(events, {"_ip_key": ip})
     joined = lookup_join(keyed, "_ip_key", facts, "_facts")
-    none = F.array().cast("array<string>")
     return joined.select(*events.columns, F.coalesce("_facts.tags", none).alias(out))
 
 

@@ -6,7 +6,8 @@ excludes it.  Two physical forms give the same answer:
 * ``scope_ip`` / ``scope_dns`` / ``scope_http``: the groups become literal
   membership tests.  No shuffle, works on streams; for scopes up to a few
   thousand entries.
-* ``scope_join``: the scope stays a table of any size and is joined on distinct
+* ``scope_join``: the scope stays a table of any size.  Its networks and names are
+  broadcast while they are small in bytes; beyond it, it is joined on distinct
   addresses and names (see ``operators.lookup``).
 """
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from wirelight.functions.columns import any_of, derive_once
 from wirelight.functions.ip import in_prefixes, with_ip_keys
 from wirelight.functions.names import trusted_by, url_host, valid_pattern
-from wirelight.operators.domains import domain_hits, domain_table
-from wirelight.operators.lookup import lookup_join
-from wirelight.operators.networks import key_hits, keyed_events, network_table
+from wirelight.operators.domains import domain_entries, domain_hits, domain_table, name_tail
+from wirelight.operators.lookup import broadcast_levels, level_join, lookup_join
+from wirelight.operators.networks import key_hits, key_prefix, keyed_events, network_entries
 from wirelight.sources.scope_file import ScopeGroup, scope_domains, scope_networks
 
 NO_DATA = "<no-data>"
@@ -141,12 +142,27 @@ def groups_of_src(events: DataFrame, groups: Sequence[ScopeGroup], out: str, ip:
     return keyed.select(*events.columns, listed.alias(out))
 
 
+_SRC_ROLES, _DST_ROLES = ("src_in", "src_dst", "src_out"), ("dst_in", "dst_out")
+
+
+def _has_role(roles: Sequence[str]) -> Column:
+    return F.exists("tags", lambda t: t["role"].isin(*roles))
+
+
+def _role_lists(entries: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """(level, entry, tags) -> facts with one group array per role."""
+
+    def names(role: str) -> Column:
+        return F.transform(F.filter("tags", lambda t: t["role"] == role), lambda t: t["name"]).alias(role)
+
+    return entries.where(_has_role(roles)).select("level", "entry", F.struct(*[names(r) for r in roles]).alias("facts"))
+
+
 def _name_sets(hits: DataFrame) -> DataFrame:
     """(key, group, role) -> facts with one group array per role."""
-    roles = ("src_in", "src_dst", "src_out", "dst_in", "dst_out")
     sets = [
         F.array_sort(F.collect_set(F.when(F.col("tag.role") == r, F.col("tag.name")))).alias(r)
-        for r in roles
+        for r in (*_SRC_ROLES, *_DST_ROLES)
     ]
     return hits.groupBy("key").agg(F.struct(*sets).alias("facts"))
 
@@ -173,11 +189,16 @@ def scope_join(
     named = scope_networks(scope)
     whole = ~F.col("role").isin("src_in", "src_dst", "dst_in") | F.contains("cidr", F.lit("/"))
     tag = F.struct("name", "role").alias("tag")
-    networks = network_table(_valid_or_fail(named, whole, "cidr", "network").select("cidr", tag), "cidr", "tag", strict=True)
+    entries = network_entries(_valid_or_fail(named, whole, "cidr", "network").select("cidr", tag), "cidr", "tag", strict=True)
+    sides = (_SRC_ROLES, _DST_ROLES)
+    levels = broadcast_levels(entries, *[_has_role(roles) for roles in sides])
 
-    def addresses(*roles: str):
-        wanted = networks.where(F.col("tag.role").isin(*roles))
-        return lambda keys: _name_sets(key_hits(keys, wanted, "tag"))
+    def with_groups(rows: DataFrame, key: str, roles: Sequence[str], out: str) -> DataFrame:
+        if levels is not None:
+            return level_join(rows, _role_lists(entries, roles), levels[sides.index(roles)], key_prefix(key), out)
+        tagged = entries.select(F.col("entry").alias("prefix"), F.explode("tags").alias("tag"))
+        wanted = tagged.where(F.col("tag.role").isin(*roles))
+        return lookup_join(rows, key, lambda keys: _name_sets(key_hits(keys, wanted, "tag")), out, keys_from=keyed)
 
     by_dest = event_type in ("ip", "tls") or (event_type == "dns" and use_dest)
     keyed = keyed_events(events, "_src", "_dst" if by_dest else None)
@@ -185,13 +206,13 @@ def scope_join(
         keyed = keyed.withColumn("_name", F.lower("query"))
     elif event_type == "http":
         keyed = keyed.withColumn("_name", url_host("url"))
-    joined = lookup_join(keyed, "_src", addresses("src_in", "src_dst", "src_out"), "_src_groups")
+    joined = with_groups(keyed, "_src", _SRC_ROLES, "_src_groups")
     none = F.array().cast("array<string>")
     anywhere, bound = F.coalesce("_src_groups.src_in", none), F.coalesce("_src_groups.src_dst", none)
     excluded = [F.coalesce("_src_groups.src_out", none)]
     missing = F.col("_src").isNull()
     if by_dest:
-        joined = lookup_join(joined, "_dst", addresses("dst_in", "dst_out"), "_dst_groups", keys_from=keyed)
+        joined = with_groups(joined, "_dst", _DST_ROLES, "_dst_groups")
         # a source that is excluded needn't ask for the destination
         reached = F.array_intersect(bound, F.concat(excluded[0], F.coalesce("_dst_groups.dst_in", none)))
         bound = F.when(F.col("_dst").isNull(), bound).otherwise(reached)
@@ -202,14 +223,20 @@ def scope_join(
     else:
         trusted = _valid_or_fail(scope_domains(scope), valid_pattern("pattern"), "pattern", "domain name")
         table = domain_table(trusted.withColumnRenamed("name", "tag"), "pattern", "tag")
+        names = domain_entries(table, "tag")
+        name_levels = broadcast_levels(names, F.lit(True))
 
-        def trusting(names: DataFrame) -> DataFrame:
-            return domain_hits(names, table, "tag").groupBy("key").agg(
-                F.struct(F.collect_set("tag").alias("groups")).alias("facts")
+        def trusting(asked: DataFrame) -> DataFrame:
+            return domain_hits(asked, table, "tag").groupBy("key").agg(
+                F.struct(F.collect_set("tag").alias("tags")).alias("facts")
             )
 
-        joined = lookup_join(joined, "_name", trusting, "_name_groups", keys_from=keyed)
-        excluded.append(F.coalesce("_name_groups.groups", none))
+        if name_levels is not None:
+            small = names.select("level", "entry", F.struct("tags").alias("facts"))
+            joined = level_join(joined, small, name_levels[0], name_tail("_name"), "_name_groups")
+        else:
+            joined = lookup_join(joined, "_name", trusting, "_name_groups", keys_from=keyed)
+        excluded.append(F.coalesce("_name_groups.tags", none))
         field = "query" if event_type == "dns" else "url"
         missing = missing | (F.coalesce(F.col(field), F.lit("")) == "")
     denied = F.array_min(F.array_intersect(included, F.flatten(F.array(*excluded))))

@@ -98,12 +98,11 @@ def doc_tls(spark: SparkSession, sf: str) -> DataFrame:
     return _us(out.select("srcIP", "destIP", "issuer", "validFrom", "validTo", "ja3"), "validFrom", "validTo")
 
 
-@query("s21_field_map", f"SELECT {_ID} AS id, \"query\" AS qtype, qtype AS \"query\" FROM {view_sql('dns')} WHERE event_id % 7 <> 6")
+@query("s21_field_map", f"SELECT {_ID} AS id, CASE WHEN event_id % 7 = 6 THEN '' ELSE \"query\" END AS qtype, qtype AS \"query\" FROM {view_sql('dns')}")
 def field_map(spark: SparkSession, sf: str) -> DataFrame:
     """The user's paths win field by field: name and type swapped."""
     swapped = Search("dns", "ecs", fields={"query": "dns.question.type", "qtype": "dns.question.name"})
-    out = decode(dns_documents(spark, sf), swapped).where(F.col("qtype") != "")
-    return out.select("id", "query", "qtype")
+    return decode(dns_documents(spark, sf), swapped).select("id", "query", "qtype")
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:

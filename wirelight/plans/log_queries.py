@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelight.functions.ip import with_ip_keys
 from wirelight.functions.ja3 import frames_ja3
 from wirelight.operators.projections import with_direction, with_sensor_direction
 from wirelight.plans.registry import query
@@ -186,18 +187,29 @@ def _le32(value: Column) -> Column:
     return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
 
 
-def _address(ip: str) -> Column:
-    return F.concat(*[_hex(F.split_part(F.col(ip), F.lit("."), F.lit(i)).cast("int"), 2) for i in range(1, 5)])
+def _narrow(key: str) -> Column:
+    return F.substring(key, 2, 8)
+
+
+def _wide(key: str) -> Column:
+    """16 address bytes; an IPv4 address in mapped form."""
+    return F.when(F.col(key).startswith("4"), F.concat(F.lit("0" * 20 + "FFFF"), _narrow(key))).otherwise(F.substring(key, 2, 32))
 
 
 def _captures(rows: DataFrame, key: str, seq: str, body: Column, proto: int) -> DataFrame:
-    """Capture files (path, content), one per key, of Ethernet/IPv4 frames around a transport body (hex)."""
+    """Capture files (path, content), one per key, of Ethernet frames around a transport body (hex).
+
+    Two IPv4 addresses travel in IPv4, all others in IPv6; what is no address has no frame.
+    """
+    rows = with_ip_keys(rows, {"_src": "srcIP", "_dst": "destIP"}).where("_src IS NOT NULL AND _dst IS NOT NULL")
     rows = rows.withColumn("_body", body).withColumn("_len", (F.length("_body") / 2).cast("int"))
     mac = F.concat(F.lit("0200000000"), _hex(F.pmod(F.col("srcPort"), F.lit(4)), 2))
-    frame = F.concat(F.lit("020000000099"), mac, F.lit("08004500"), _hex(F.col("_len") + 20, 4), F.lit("0001000040"), _hex(proto, 2), F.lit("0000"),
-                     _address("srcIP"), _address("destIP"), F.col("_body"))
+    four = F.col("_src").startswith("4") & F.col("_dst").startswith("4")
+    v4 = F.concat(F.lit("08004500"), _hex(F.col("_len") + 20, 4), F.lit("0001000040"), _hex(proto, 2), F.lit("0000"), _narrow("_src"), _narrow("_dst"))
+    v6 = F.concat(F.lit("86DD60000000"), _hex(F.col("_len"), 4), _hex(proto, 2), F.lit("40"), _wide("_src"), _wide("_dst"))
+    frame = F.concat(F.lit("020000000099"), mac, F.when(four, v4).otherwise(v6), F.col("_body"))
     us = F.unix_micros("ts")
-    size = _le32(F.col("_len") + 34)
+    size = _le32(F.col("_len") + F.when(four, 34).otherwise(54))
     record = F.concat(_le32((us / 1000000).cast("bigint")), _le32(F.pmod(us, F.lit(1000000))), size, size, frame)
     head = "d4c3b2a1" + "02000400" + "00000000" * 2 + "ffff0000" + "01000000"
     # a key holds a handful of frames
@@ -206,21 +218,22 @@ def _captures(rows: DataFrame, key: str, seq: str, body: Column, proto: int) ->
     ).select("path", F.unhex(F.concat(F.lit(head), F.array_join(F.col("f.r"), ""))).alias("content"))
 
 
-_FRAMED = f"{view_sql('conn')} WHERE {valid4('\"srcIP\"')} AND {valid4('\"destIP\"')}"
+_FRAMED = f"{view_sql('conn')} WHERE {valid_ip('\"srcIP\"')} AND {valid_ip('\"destIP\"')}"
+_HEADERS = f"CASE WHEN {valid4('\"srcIP\"')} AND {valid4('\"destIP\"')} THEN 42 ELSE 62 END"
 
 
 def _conn_captures(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "conn").where(r"srcIP rlike '^[0-9.]+$' AND srcIP NOT LIKE '%.300.%' AND destIP rlike '^[0-9.]+$'")
+    rows = view(spark, sf, "conn")
     udp = F.concat(_hex(F.col("srcPort"), 4), _hex(F.col("destPort"), 4), _hex(8, 4), F.lit("0000"), F.repeat(F.lit("AB"), F.col("bytesCount").cast("int")))
     return _captures(rows, "order_id", "conn_id", udp, 17)
 
 
-@query("s10_pcap_frames", f"SELECT CAST(order_id AS VARCHAR) AS source_file, epoch_us(ts) AS ts, 1 AS linktype, CAST(42 + \"bytesCount\" AS INTEGER) AS captured FROM {_FRAMED}")
+@query("s10_pcap_frames", f"SELECT CAST(order_id AS VARCHAR) AS source_file, epoch_us(ts) AS ts, 1 AS linktype, CAST({_HEADERS} + \"bytesCount\" AS INTEGER) AS captured FROM {_FRAMED}")
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     return _us(split_captures(_conn_captures(spark, sf)).select("source_file", "ts", "linktype", "captured"), "ts")
 
 
-@query("s11_frames_ip", f"""SELECT epoch_us(ts) AS ts, "srcIP", "srcPort", "destIP", "destPort", 'udp' AS proto, 42 + "bytesCount" AS "bytesCount" FROM {_FRAMED}""")
+@query("s11_frames_ip", f"""SELECT epoch_us(ts) AS ts, "srcIP", "srcPort", "destIP", "destPort", 'udp' AS proto, {_HEADERS} + "bytesCount" AS "bytesCount" FROM {_FRAMED}""")
 def frame_connections(spark: SparkSession, sf: str) -> DataFrame:
     out = registry.parse(split_captures(_conn_captures(spark, sf)), "pcap", "ip")
     return _us(out.select("ts", "srcIP", "srcPort", "destIP", "destPort", "proto", "bytesCount"), "ts")
@@ -243,10 +256,10 @@ def sensor_directions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s12_frames_dns", f"""SELECT epoch_us(ts) AS ts, "srcIP", "srcPort", 53 AS "destPort", 'udp' AS proto, concat('host', lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0'), '.org') AS "query",
- CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'AAAA' END AS qtype FROM {view_sql('dns')} WHERE {valid4('"srcIP"')} AND event_id % 4 <> 3""")
+ CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'AAAA' END AS qtype FROM {view_sql('dns')} WHERE event_id % 4 <> 3""")
 def frame_queries(spark: SparkSession, sf: str) -> DataFrame:
     """DNS messages in frames; every fourth is an answer."""
-    rows = view(spark, sf, "dns").where("srcIP NOT LIKE '%:%'")
+    rows = view(spark, sf, "dns")
     label = F.concat(F.lit("host"), F.lpad(F.pmod("event_id", F.lit(1000)).cast("string"), 3, "0"))
     flags = F.when(F.col("event_id") % 4 == 3, "8180").otherwise("0100")
     kind = F.when(F.col("event_id") % 2 == 0, "0001").otherwise("001C")
@@ -260,7 +273,7 @@ def frame_queries(spark: SparkSession, sf: str) -> DataFrame:
 @query("f23_ja3", f"SELECT \"srcPort\", ja3_text, md5(ja3_text) AS ja3 FROM (SELECT \"srcPort\", concat('771,', CAST(order_id % 1000 + 1 AS VARCHAR), '-47,10-11,23-24,0') AS ja3_text FROM {_FRAMED})")
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Client hellos in frames, with GREASE values to be left out."""
-    rows = view(spark, sf, "conn").where(r"srcIP rlike '^[0-9.]+$' AND srcIP NOT LIKE '%.300.%' AND destIP rlike '^[0-9.]+$'")
+    rows = view(spark, sf, "conn")
     suites = F.concat(F.lit("0A0A"), _hex(F.pmod("order_id", F.lit(1000)) + 1, 4), F.lit("002F"))
     extensions = "2A2A0000" + "000A00080006" + "1A1A00170018" + "000B00020100"
     hello = F.concat(F.lit("0303" + "00" * 32 + "00" + "0006"), suites, F.lit("0100" + f"{len(extensions) // 2:04X}" + extensions))
