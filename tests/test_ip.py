@@ -145,7 +145,7 @@ def test_cidr_join_matches_brute_force(spark, monkeypatch):
     expected = {i: want(x) if x else [] for i, x in enumerate(ips)}
     got = {r.id: r.tags for r in cidr_join(ev, "ip", nets, "cidr", "tag", "tags").collect()}
     assert got == expected
-    monkeypatch.setattr(networks, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr("wirelight.operators.lookup.BROADCAST_BYTES", 0)
     monkeypatch.setattr(lookup, "HOT_KEYS", 2)
     got = {r.id: r.tags for r in cidr_join(ev, "ip", nets, "cidr", "tag", "tags").collect()}
     assert got == expected

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wirelight.operators import lookup, networks
+from wirelight.operators import lookup
 from wirelight.operators.domains import domain_join, drop_trusted
 from wirelight.operators.scope import (
     fold_verdicts, groups_of_src, scope_dns, scope_http, scope_ip, scope_join,
@@ -74,8 +74,7 @@ def _mixed_groups():
 @pytest.mark.parametrize("tiny", [False, True])
 def test_join_form_agrees_with_literal_form(spark, monkeypatch, tiny):
     if tiny:
-        monkeypatch.setattr(networks, "BROADCAST_LIMIT", 0)
-        monkeypatch.setattr("wirelight.operators.domains.BROADCAST_LIMIT", 0)
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(lookup, "HOT_KEYS", 1)
     srcs = ["10.0.0.1", "10.1.0.1", "10.9.0.1", "172.16.3.4", "9.9.9.9", "fd00::5", "bad", None]
     dsts = ["8.8.8.8", "1.1.1.1", "10.2.0.1", "230.0.0.1", None]
@@ -164,7 +163,7 @@ def test_domain_patterns(spark, monkeypatch):
     rest = {r.n for r in drop_trusted(df, "n", table, "p").collect()}
     assert rest == set(names) - want
     monkeypatch.setattr("wirelight.operators.domains.LITERAL_LIMIT", 0)
-    monkeypatch.setattr("wirelight.operators.domains.BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
     assert {r.n for r in drop_trusted(df, "n", table, "p").collect()} == rest
 
 

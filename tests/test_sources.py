@@ -49,7 +49,7 @@ def test_zeek_dns(spark, tmp_path):
 
 
 def test_zeek_many_files_path(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("wirelight.sources.zeek.BROADCAST_LIMIT", 0)
+    monkeypatch.setattr("wirelight.operators.lookup.BROADCAST_BYTES", 0)
     for i in range(3):
         _write(tmp_path / f"{i}.log", HEAD + [DNS_FIELDS, f"170000000{i}.0\tC\t10.0.0.{i}\t1\t10.0.0.9\t53\tudp\tq{i}\tA"])
     rows = zeek_events(read_placed_lines(spark, str(tmp_path)), "dns").collect()

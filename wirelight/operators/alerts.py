@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelight.operators.lookup import BROADCAST_BYTES, lookup_join, materialise, text_bytes
+from wirelight.operators.lookup import fits_broadcast, lookup_join, materialise
 from wirelight.operators.scope import groups_of_src
 from wirelight.sources.scope_file import ScopeGroup
 
@@ -54,7 +54,7 @@ def join_catalogue(alerts: DataFrame, alert_id: str, ids: str, catalogue: DataFr
     facts = catalogue.groupBy(F.col("id").alias("key")).agg(F.max(F.struct("title", "severity", "policy")).alias("facts"))
     facts = materialise(facts, "threats")
     exploded = alerts.select(alert_id, F.explode_outer(ids).alias("_threat"))
-    if facts.agg(text_bytes(facts)).first()[0] <= BROADCAST_BYTES:
+    if fits_broadcast(facts):
         small = F.broadcast(facts.select(F.col("key").alias("_id"), F.col("facts").alias("_facts")))
         found = exploded.join(small, F.col("_threat") == F.col("_id"), "left")
     else:

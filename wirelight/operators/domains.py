@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelight.functions.names import name_suffixes, pattern_name, trusted_by, valid_pattern
-from wirelight.operators.lookup import broadcast_levels, level_join, lookup_join, materialise
-from wirelight.operators.networks import BROADCAST_LIMIT, LITERAL_LIMIT
+from wirelight.operators.lookup import broadcast_levels, fits_broadcast, level_join, lookup_join, materialise
+from wirelight.operators.networks import LITERAL_LIMIT
 
 
 def domain_table(patterns: DataFrame, pattern: str, *tags: str) -> DataFrame:
@@ -32,7 +32,7 @@ def name_tail(key: str):
     return lambda level: F.substring_index(key, ".", -level) if level else F.col(key)
 
 
-def domain_hits(names:DataFrame, table: DataFrame, tag: str) -> DataFrame:
+def domain_hits(names: DataFrame, table: DataFrame, tag: str) -> DataFrame:
     """(key, tag) for distinct lower-cased names (column ``key``) under a domain table."""
     longest = table.where("below").agg(F.max(F.size(F.split("name", r"\.")))).first()[0] or 0
     suffixes = F.transform(name_suffixes("key", longest), lambda s: F.struct(
@@ -42,7 +42,7 @@ def domain_hits(names:DataFrame, table: DataFrame, tag: str) -> DataFrame:
     exploded = names.where(F.col("key") != "").select(
         "key", F.inline(F.concat(whole, suffixes) if longest else whole)
     )
-    if table.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT:
+    if fits_broadcast(table):
         return exploded.join(F.broadcast(table), ["name", "below"]).select("key", tag).distinct()
 
     def entry(name: str, below: str):

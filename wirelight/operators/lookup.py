@@ -33,6 +33,10 @@ def text_bytes(df: DataFrame) -> Column:
     return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    return df.agg(text_bytes(df)).first()[0] <= BROADCAST_BYTES
+
+
 def broadcast_levels(entries: DataFrame, *wanted: Column) -> list[list[int]] | None:
     """Per condition the levels of its entries; None when the table is too large for ``level_join``."""
     levels = [F.collect_set(F.when(condition, F.col("level"))) for condition in wanted]

@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 
 from wirelight.functions.columns import ColumnOrName
 from wirelight.functions.ip import cidr_prefixes, in_prefixes, with_cidr_keys, with_ip_keys
-from wirelight.operators.lookup import broadcast_levels, level_join, lookup_join, materialise
+from wirelight.operators.lookup import broadcast_levels, fits_broadcast, level_join, lookup_join, materialise
 
 ANYWHERE = ("0.0.0.0/0", "::/0")
 
 # Above this many networks in one list, tests become joins.
 LITERAL_LIMIT = 2000
 
-# A network table of at most this many (short) rows is joined by broadcast.
-BROADCAST_LIMIT = 100_000
-
 
 def network_prefixes(entry: str, plain_ip: bool = False) -> list[str]:
     """Key prefixes of one configured network; ValueError when it is malformed."""
@@ -134,7 +131,7 @@ def _candidate_prefixes(keys: DataFrame, networks: DataFrame) -> DataFrame:
 def key_hits(keys: DataFrame, networks: DataFrame, tag: str) -> DataFrame:
     """Join distinct address keys with a network table: (key, tag), distinct."""
     candidates = _candidate_prefixes(keys, networks)
-    if networks.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT:
+    if fits_broadcast(networks):
         return candidates.join(F.broadcast(networks), "prefix").select("key", tag).distinct()
     # wide networks hold very many addresses, hence the skew-safe join here too
     tagged = networks.groupBy(F.col("prefix").alias("key")).agg(

@@ -16,8 +16,7 @@ from pyspark.sql.window import Window
 from wirelight.functions import values as v
 from wirelight.functions.columns import derive_once
 from wirelight.functions.times import zeek_epoch
-from wirelight.operators.lookup import lookup_join, materialise
-from wirelight.operators.networks import BROADCAST_LIMIT
+from wirelight.operators.lookup import fits_broadcast, lookup_join, materialise
 from wirelight.sources.lines import RAW, finish, first_error
 
 _FIELDS = {
@@ -94,7 +93,7 @@ def zeek_rows(lines: DataFrame, names: list[str]) -> DataFrame:
     data = lines.withColumn("_line", v.trim_space("value")).where(
         (F.col("_line") != "") & ~F.col("_line").startswith("#")
     )
-    if headers.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT:
+    if fits_broadcast(headers):
         data = data.join(F.broadcast(headers), "source_file", "left")
     else:
         facts = headers.select(F.col("source_file").alias("key"), F.struct("versions").alias("facts"))
