@@ -70,6 +70,19 @@ def test_jaccard_empty(spark):
     assert ngram_jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_jaccard_hot_class_and_near_copies_in_other_buckets(spark, monkeypatch):
+    rows: list[tuple[int, str | None]] = []
+    for base in texts_of(5, 120, 31):
+        rows += [(len(rows) + i, base) for i in range(60)]
+        rows.append((len(rows), " ".join([*base.split()[:-1], "changed"])))
+    rows += [(len(rows) + i, t) for i, t in enumerate(texts_of(5, 60, 32))]
+    monkeypatch.setattr(ngram_jaccard, "BUCKET", 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components(rows)
+    assert len(set(got.values())) == 10
+
+
 def test_connected_and_look_up(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]

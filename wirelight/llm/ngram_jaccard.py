@@ -39,7 +39,7 @@ from wirelight.llm.workspace import Workspace, connected, look_up
 
 CELLS = 1 << 20  # of the sketch: 4 MB on every executor, whatever the input
 CELL_ROWS = 64
-BUCKET = 400_000  # postings a bucket, on average and at most for one shingle
+BUCKET = 400_000  # postings a bucket, on average; a shingle with more is split over several
 BLOCK = 50_000  # sets a verification block
 FRAGMENTS = 16
 SHORT_LIST = 32
@@ -175,8 +175,11 @@ def _has_partner(shingle, n, place, percent: int) -> np.ndarray:
     return keep
 
 
-def _shared(percent: int):
-    """A bucket's postings of shingles that two classes have (y NULL), and pairs of neighbours in their lists (y set)."""
+def _shared(order, percent: int):
+    """A bucket's postings of shingles that two classes have (y NULL), and pairs of neighbours in their lists (y set).
+
+    Of a shingle that is split over buckets every posting stays, as its partners may lie in another one.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cols: list[list[np.ndarray]] = [[], [], [], []]
@@ -190,8 +193,9 @@ def _shared(percent: int):
         keep = np.ones(len(by), dtype=bool)
         keep[1:] = (shingle[1:] != shingle[:-1]) | (klass[1:] != klass[:-1])
         shingle, klass, n, place = shingle[keep], klass[keep], n[keep], place[keep]
-        keep = _has_partner(shingle, n, place, percent)
-        shingle, klass, n, place = shingle[keep], klass[keep], n[keep], place[keep]
+        split = order.value.of(shingle.view(np.uint64)) >= BUCKET
+        keep = _has_partner(shingle, n, place, percent) | split
+        shingle, klass, n, place, split = shingle[keep], klass[keep], n[keep], place[keep], split[keep]
         found = []
         for turn in range(3):
             by = np.arange(len(shingle)) if not turn else np.lexsort((mix(klass.view(np.uint64) + np.uint64(turn)), shingle))
@@ -200,8 +204,8 @@ def _shared(percent: int):
             found.append(np.stack([np.minimum(klass[a], klass[b])[ok], np.maximum(klass[a], klass[b])[ok]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         none = np.full(len(shingle), pd.NA, dtype=object)
-        postings = pd.DataFrame({"shingle": shingle, "klass": klass, "n": n, "place": place.astype(np.int64), "y": pd.array(none, dtype="Int64")})
-        near = pd.DataFrame({"shingle": 0, "klass": pairs[:, 0], "n": 0, "place": 0, "y": pd.array(pairs[:, 1], dtype="Int64")})
+        postings = pd.DataFrame({"shingle": shingle, "klass": klass, "n": n, "place": place.astype(np.int64), "y": pd.array(none, dtype="Int64"), "split": split})
+        near = pd.DataFrame({"shingle": 0, "klass": pairs[:, 0], "n": 0, "place": 0, "y": pd.array(pairs[:, 1], dtype="Int64"), "split": False})
         return pd.concat([postings, near], ignore_index=True)
 
     return run
@@ -222,7 +226,7 @@ def _across(percent: int):
                 ok = (comp[y] != comp[x]) & _may_link(n[x], n[y], place[x], place[y], percent)
                 if ok.any():
                     found.setdefault(int(klass[x]), []).append(klass[y[ok]])
-        return pd.DataFrame({"x": pd.Series(list(found), dtype="int64"), "ys": [np.unique(np.concatenate(v)) for v in found.values()]})
+        return pd.DataFrame({"x": pd.Series(list(found), dtype="int64"), "ys": pd.Series([np.unique(np.concatenate(v)) for v in found.values()], dtype=object)})
 
     return run
 
@@ -365,8 +369,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     buckets = max(spark.sparkContext.defaultParallelism, 1 + prefixes // BUCKET)
     packed = _prefixes(docs, order, buckets, size, percent)
-    both = space.keep(packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared(percent), "shingle long, klass long, n long, place long, y long"), "shared")
-    shared = both.where("y IS NULL").select("shingle", "klass", "n", "place")
+    both = space.keep(packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared(order, percent), "shingle long, klass long, n long, place long, y long, split boolean"), "shared")
+    shared = both.where("y IS NULL AND NOT split").select("shingle", "klass", "n", "place")
+    if (order.value.counts >= BUCKET).any():
+        # Whether a split shingle has two classes is known only over all of its buckets.
+        split = both.where("y IS NULL AND split").select("shingle", "klass", "n", "place")
+        lists = space.keep(split.groupBy("shingle").agg(F.count("*").alias("members"), (F.count("*") > 1).alias("several")), "split_lists")
+        shared = space.keep(shared.union(look_up(split, lists, "shingle", "members").where("several").drop("several")), "split_shared")
     involved = space.keep(shared.select("klass").distinct().join(classes.select("klass", "n", "least"), "klass"), "involved")
     blocks = 1 + involved.count() // BLOCK
     prefix_parts = space.keep(_segments(_only(docs, involved), order, size, percent, False), "prefixes")
@@ -400,7 +409,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cut.where(probe).withColumn("role", F.lit(1)).withColumn("other", F.explode(every)).withColumn("grid", F.col("mine") * F.col("grids") + F.col("other")).drop("other")
     )
     lists = space.keep(whole.union(cut).select("shingle", "klass", "n", "place", "component", "grid", "role"), "lists")
-    space.drop("shared")
+    space.drop("shared", "split_lists", "split_shared")
     groups = max(spark.sparkContext.defaultParallelism, 1 + lists.count() // BUCKET)
     pairs = lists.groupBy(F.pmod(F.xxhash64("shingle", "grid"), F.lit(groups)).alias("group")).applyInPandas(_across(percent), "x long, ys array<long>")
     found = found.union(links(_by_block(pairs, blocks), comps, "2"))
