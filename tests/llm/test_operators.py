@@ -255,6 +255,21 @@ def test_main_text(spark):
     assert [r[0] for r in frame.select(html_text.extract(frame["html"])).collect()][1] == ""
 
 
+def test_main_text_furniture_names_and_missing_end_tags():
+    body = f"<h1>Title</h1><p>{'words of it ' * 20}</p>"
+    want = f"Title\n{('words of it ' * 20).strip()}"
+    for names in ('class="content-sidebar-wrap"', 'class="page has-sidebar"', 'id="header-and-content"', 'class="sidebar"', 'class="header"'):
+        assert html_text.main_text(f"<body><div {names}><main>{body}</main></div>") == want, names
+    for names in ('class="content-sidebar-wrap"', 'class="page has-sidebar"', 'id="header-and-content"'):
+        assert html_text.main_text(f"<body><div {names}>{body}</div>") == want, names
+    for tag in ('nav', 'aside', 'footer', 'form', 'div id="comments"'):
+        assert html_text.main_text(f"<article>{body}</article><{tag}><article>Not this.</article></{tag.split()[0]}>") == want, tag
+    assert html_text.main_text(f"<html><head><meta charset=x><title>t</title><script>x</script><body><article>{body}</article>") == want
+    assert html_text.main_text(f"<html><head><title>t</title><article>{body}</article>") == want
+    loose = f'<article>{body}<p class="ad">Buy<p>Kept.<ul><li class="comment">Nice<p>post</p><ul><li>yes</ul><li>Point.</ul><table><tr><td class="sidebar">Side<td>Cell.<tr class="cookie-notice"><td>We use<tr><td>Last.</table></article>'
+    assert html_text.main_text(loose) == want + "\nKept.\nPoint.\nCell.\nLast."
+
+
 def test_quality(spark):
     good, bad = texts_of(150, 30, 21), [t.upper().replace(" ", "!! ") for t in texts_of(150, 30, 22)]
     rows = [(i, t, 1) for i, t in enumerate(good)] + [(1000 + i, t, 0) for i, t in enumerate(bad)]
