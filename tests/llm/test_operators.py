@@ -270,6 +270,18 @@ def test_main_text_furniture_names_and_missing_end_tags():
     assert html_text.main_text(loose) == want + "\nKept.\nPoint.\nCell.\nLast."
 
 
+def test_main_text_of_unmarked_pages_is_whole():
+    menu = '<div><a href="/">Home</a></div>' * 4
+    advert = '<div class="ad"><p>Buy</p><p>this</p><p>now</p><p>please</p></div>'
+    lead = [f"Lead {i}." for i in range(6)]
+    long, more = ("long text " * 400).strip(), ("the end " * 75).strip()
+    paragraph = "".join(f'<a href="/{i}">A cited work with a rather long title {i}</a>, ' for i in range(4))
+    page = menu + "".join(f"<p>{x}</p>" for x in lead) + advert + f"<p>{long}</p>{advert}<p>{more}</p>" + f"<p>{paragraph}</p>" * 3 + "<p>Short.</p>" + menu
+    got = html_text.main_text(page).split("\n")
+    assert got[:8] == [*lead, long, more] and len(got) == 12 and all(x.startswith("A cited") for x in got[8:11]) and got[11] == "Short."
+    assert html_text.main_text(f"{menu}<p>{long}</p>{menu}<p>{more}</p>{menu}").split("\n") == [long, more]
+
+
 def test_quality(spark):
     good, bad = texts_of(150, 30, 21), [t.upper().replace(" ", "!! ") for t in texts_of(150, 30, 22)]
     rows = [(i, t, 1) for i, t in enumerate(good)] + [(1000 + i, t, 0) for i, t in enumerate(bad)]

@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one per block element. The text lengths of lines
 are summed over a sliding window; where the sums surge from nothing to much text
-the main part starts, and where they dive back to nothing it ends. Lines of
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-count as empty, and so do lines outside of the page's article where it has one.
+the main part starts, and where they last dive back to nothing it ends. Headers,
+footers, sidebars, notices, adverts, forms and reader comments don't take part,
+nor do lines outside of the page's article where it has one. Menus, which are
+lines of short links, count as empty.
 """
 
 from __future__ import annotations
@@ -127,28 +128,32 @@ def lines(page: str) -> list[tuple[str, bool, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks from the surge to the dive of the line-block distribution, joined by line feeds."""
-    found = lines(page or "")
-    article = max((inside for _, dull, inside, _ in found if not dull), default=0)
-    marked = article > 0
-    sizes = [0 if dull or (marked and inside != article) or (not marked and menu) else len(text) for text, dull, inside, menu in found]
+    """Blocks from the first surge to the last dive of the line-block distribution, joined by line feeds; of a marked article all blocks.
+
+    Furniture is no gap. A span counts if a window in it surges; between the first
+    and the last such span only menus of `WINDOW` and more lines are left out.
+    """
+    found = [(text, inside, menu) for text, dull, inside, menu in lines(page or "") if not dull]
+    article = max((inside for _, inside, _ in found), default=0)
+    if article:
+        return "\n".join(text for text, inside, _ in found if inside == article)
+    sizes = [0 if menu else len(text) for text, _, menu in found]
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    need = 1 if marked else SURGE
     spans, i = [], 0
     while i < len(sums):
-        if sums[i] < need:
-            i += 1
-            continue
         start = i
         while i < len(sums) and sums[i]:
             i += 1
-        spans.append((start, i))
-    if not spans and any(sizes):
-        spans = [(0, len(sizes))]
-    if not marked and spans:
-        most = max(sum(sizes[a:b]) for a, b in spans)
-        spans = [s for s in spans if 4 * sum(sizes[s[0] : s[1]]) >= most]
-    return "\n".join(found[i][0] for a, b in spans for i in range(a, b) if sizes[i])
+        if i > start and max(sums[start:i]) >= SURGE:
+            spans.append((start, i))
+        i = max(i, start + 1)
+    first, last = (spans[0][0], spans[-1][1]) if spans else (0, len(sizes))
+    full = [i for i in range(first, last) if sizes[i]]
+    kept = full[:1]
+    for i in full[1:]:
+        kept.extend(range(kept[-1] + 1, i) if i - kept[-1] <= WINDOW else ())
+        kept.append(i)
+    return "\n".join(found[i][0] for i in kept)
 
 
 def extract(page: Column) -> Column:
