@@ -164,6 +164,94 @@ def test_licenses(spark):
     assert licenses.scan(frame.where("false")).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2024, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+
+      "Legal Entity" shall mean the union of the acting entity and all
+      other entities that control, are controlled by, or are under common
+      control with that entity.
+"""
+
+
+def test_whole_license_files_and_long_headers(spark):
+    prose = " ".join(WORDS * 2)
+    header = "Copyright 2024 The Authors of this and that and many others. All rights reserved. Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with it"
+    files = [("m/LICENSE", MIT, "MIT"), ("b/LICENSE", BSD % "", "BSD-2-Clause"), ("c/LICENSE", BSD % THIRD, "BSD-3-Clause"), ("d/LICENSE", APACHE, "Apache-2.0"), ("e/LICENSE", f"Licensed under the Apache License, Version 2.0.\n{prose}", "Apache-2.0"), ("f/x.py", f"{header}\n{prose}", "Apache-2.0"), ("g/LICENSE", f"{prose}\nReleased under the Sea License\n{prose}", None)]
+    frame = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)] + [(100 + i, p[:2] + "z.c", "int x;") for i, (p, _, _) in enumerate(files[:5])], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own_license, r.license) for r in licenses.scan(frame).collect()}
+    # a line that is like a short template counts as before, hence no claim on the last file
+    assert {i: got[i][0] for i in range(6)} == {i: name for i, (_, _, name) in enumerate(files[:6])}
+    assert {i: got[100 + i][1] for i in range(5)} == {i: name for i, (_, _, name) in enumerate(files[:5])}
+    assert licenses.Templates().inside(files[6][1]) == (None, 0.0)
+
+
+def test_documents_with_a_license_line_are_license_files(spark):
+    docs = spark.createDataFrame([(1, "s", "en", "Some words.\nReleased under the MIT License\nmore words"), (2, "s", "en", "words"), (3, "t", "en", "words"), (4, None, None, None)], "doc_id long, source string, lang string, text string")
+    paths = licenses.document_paths(docs)
+    assert [r.path for r in paths.orderBy("doc_id").collect()] == ["s/en/0/LICENSE-1", "s/en/0/doc-2.txt", "t/en/0/doc-3.txt", "none/none/0/doc-4.txt"]
+    assert {r.doc_id: r.license for r in licenses.scan(paths).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None}
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(1500, 16)).astype(np.float32)
