@@ -383,6 +383,16 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, alone).collect()} == {0.5}
 
 
+def test_quality_sample_is_of_labelled_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t if i % 2 else t.upper()) for i, t in enumerate(texts_of(100, 20, 41))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    seen: list[int] = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, *rest: seen.append(len(rows)) or fit(rows, *rest))
+    quality.train(docs, labels, sample=40)
+    assert seen == [40]
+
+
 def test_mixing(spark):
     sizes = {"a": 700, "b": 90, "c": 40, None: 25}
     rows = [(i, s) for s, n in sizes.items() for i in range(n)]

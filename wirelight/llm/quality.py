@@ -181,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratios = np.log(each[1] / each[1].sum()) - np.log(each[0] / each[0].sum())
     ratios[total.reshape(2, CELLS).sum(axis=0) == 0] = 0.0
 
-    picked = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(sample))
+    # The bound is of labels that have a document here; only ids are read for it.
+    usable = docs.select(F.col(id_col).alias("_doc")).join(marks, F.col("_doc") == F.col("_id")).select("_id", "_label").distinct()
+    picked = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     chosen = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(picked, F.col("_doc") == F.col("_id"))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
