@@ -20,11 +20,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    docs = docs.select(*COLUMNS)
-    groups = ngram_jaccard.jaccard_components(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi").select(*COLUMNS)
+    """Keeps one row of each group of near-duplicates: that of the smallest id, NULL last, then of the smallest digest of its text.
+
+    Groups are of rows, not of ids: a row without an id, or with one that others
+    have too, is judged by its own text. Blank texts are in no group and all stay.
+    """
+    space = Workspace(spark)
+    rows = space.keep(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_jaccard.jaccard_components(rows, "_row")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "_row")
+    firsts = groups.join(rows.select("_row", rank.alias("_rank")), "_row").groupBy("component_id").agg(F.min("_rank").alias("_first"))
+    return rows.join(firsts.select(F.col("_first._row").alias("_kept")), F.col("_row") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,11 @@ def test_stages_against_plain_python(spark, sf_dir, tmp_path):
 
     assert set(mixed) == set(safe)
     assert sorted(r.position for r in mixed.values()) == list(range(len(mixed)))
+
+
+def test_groups_are_of_rows_with_missing_and_repeated_ids(spark, sf_dir):
+    texts = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["c"]), (7, texts["c"]), (5, texts["d"]), (5, texts["d"]), (5, texts["e"]), (4, texts["e"]), (8, texts["f"]), (8, texts["f"] + " more"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "")[:1]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a"), (None, "b"), (7, "c"), (5, "d"), (4, "e"), (8, "f"), (None, ""), (None, "")], key=str)
