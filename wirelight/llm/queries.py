@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelight.llm import decontaminate, html_text, licenses, mixing, ngram_jaccard, oracles, permutation_index, private_data, quality, secrets, warc
+from wirelight.llm import decontaminate, html_text, licenses, mixing, ngram_jaccard, oracles, permutation_index, private_data, quality, secrets, token_alignment, warc
 from wirelight.llm.workspace import Workspace
 
 
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file, in the folder that TOKENIZER_DIR names."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,6 +74,11 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "slot", "phase", "position")
 
 
+def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = token_alignment.load(tokenizer_path(TOKENIZER_A), tokenizer_path(TOKENIZER_B))
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizers)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_personal_data": personal_data,
@@ -76,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": main_text,
     "op9_quality_score": quality_score,
     "op10_source_mix": source_mix,
+    "op11_token_alignment": token_links,
 }
 
 SQL: dict[str, str] = {
