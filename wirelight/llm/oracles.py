@@ -30,3 +30,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM hashed JOIN firsts USING (h)
 """
+
+
+def _table_kmeans(rounds: int = 5, k: int = 40, dims: int = 64) -> str:
+    """Every vector against every centroid, round by round."""
+    steps = [f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), v) - 1 AS c, v FROM kept ORDER BY 1 LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (SELECT k.vec_id, k.v, min(struct_pack(d := list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := m.c)) AS best
+ FROM (SELECT row_number() OVER () AS r, * FROM kept) k, c{i} m GROUP BY k.r, k.vec_id, k.v)""")
+        if i < rounds:
+            steps.append(f"""sums{i} AS (SELECT best.c AS c, place, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM near{i}) GROUP BY ALL),
+means{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v FROM sums{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN means{i} m ON m.c = o.c)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT n.vec_id, CAST(n.best.c AS INT) AS "cluster", CAST(n.best.d AS BIGINT) AS distance, CAST(sum(n.best.d) OVER (PARTITION BY n.best.c) AS BIGINT) AS cluster_inertia,
+ CAST(sum(n.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN c{rounds} m ON m.c = n.best.c"""
+
+
+TABLE_KMEANS = _table_kmeans()

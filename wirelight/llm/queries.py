@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelight.llm import decontaminate, html_text, licenses, mixing, ngram_jaccard, oracles, permutation_index, private_data, quality, secrets, token_alignment, warc
+from wirelight.llm import decontaminate, html_text, licenses, mixing, ngram_jaccard, oracles, permutation_index, private_data, quality, secrets, table_kmeans, token_alignment, toxicity, warc
 from wirelight.llm.workspace import Workspace
 
 
@@ -79,6 +79,17 @@ def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizers)
 
 
+def toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", toxicity.held_out().alias("held_out"))
+    machine = toxicity.train(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_personal_data": personal_data,
@@ -91,11 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_score": quality_score,
     "op10_source_mix": source_mix,
     "op11_token_alignment": token_links,
+    "op12_toxicity_score": toxicity_score,
+    "op13_vector_clusters": vector_clusters,
 }
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
     "op3_warc_archive": oracles.WARC_ARCHIVE,
+    "op13_vector_clusters": oracles.TABLE_KMEANS,
 }
 
 

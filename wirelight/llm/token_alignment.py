@@ -32,7 +32,6 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import islice
@@ -41,12 +40,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelight.llm.shingles import distinct
-from wirelight.llm.workspace import Workspace
+from wirelight.llm.workspace import Workspace, few_rows
 
 PARTS = 64
 SPILL_STRETCHES = 2_000_000  # occurrences of stretches held by a task before it spills
@@ -449,18 +448,6 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-@contextmanager
-def _few_rows(spark: SparkSession):
-    """Runs are large rows, so few of them go to Python at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(ROWS_PER_BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def align_tokens(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text_col: str = "text",
                  spill: int = SPILL_STRETCHES, known: int = KNOWN_STRETCHES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Per row: the id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256.
@@ -491,7 +478,7 @@ def align_tokens(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id"
     heads = spread.select(F.lit(0).alias("kind"), "part", F.explode(F.sequence(F.lit(0), F.col("share").cast("int") - 1)).alias("task"), "chunk", "keys", "counts")
     bodies = spread.select(F.lit(1).alias("kind"), "part", F.pmod(F.hash("chunk"), F.col("share").cast("int")).alias("task"), "chunk", "width", "keys", "sizes", "docs", "times")
     both = heads.unionByName(bodies, allowMissingColumns=True).withColumn("place", F.col("part") + PARTS * F.col("task")).drop("part", "task")
-    with _few_rows(spark):
+    with few_rows(spark, ROWS_PER_BATCH):
         counted = both.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(_count, "chunk long, best binary, sums binary")
         parts = space.keep(counted, "parts")
     sums = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_up, "_row long, n_best long, count_sum long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,18 @@ class Workspace:
             pass
 
 
+@contextmanager
+def few_rows(spark: SparkSession, n: int):
+    """Inside, at most n rows go to Python at a time: for steps that run at once on large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def look_up(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join with a stored table of one row per key, whose `weight` counts the rows of `rows` that have it.
 
