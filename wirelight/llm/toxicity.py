@@ -37,6 +37,7 @@ SAMPLE = 10_000
 KEPT = 1 << 13
 LEAST = 10.83  # chi-square of one in a thousand: from here on a cell counts in full
 FACTORS = 8
+BROADCAST_BYTES = 128 << 20
 
 #: Letters of any script and digits stay, all else separates words.
 CLEAN = np.arange(256, dtype=np.uint8)
@@ -189,9 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     without any labelled row every score is 0.
     """
     space = Workspace(docs.sparkSession)
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    marks = space.keep(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")), "labels")
+    # ids and labels in place of texts are moved, as long as their bytes allow it
+    size = marks.agg(F.sum(F.octet_length(F.col("_id").cast("string")) + 4)).first()[0] or 0
+    marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    known = space.keep(texts.join(marks, F.col("_doc") == F.col("_id")).select("_id", "_text", "_label"), "known")
+    known = texts.join(marks, F.col("_doc") == F.col("_id"))
     schema = "label int, shelf int, texts long, counts binary"
     counted = space.keep(known.select("_text", "_label").mapInArrow(_count, schema), "counts")
     halved = counted.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(16))).groupBy("label", "shelf", "part").applyInPandas(_sum, schema)
@@ -212,8 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["id", "terms", "label"])
 
     kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("terms", T.BinaryType()), T.StructField("label", T.IntegerType())])
-    picked = known.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = known.join(F.broadcast(picked), "_id", "left_semi").select("_id", "_text", "_label")
+    usable = docs.select(F.col(id_col).alias("_doc")).join(marks, F.col("_doc") == F.col("_id")).select("_id", "_label").distinct()
+    picked = space.keep(usable.orderBy(F.xxhash64("_id"), "_id").limit(sample), "picked")
+    chosen = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_text", "_label")
     rows = chosen.mapInArrow(ranks, kind).orderBy(F.xxhash64("id"), "id", "terms").limit(sample).collect()
     machine.unpersist()
     space.close()
