@@ -11,7 +11,7 @@ from wirelight.sinks.events import dead_letters, entry_json, replay_dead_letters
 from wirelight.sinks.formats import Product, alert_json, cef_line, format_alerts, gelf_line, leef_line, line_format
 from wirelight.sources.alert_pages import explode_pages, parse_pages
 from wirelight.sources.scope_file import ScopeGroup
-from wirelight.streaming.jobs import load_cursor, tail_to_events
+from wirelight.streaming.jobs import tail_to_events
 
 PRODUCT = Product("Acme", "Pipe|Works", "1.0", "h")
 
@@ -102,4 +102,3 @@ def test_dead_letters(spark, tmp_path):
     bad = spark.createDataFrame([("line", "why", "f")], "_raw string, _error string, source_file string")
     write_dead_letters(dead_letters(bad, "dns"), str(tmp_path / "d"))
     assert [r.value for r in replay_dead_letters(spark, str(tmp_path / "d"), "dns").collect()] == ["line"]
-    assert load_cursor(spark, str(tmp_path / "none")) is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from wirelight.functions.values import dns_type_name
 from wirelight.operators.networks import network_prefixes
 from wirelight.session import work_dir
 from wirelight.sources.suricata import suricata_dns
-from wirelight.streaming.jobs import load_cursor
+from wirelight.streaming.jobs import started_at
 
 
 def test_fail_mode_fails_whatever_is_selected(spark):
@@ -35,9 +35,9 @@ def test_record_types(spark):
     assert [r[0] for r in frame.select(dns_type_name("n")).collect()] == ["URI", "CAA", "Unknown"]
 
 
-def test_cursor_is_aware_and_only_a_missing_table_is_none(spark):
-    control = work_dir(spark, "control")
-    assert load_cursor(spark, control) is None
-    spark.createDataFrame([("2024-01-20 01:02:03",)], "t string").select(F.col("t").cast("timestamp").alias("newest")).write.parquet(control)
-    found = load_cursor(spark, control)
-    assert found.utcoffset() == timedelta(0) and found.replace(tzinfo=None) == datetime(2024, 1, 20, 1, 2, 3)
+def test_start_of_a_search_is_kept(spark):
+    check = work_dir(spark, "start")
+    first = datetime(2024, 1, 20, 1, 2, 3, 456789, tzinfo=timezone.utc)
+    assert started_at(spark, check, first) == first
+    later = started_at(spark, check, datetime(2025, 1, 1))
+    assert later == first and later.utcoffset() == timedelta(0)

@@ -9,9 +9,8 @@ from wirelight.functions.ja3 import frames_ja3
 from wirelight.functions.times import clamp_cursor, eve_ts, msdns_ts, wire_time, zeek_epoch
 from wirelight.operators.projections import event_unified, to_ip_entry, with_direction, with_sensor_direction
 from wirelight.sources import registry
-from wirelight.sources.documents import decode, land_hits, newest_ingested, page, search
-from wirelight.sources.lines import read_lines, split_errors
-from wirelight.sources.placed_lines import range_lines, read_placed_lines
+from wirelight.sources.documents import decode, land_hits, newest_ingested, page, pages, search, source_projection
+from wirelight.sources.lines import number_lines, read_landed_lines, read_lines, split_errors
 from wirelight.sources.pcap import pcap_frames, split_captures
 from wirelight.sources.search_config import Search
 from wirelight.sources.zeek import header_fill, zeek_events, zeek_scan
@@ -37,13 +36,13 @@ def test_zeek_dns(spark, tmp_path):
     # other columns, other separator, and a second header in the same file
     _write(tmp_path / "b.log", ["#separator \\x2c", "#unset_field,*", "#fields,query,ts,id.orig_h", "q1,1700000002.0,10.0.0.3",
         "#separator \\x09", "#fields\tts\tid.orig_h\tquery\tqtype_name", "1700000003.0\tbad\tq2\t*"])
-    rows = zeek_events(read_placed_lines(spark, str(tmp_path)), "dns").orderBy("ts").collect()
+    rows = zeek_events(read_landed_lines(spark, str(tmp_path)), "dns").orderBy("ts").collect()
     got = [(r.srcIP, r.srcPort, r.destPort, r.proto, r.query, r.qtype) for r in rows]
     assert got == [("10.0.0.1", 4242, 53, "udp", "shop.example.org", "A"), ("fd00::1", 4243, 53, "tcp", "-", ""),
                    ("10.0.0.3", None, None, None, "q1", None), (None, None, None, None, "q2", "")]
     assert rows[0].ts == ts("2023-11-14T22:13:20.384253")
-    assert header_fill(read_placed_lines(spark, str(tmp_path))).count() == 9
-    scan = zeek_scan(read_placed_lines(spark, str(tmp_path / "b.log"))).collect()
+    assert header_fill(read_landed_lines(spark, str(tmp_path))).count() == 9
+    scan = zeek_scan(read_landed_lines(spark, str(tmp_path / "b.log"))).collect()
     assert [r.fields for r in scan] == [{"query": "q1", "ts": "1700000002.0", "id.orig_h": "10.0.0.3"},
                                        {"ts": "1700000003.0", "id.orig_h": "bad", "query": "q2", "qtype_name": "*"}]
 
@@ -52,7 +51,7 @@ def test_zeek_many_files_path(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("wirelight.operators.lookup.BROADCAST_BYTES", 0)
     for i in range(3):
         _write(tmp_path / f"{i}.log", HEAD + [DNS_FIELDS, f"170000000{i}.0\tC\t10.0.0.{i}\t1\t10.0.0.9\t53\tudp\tq{i}\tA"])
-    rows = zeek_events(read_placed_lines(spark, str(tmp_path)), "dns").collect()
+    rows = zeek_events(read_landed_lines(spark, str(tmp_path)), "dns").collect()
     assert sorted((r.srcIP, r.query) for r in rows) == [(f"10.0.0.{i}", f"q{i}") for i in range(3)]
 
 
@@ -65,50 +64,51 @@ def test_zeek_rows_do_not_depend_on_splits(spark, tmp_path, monkeypatch):
     lines = HEAD + [DNS_FIELDS] + [row(i, f"q{i}", "A") for i in range(3000)] + [swapped] + [row(i, "A", f"q{i}") for i in range(3000, 6000)]
     _write(tmp_path / "plain.log", lines)
     (tmp_path / "packed.log.gz").write_bytes(gzip.compress("\r\n".join(lines).encode()))
-    plans = iter((1_000, 77_777, 1 << 20, 5_000))
-    real = read_placed_lines.__globals__["split_ranges"]
-    monkeypatch.setattr("wirelight.sources.placed_lines.split_ranges", lambda files, _: real(files, next(plans)))
-    for _ in range(2):
-        spark.conf.set("spark.sql.files.minPartitionNum", "24")
-        rows = zeek_events(read_placed_lines(spark, str(tmp_path)), "dns", on_error="fail")
-        spark.conf.set("spark.sql.files.minPartitionNum", "2")
-        found = rows.collect()
-        spark.conf.unset("spark.sql.files.minPartitionNum")
+    for size in ("1000", "77777", "1048576"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            landed = read_landed_lines(spark, str(tmp_path))
+            # what is read later is cut in other ways
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "33333")
+            found = zeek_events(landed, "dns", on_error="fail").collect()
+            numbers = number_lines(landed).orderBy("source_file", "line_no").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
         assert len(found) == 12_000 and {r.qtype for r in found} == {"A"}
         assert len({r.query for r in found}) == 6000
+        if size == "1000":
+            assert landed.select("source_file", "block_start").distinct().count() > 100
+        for n, file in enumerate(("packed.log.gz", "plain.log")):
+            mine = numbers[n * len(lines) : (n + 1) * len(lines)]
+            assert {r.source_file.rsplit("/", 1)[1] for r in mine} == {file}
+            assert [(r.line_no, r.value.rstrip()) for r in mine] == list(enumerate(lines, 1))
 
 
-def test_line_ranges_meet(tmp_path):
-    """Every cut of a file gives each line once, at its place."""
-    body = b"one\n\nthree\r\n" + b"x" * 30 + b"\nlast"
-    path = tmp_path / "t"
-    path.write_bytes(body)
-    for size in (1, 2, 3, 5, 8, 13, 100):
-        for chunk in (1, 4, 64):
-            got = []
-            for start in range(0, len(body), size):
-                with open(path, "rb") as stream:
-                    for lines, begins in range_lines(stream, start, min(start + size, len(body)), chunk):
-                        got += zip(lines.to_pylist(), begins.tolist())
-            assert got == [("one", 0), ("", 4), ("three", 5), ("x" * 30, 12), ("last", 43)], (size, chunk)
+def test_only_header_files_are_read_for_headers(spark, tmp_path):
+    _write(tmp_path / "a.log", HEAD + [DNS_FIELDS] + [f"{i}.0\tC\t10.0.0.1\t1\t10.0.0.9\t53\tudp\tq\tA" for i in range(50)])
+    headers = header_fill(read_landed_lines(spark, str(tmp_path)))
+    assert headers.count() > 0
+    assert "PartitionFilters: [isnotnull(mark" in headers._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
 
 
 def test_zeek_conn_http_and_errors(spark, tmp_path):
     f = _write(tmp_path / "conn.log", HEAD + ["#fields\tts\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\torig_bytes\tresp_bytes\torig_ip_bytes\tresp_ip_bytes\tja3",
         "1.0\t10.0.0.1\t1\t8.8.8.8\t53\tUDP\t-\t-\t10\t0\t-", "2.0\t10.0.0.1\t1\t8.8.8.8\t53\tUDP\t-5\t7\t-\t13\tabc"])
-    rows = zeek_events(read_placed_lines(spark, f), "ip").orderBy("ts").collect()
+    rows = zeek_events(read_landed_lines(spark, f), "ip").orderBy("ts").collect()
     assert [(r.bytesCount, r.ja3, r.destIP, r.destPort) for r in rows] == [(10, "", "8.8.8.8", 53), (20, "abc", "8.8.8.8", 53)]
-    assert to_ip_entry(zeek_events(read_placed_lines(spark, f), "ip")).agg(F.sum("bytesOut")).first()[0] == 30
+    assert to_ip_entry(zeek_events(read_landed_lines(spark, f), "ip")).agg(F.sum("bytesOut")).first()[0] == 30
     f = _write(tmp_path / "http.log", HEAD + ["#fields\tts\tid.orig_h\tid.orig_p\tmethod\thost\turi\treferrer\tuser_agent\trequest_body_len\tresponse_body_len\tstatus_code\tresp_mime_types",
         "1.0\t10.0.0.1\t99\tGET\tex.org\t/a?b\t-\t(empty)\t0\t3698\t200\ttext/html", "2.0\t10.0.0.1\t99\tGET\tex.org\t/\t-\tx\t-\t0\t-\t-"])
-    rows = zeek_events(read_placed_lines(spark, f), "http", on_error="skip").orderBy("ts").collect()
+    rows = zeek_events(read_landed_lines(spark, f), "http", on_error="skip").orderBy("ts").collect()
     assert (rows[0].url, rows[0].status, rows[0].bytesIn, rows[0].referrer, rows[0].userAgent) == ("http://ex.org/a?b", 200, 3698, "", "")
     assert rows[1].status is None and len(rows) == 2
     with pytest.raises(Exception, match="zeek: bad"):
-        zeek_events(read_placed_lines(spark, f), "http").collect()
+        zeek_events(read_landed_lines(spark, f), "http").collect()
     f = _write(tmp_path / "bad.log", HEAD + [DNS_FIELDS, "x\ty", "1.0\tC\t10.0.0.1\t70000\t10.0.0.9\t53\tudp\tq\tA",
         "1\tC\t10.0.0.1\t7\t10.0.0.9\t53\tudp\tq\tA", "1.0\tC\t10.0.0.1\t7\t10.0.0.9\t53\tudp\tq\tA"])
-    good, bad = split_errors(zeek_events(read_placed_lines(spark, f), "dns", on_error="keep"))
+    good, bad = split_errors(zeek_events(read_landed_lines(spark, f), "dns", on_error="keep"))
     assert good.count() == 1 and sorted(r._error for r in bad.collect()) == [
         "zeek: bad port", "zeek: bad timestamp", "zeek: wrong number of columns"]
     assert all(r._raw for r in bad.collect())
@@ -313,3 +313,72 @@ def test_unified(spark):
     b = spark.createDataFrame([("10.0.0.2", "u")], "srcIP string, url string")
     u = event_unified({"dns": a, "http": b})
     assert u.count() == 2 and len(u.columns) == 24
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan text")
+
+
+def test_all_types_from_one_scan(spark, tmp_path):
+    fields = "#fields\tts\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tquery\tqtype_name\thost\turi\torig_bytes"
+    _write(tmp_path / "a.log", HEAD + [fields] + [f"{i}.5\t10.0.0.{i}\t7\t8.8.8.8\t53\tUDP\tq{i}\tA\th{i}\t/x\t{i}" for i in range(5)])
+    lines = read_landed_lines(spark, str(tmp_path))
+    tagged = registry.read_all_types(lines, "bro")
+    assert sorted((r.event_type, r.found) for r in registry.events_found(tagged).collect()) == [("dns", 5), ("http", 5), ("ip", 5)]
+    for kind in ("dns", "ip", "http"):
+        one = zeek_events(lines, kind).orderBy("ts")
+        assert registry.of_type(tagged, kind).orderBy("ts").select(*one.columns).collect() == one.collect()
+    # the data is read once for three types; headers lie in a table of their own
+    assert tagged._jdf.queryExecution().executedPlan().toString().count("Location: InMemoryFileIndex") == 2
+    registry.write_all_types(tagged, f"{tmp_path}/out", ["dns", "http", "ip"])
+    out = {(r.event_type, json.loads(r.value).get("query") or json.loads(r.value).get("url") or json.loads(r.value)["bytesOut"]) for r in spark.read.text(f"{tmp_path}/out").collect()}
+    assert out == {(k, v) for i in range(5) for k, v in (("dns", f"q{i}"), ("http", f"http://h{i}/x"), ("ip", i))}
+
+
+def test_all_types_of_eve_records(spark, tmp_path):
+    rec = lambda **more: json.dumps({"timestamp": "2024-05-01T10:00:00.000000+0000", "src_ip": "10.0.0.1", "dest_port": 80, "proto": "TCP"} | more)
+    _write(tmp_path / "e.json", [rec(dns={"type": "query", "rrname": "a.org", "rrtype": "A"}), rec(dns={"type": "answer", "rrname": "b.org"}),
+        rec(http={"hostname": "c.org", "url": "/d"}), rec(), "{broken", rec(dns={"type": "query", "rrname": "e.org"}, http={"hostname": "f.org"})])
+    rows = read_lines(spark, str(tmp_path / "e.json"))
+    tagged = registry.read_all_types(rows, "suricata", on_error="keep")
+    assert _scans(tagged) == 1
+    good, bad = split_errors(tagged)
+    assert sorted((r.event_type, r.query or r.url) for r in good.collect()) == [("dns", "a.org"), ("dns", "e.org"), ("http", "http://c.org/d"), ("http", "http://f.org")]
+    assert [r._raw for r in bad.collect()] == ["{broken"] * 2
+    assert registry.read_all_types(rows, "suricata", on_error="skip").count() == 4
+    with pytest.raises(Exception, match="not a valid record"):
+        registry.read_all_types(rows, "suricata").count()
+    with pytest.raises(ValueError, match="holds no"):
+        registry.read_all_types(rows, "suricata", ["ip"])
+
+
+def test_only_mapped_leaves_are_read(spark, tmp_path):
+    spark.sql("""SELECT '1' AS id, map('@timestamp', array('2024-05-01T10:00:00Z'), 'event.ingested', array('2024-05-01T10:00:01Z')) AS fields, TIMESTAMP '2024-05-01 10:00:01' AS ingested,
+     named_struct('source', named_struct('ip', '10.0.0.1', 'port', 5, 'user', 'u'), 'dns', named_struct('question', named_struct('name', 'a.org', 'class', 'IN'), 'id', 7),
+      'big', repeat('x', 100), 'odd.name', named_struct('q', 'b.org')) AS source
+     UNION ALL SELECT '2', map('@timestamp', array('2024-05-01T10:00:00Z'), 'event.ingested', array('2024-05-01T10:00:01Z')), TIMESTAMP '2024-05-01 10:00:02',
+     named_struct('source', named_struct('ip', '10.0.0.2', 'port', NULL, 'user', 'u'), 'dns', NULL, 'big', 'y', 'odd.name', named_struct('q', 'c.org'))""").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+
+    def run(wanted):
+        found = decode(search(source_projection(docs, wanted), wanted, F.lit("2000-01-01").cast("timestamp")), wanted)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return [(r.srcIP, r.query, r.qtype) for r in found.orderBy("id").collect()], plan[plan.index("ReadSchema") :].split("\n")[0]
+
+    got, read = run(Search("dns", "ecs"))
+    assert got == [("10.0.0.1", "a.org", "")]
+    assert "source:struct<source:struct<ip:string,port:int>,dns:struct<question:struct<name:string>>>" in read
+    got, read = run(Search("dns", "ecs", fields={"query": "$['odd.name']['q']", "qtype": "no.such.path"}, must_have=("source.ip",)))
+    assert got == [("10.0.0.1", "b.org", ""), ("10.0.0.2", "c.org", "")]
+    assert "big" not in read and "user" not in read and "odd.name:struct<q:string>" in read
+
+
+def test_pages_to_the_end_with_equal_times(spark):
+    rows = [(f"{i:03d}", "{}", {}, i // 7) for i in range(50)]
+    docs = spark.createDataFrame(rows, "id string, source string, fields map<string,array<string>>, s int").select(
+        "id", "source", "fields", F.timestamp_seconds("s").alias("ingested"))
+    for size, sizes in ((10, [10] * 5), (17, [17, 17, 16]), (50, [50]), (60, [50])):
+        paths = {"event_ingested": "event.ingested", "timestamp": "@timestamp", "src_ip": "source.ip", "query": "dns.question.name"}
+        wanted = Search("dns", fields=paths, where="true", page_size=size)
+        found = [[r.id for r in p.collect()] for p in pages(docs, wanted, F.lit("1969-01-01").cast("timestamp"))]
+        assert [len(p) for p in found] == sizes and sum(found, []) == [r[0] for r in rows]

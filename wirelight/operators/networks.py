@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from wirelight.functions.columns import ColumnOrName
 from wirelight.functions.ip import cidr_prefixes, in_prefixes, with_cidr_keys, with_ip_keys
-from wirelight.operators.lookup import broadcast_levels, fits_broadcast, level_join, lookup_join, materialise
+from wirelight.operators.intervals import interval_join
+from wirelight.operators.lookup import broadcast_levels, level_join, materialise
 
 ANYWHERE = ("0.0.0.0/0", "::/0")
 
@@ -116,59 +117,33 @@ def _prefix_rows(cidrs: DataFrame, cidr: str, *tags: str, strict: bool = False)
     return keyed.select(F.explode(prefixes).alias("prefix"), *tags)
 
 
-def _candidate_prefixes(keys: DataFrame, networks: DataFrame) -> DataFrame:
-    """(key, prefix) for every prefix length that occurs in the network table."""
-    # a key has 33 characters at most, so no more than 33 lengths come back
-    rows = networks.select(F.length("prefix").alias("n")).distinct().collect()
-    lengths = F.array(*[F.lit(n) for n in sorted(r.n for r in rows)]).cast("array<int>")
-    cut = F.transform(
-        F.filter(lengths, lambda n: n <= F.length("key")),
-        lambda n: F.substring(F.col("key"), F.lit(1), n),
-    )
-    return keys.select("key", F.explode(cut).alias("prefix"))
-
-
-def key_hits(keys: DataFrame, networks: DataFrame, tag: str) -> DataFrame:
-    """Join distinct address keys with a network table: (key, tag), distinct."""
-    candidates = _candidate_prefixes(keys, networks)
-    if fits_broadcast(networks):
-        return candidates.join(F.broadcast(networks), "prefix").select("key", tag).distinct()
-    # wide networks hold very many addresses, hence the skew-safe join here too
-    tagged = networks.groupBy(F.col("prefix").alias("key")).agg(
-        F.struct(F.collect_set(tag).alias("tags")).alias("facts")
-    )
-    hits = lookup_join(candidates, "prefix", lambda p: p.join(tagged, "key"), "_hit")
-    return hits.select("key", F.explode("_hit.tags").alias(tag)).distinct()
-
-
 def cidr_join(
     events: DataFrame, ip: str, cidrs: DataFrame, cidr: str, tag: str, out: str
 ) -> DataFrame:
     """Add ``out``: the sorted tags of all networks that hold the event's address.
 
-    Networks of a small size in bytes are broadcast.  Beyond it only distinct
-    addresses meet the networks, through an equi-join on key prefixes.
+    Networks of a small size in bytes are broadcast.  Beyond it events meet the
+    networks in address order, see ``interval_join``.
     """
     entries = network_entries(cidrs, cidr, tag)
     levels = broadcast_levels(entries, F.lit(True))
-    none = F.array().cast("array<string>")
-    if levels is not None:
-        keyed = with_ip_keys(events, {"_ip_key": ip})
-        small = entries.select("level", "entry", F.struct("tags").alias("facts"))
-        return level_join(keyed, small, levels[0], key_prefix("_ip_key"), "_facts").select(
-            *events.columns, F.coalesce("_facts.tags", none).alias(out)
-        )
-    networks = entries.select(F.col("entry").alias("prefix"), F.explode("tags").alias(tag))
+    if levels is None:
+        return _tagged(events, ip, entries, out)
+    small = entries.select("level", "entry", F.struct("tags").alias("facts"))
+    keyed = with_ip_keys(events, {"_ip_key": ip})
+    found = level_join(keyed, small, levels[0], key_prefix("_ip_key"), "_facts")
+    return found.select(*events.columns, F.coalesce("_facts.tags", F.array().cast("array<string>")).alias(out))
 
-    def facts(keys: DataFrame) -> DataFrame:
-        hits = key_hits(keys, networks, tag)
-        return hits.groupBy("key").agg(
-            F.struct(F.array_sort(F.collect_set(tag)).alias("tags")).alias("facts")
-        )
 
-    keyed = with_ip_keys(events, {"_ip_key": ip})
-    joined = lookup_join(keyed, "_ip_key", facts, "_facts")
-    return joined.select(*events.columns, F.coalesce("_facts.tags", none).alias(out))
+def cidr_join_sorted(events: DataFrame, ip: str, cidrs: DataFrame, cidr: str, tag: str, out: str) -> DataFrame:
+    """``cidr_join`` for network tables that are known to be large."""
+    return _tagged(events, ip, network_entries(cidrs, cidr, tag), out)
+
+
+def _tagged(events: DataFrame, ip: str, entries: DataFrame, out: str) -> DataFrame:
+    facts = entries.select("level", "entry", F.struct("tags").alias("facts"))
+    joined = interval_join(with_ip_keys(events, {"_ip_key": ip}), "_ip_key", facts, "_facts")
+    return joined.select(*events.columns, F.coalesce("_facts.tags", F.array().cast("array<string>")).alias(out))
 
 
 def cidr_filter(events: DataFrame, ip: str, cidrs: DataFrame, cidr: str) -> DataFrame:

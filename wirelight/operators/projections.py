@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelight import schemas
 
 
+def entry_columns(kind: str, have: Iterable[str]) -> dict[str, Column]:
+    """An entry's fields in terms of typed rows with the columns ``have``; what is not there is NULL.
+
+    An ip row's byte count goes to bytesIn for incoming rows, else to bytesOut.
+    """
+    have = set(have)
+    found = {f.name: (F.col(f.name) if f.name in have else F.lit(None)) for f in schemas.ENTRY[kind].fields}
+    if kind == "ip" and "bytesCount" in have:
+        incoming = F.coalesce(F.col("direction") == "in", F.lit(False))
+        zero = F.lit(0).cast("bigint")
+        found["bytesIn"] = F.when(incoming, F.col("bytesCount")).otherwise(zero)
+        found["bytesOut"] = F.when(incoming, zero).otherwise(F.col("bytesCount"))
+    return {f.name: found[f.name].cast(f.dataType) for f in schemas.ENTRY[kind].fields}
+
+
 def _entry(rows: DataFrame, kind: str) -> DataFrame:
-    have = set(rows.columns)
-    return rows.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schemas.ENTRY[kind].fields
-    ])
+    return rows.select(*[column.alias(name) for name, column in entry_columns(kind, rows.columns).items()])
 
 
 def to_dns_entry(rows: DataFrame) -> DataFrame:
@@ -21,13 +34,7 @@ def to_dns_entry(rows: DataFrame) -> DataFrame:
 
 
 def to_ip_entry(rows: DataFrame) -> DataFrame:
-    """The byte count goes to bytesIn for incoming rows, else to bytesOut."""
-    incoming = F.coalesce(F.col("direction") == "in", F.lit(False))
-    zero = F.lit(0).cast("bigint")
-    return _entry(rows.withColumns({
-        "bytesIn": F.when(incoming, F.col("bytesCount")).otherwise(zero),
-        "bytesOut": F.when(incoming, zero).otherwise(F.col("bytesCount")),
-    }), "ip")
+    return _entry(rows, "ip")
 
 
 def to_http_entry(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ from wirelight.functions.ip import in_prefixes, with_ip_keys
 from wirelight.functions.names import trusted_by, url_host, valid_pattern
 from wirelight.operators.domains import domain_entries, domain_hits, domain_table, name_tail
 from wirelight.operators.lookup import broadcast_levels, level_join, lookup_join
-from wirelight.operators.networks import key_hits, key_prefix, keyed_events, network_entries
+from wirelight.operators.intervals import interval_join
+from wirelight.operators.networks import key_prefix, keyed_events, network_entries
 from wirelight.sources.scope_file import ScopeGroup, scope_domains, scope_networks
 
 NO_DATA = "<no-data>"
@@ -158,15 +159,6 @@ def _role_lists(entries: DataFrame, roles: Sequence[str]) -> DataFrame:
     return entries.where(_has_role(roles)).select("level", "entry", F.struct(*[names(r) for r in roles]).alias("facts"))
 
 
-def _name_sets(hits: DataFrame) -> DataFrame:
-    """(key, group, role) -> facts with one group array per role."""
-    sets = [
-        F.array_sort(F.collect_set(F.when(F.col("tag.role") == r, F.col("tag.name")))).alias(r)
-        for r in (*_SRC_ROLES, *_DST_ROLES)
-    ]
-    return hits.groupBy("key").agg(F.struct(*sets).alias("facts"))
-
-
 def _valid_or_fail(table: DataFrame, valid: Column, text: str, what: str) -> DataFrame:
     """The table; a row that isn't valid stops the job, as it does in the literal form."""
     message = F.concat(F.coalesce(F.col(text), F.lit("NULL")), F.lit(f" is not a valid {what}"))
@@ -196,9 +188,7 @@ def scope_join(
     def with_groups(rows: DataFrame, key: str, roles: Sequence[str], out: str) -> DataFrame:
         if levels is not None:
             return level_join(rows, _role_lists(entries, roles), levels[sides.index(roles)], key_prefix(key), out)
-        tagged = entries.select(F.col("entry").alias("prefix"), F.explode("tags").alias("tag"))
-        wanted = tagged.where(F.col("tag.role").isin(*roles))
-        return lookup_join(rows, key, lambda keys: _name_sets(key_hits(keys, wanted, "tag")), out, keys_from=keyed)
+        return interval_join(rows, key, _role_lists(entries, roles), out)
 
     by_dest = event_type in ("ip", "tls") or (event_type == "dns" and use_dest)
     keyed = keyed_events(events, "_src", "_dst" if by_dest else None)

@@ -10,8 +10,9 @@ from wirelight.functions.times import wire_time
 from wirelight.plans.registry import query
 from wirelight.plans.scope_queries import _us
 from wirelight.plans.views import valid_ip, view, view_sql
+from wirelight.session import work_dir
 from wirelight.sources.documents import (
-    decode, ingested_after, must_exist, newest_ingested, page, search, term_filter,
+    decode, ingested_after, must_exist, newest_ingested, page, pages, search, source_projection, term_filter,
 )
 from wirelight.sources.search_config import Search
 
@@ -49,7 +50,7 @@ def conn_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(rows, "conn_id", source, F.col("ts"))
 
 
-_DNS = Search("dns", "ecs")
+_DNS = Search("dns", "ecs", page_size=500)
 _ID = "lpad(CAST(event_id AS VARCHAR), 12, '0')"
 
 
@@ -57,7 +58,37 @@ _ID = "lpad(CAST(event_id AS VARCHAR), 12, '0')"
 def doc_search(spark: SparkSession, sf: str) -> DataFrame:
     """The first page of documents newer than the cursor."""
     found = search(dns_documents(spark, sf), _DNS, F.expr(_CURSOR))
-    return page(found, 500).select("id")
+    return page(found, _DNS.page_size).select("id")
+
+
+@query("s13_doc_pages", f"SELECT {_ID} AS id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 400 AS INT) AS page FROM {view_sql('dns')} WHERE event_id % 7 <> 6 AND ts > TIMESTAMP '2024-01-29 00:00:00'")
+def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents since a time, page by page to the end."""
+    wanted, out = Search("dns", "ecs", page_size=400), work_dir(spark, "pages")
+    docs = dns_documents(spark, sf)
+    docs.write.parquet(f"{out}/landed")
+    landed = spark.read.schema(docs.schema).parquet(f"{out}/landed")
+    for n, one in enumerate(pages(landed, wanted, F.expr("TIMESTAMP '2024-01-29 00:00:00'"))):
+        one.select("id").write.parquet(f"{out}/found/page={n}")
+    return spark.read.parquet(f"{out}/found")
+
+
+@query("p04_source_projection", f"""SELECT epoch_us(ts) AS ts, "srcIP", "srcPort", "destIP", "destPort", 'udp' AS proto, CAST(7 AS BIGINT) AS "bytesIn", "bytesCount" AS "bytesOut"
+ FROM {view_sql('conn')} WHERE {valid_ip('"srcIP"')}""")
+def projected(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents landed with nested columns, most of which no connection search reads; the scan reads the mapped leaves."""
+    out, wanted = work_dir(spark, "nested"), Search("ip", "ecs")
+    rows = view(spark, sf, "conn")
+    source = F.struct(
+        F.struct(F.col("srcIP").alias("ip"), F.col("srcPort").alias("port"), F.col("bytesCount").alias("bytes"), F.concat(F.lit("host-"), "sensor").alias("name")).alias("source"),
+        F.struct(F.col("destIP").alias("ip"), F.col("destPort").alias("port"), F.lit(7).alias("bytes"), F.struct(F.lit("DE").alias("country")).alias("geo")).alias("destination"),
+        F.struct(F.lit("udp").alias("protocol"), F.lit("flow").alias("type")).alias("network"),
+        F.struct(wire_time("ts").alias("ingested"), F.repeat(F.col("sensor"), 20).alias("original")).alias("event"), wire_time("ts").alias("@timestamp"))
+    fields = F.create_map(F.lit("@timestamp"), F.array(wire_time("ts")), F.lit("event.ingested"), F.array(wire_time("ts")))
+    docs = rows.select(F.lpad(F.col("conn_id").cast("string"), 12, "0").alias("id"), source.alias("source"), fields.alias("fields"), F.col("ts").alias("ingested"))
+    docs.write.parquet(out)
+    found = search(source_projection(spark.read.schema(docs.schema).parquet(out), wanted), wanted, F.expr("TIMESTAMP '1970-01-01 00:00:00'"))
+    return _us(decode(found, wanted).select("ts", "srcIP", "srcPort", "destIP", "destPort", "proto", "bytesIn", "bytesOut"), "ts")
 
 
 @query("s14_doc_dns", f"SELECT epoch_us(ts) AS ts, \"srcIP\", \"query\", qtype FROM {view_sql('dns')} WHERE event_id % 7 <> 6 AND ts > {_CURSOR}")

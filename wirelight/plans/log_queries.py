@@ -12,7 +12,8 @@ from wirelight.plans.registry import query
 from wirelight.plans.scope_queries import _us
 from wirelight.plans.views import valid4, valid_ip, view, view_sql
 from wirelight.sources import registry
-from wirelight.sources.lines import split_errors
+from wirelight.session import work_dir
+from wirelight.sources.lines import number_lines, read_landed_lines, split_errors
 from wirelight.sources.pcap import split_captures
 from wirelight.sources.zeek import header_fill, zeek_events, zeek_scan
 
@@ -47,6 +48,17 @@ def _zeek_lines(rows: DataFrame, names: list[str], cells: list[Column], seq: str
     return heads.unionByName(data)
 
 
+def _zeek_files(lines: DataFrame) -> str:
+    """The lines as a folder of text files, one per sensor."""
+    path = work_dir(lines.sparkSession, "zeek-files")
+    lines.repartition("source_file").sortWithinPartitions("source_file", "line_no").select("value", F.col("source_file").alias("sensor")).write.partitionBy("sensor").text(path)
+    return path
+
+
+def _sensor() -> Column:
+    return F.regexp_extract("source_file", "/sensor=([^/]+)/", 1)
+
+
 _DNS_NAMES = ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "query", "qtype_name"]
 
 
@@ -57,10 +69,12 @@ def _zeek_dns_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _zeek_lines(rows, _DNS_NAMES, cells, "event_id")
 
 
-@query("s01_zeek_scan", f"SELECT sensor AS source_file, event_id AS line_no, 8 AS columns, \"query\", CAST(\"srcPort\" AS VARCHAR) AS port FROM {view_sql('dns')}")
+@query("s01_zeek_scan", f"""SELECT sensor AS source_file, row_number() OVER (PARTITION BY sensor ORDER BY event_id) + CASE WHEN sensor IN ('s1', 's3', 's5', 's7') THEN 3 ELSE 4 END AS line_no,
+ 8 AS columns, "query", CAST("srcPort" AS VARCHAR) AS port FROM {view_sql('dns')}""")
 def scan(spark: SparkSession, sf: str) -> DataFrame:
-    out = zeek_scan(_zeek_dns_lines(spark, sf))
-    return out.select("source_file", "line_no", F.size("fields").alias("columns"), F.col("fields")["query"].alias("query"),
+    """Files read line by line, numbered in their file."""
+    out = zeek_scan(number_lines(read_landed_lines(spark, _zeek_files(_zeek_dns_lines(spark, sf)))))
+    return out.select(_sensor().alias("source_file"), "line_no", F.size("fields").alias("columns"), F.col("fields")["query"].alias("query"),
                       F.col("fields")["id.orig_p"].alias("port"))
 
 
@@ -68,9 +82,9 @@ def scan(spark: SparkSession, sf: str) -> DataFrame:
  8 AS width FROM {view_sql('dns')} GROUP BY sensor""")
 def headers(spark: SparkSession, sf: str) -> DataFrame:
     """The complete header of each file."""
-    out = header_fill(_zeek_dns_lines(spark, sf)).where(F.size("fields") > 0)
+    out = header_fill(read_landed_lines(spark, _zeek_files(_zeek_dns_lines(spark, sf)))).where(F.size("fields") > 0)
     wanted = F.when(F.array_contains("fields", "query"), "query")
-    return out.select("source_file", wanted.alias("wanted"), "sep", F.size("fields").alias("width"))
+    return out.select(_sensor().alias("source_file"), wanted.alias("wanted"), "sep", F.size("fields").alias("width"))
 
 
 _DNS_OUT = "epoch_us(ts) AS ts, \"srcIP\", \"srcPort\", proto, \"query\", CASE WHEN qtype = 'TXT' THEN '' ELSE qtype END AS qtype"
@@ -78,7 +92,7 @@ _DNS_OUT = "epoch_us(ts) AS ts, \"srcIP\", \"srcPort\", proto, \"query\", CASE W
 
 @query("s02_zeek_dns", f"SELECT {_DNS_OUT} FROM {view_sql('dns')}")
 def zeek_dns(spark: SparkSession, sf: str) -> DataFrame:
-    out = zeek_events(_zeek_dns_lines(spark, sf), "dns")
+    out = registry.read_events(spark, _zeek_files(_zeek_dns_lines(spark, sf)), "bro", "dns")
     return _us(out.select("ts", "srcIP", "srcPort", "proto", "query", "qtype"), "ts")
 
 
@@ -95,7 +109,7 @@ def _zeek_conn_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("s03_zeek_conn", f"""SELECT epoch_us(ts) AS ts, CASE WHEN {valid_ip('"srcIP"')} THEN "srcIP" END AS "srcIP", "srcPort", "destIP", "destPort", proto, "bytesCount", ja3
  FROM {view_sql('conn')}""")
 def zeek_conn(spark: SparkSession, sf: str) -> DataFrame:
-    out = zeek_events(_zeek_conn_lines(spark, sf), "ip")
+    out = registry.read_events(spark, _zeek_files(_zeek_conn_lines(spark, sf)), "bro", "ip")
     return _us(out.select("ts", "srcIP", "srcPort", "destIP", "destPort", "proto", "bytesCount", "ja3"), "ts")
 
 
@@ -107,7 +121,7 @@ def zeek_http(spark: SparkSession, sf: str) -> DataFrame:
     cells = [_epoch(), F.col("srcIP"), F.col("srcPort").cast("string"), F.col("method"), F.concat(F.lit("h"), page, F.lit(".org")),
              F.concat(F.lit("/p?"), page), F.lit("-"), F.col("userAgent"), page, F.col("bytesIn").cast("string"), F.col("status").cast("string")]
     names = ["ts", "id.orig_h", "id.orig_p", "method", "host", "uri", "referrer", "user_agent", "request_body_len", "response_body_len", "status_code"]
-    out = zeek_events(_zeek_lines(rows, names, cells, "page_id"), "http")
+    out = registry.read_events(spark, _zeek_files(_zeek_lines(rows, names, cells, "page_id")), "bro", "http")
     return _us(out.select("ts", "srcIP", "srcPort", "url", "method", "status", "bytesIn", "bytesOut", "userAgent", "referrer"), "ts")
 
 
@@ -131,9 +145,7 @@ def suricata_dns(spark: SparkSession, sf: str) -> DataFrame:
     return _us(out.select("ts", "srcIP", "destPort", "proto", "query", "qtype"), "ts")
 
 
-@query("s06_suricata_http", f"""SELECT epoch_us(ts) AS ts, "srcIP", "srcPort", concat(CASE page_id % 3 WHEN 0 THEN 'http://' WHEN 1 THEN 'https://' ELSE '' END, 'h', CAST(page_id AS VARCHAR), '/a/b') AS url,
- method, status, "userAgent" FROM {view_sql('http')} WHERE page_id % 5 <> 4""")
-def suricata_http(spark: SparkSession, sf: str) -> DataFrame:
+def eve_http_lines(spark: SparkSession, sf: str) -> DataFrame:
     host = F.when(F.col("page_id") % 5 != 4, F.concat(F.lit("h"), F.col("page_id").cast("string")))
     port = F.when(F.col("page_id") % 3 == 0, 80).when(F.col("page_id") % 3 == 1, 443).otherwise(8080)
     record = F.struct(
@@ -141,8 +153,14 @@ def suricata_http(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(host.alias("hostname"), F.lit("/a//x/../b/").alias("url"), F.col("method").alias("http_method"), "status",
                  F.col("userAgent").alias("http_user_agent")).alias("http"),
     )
-    lines = view(spark, sf, "http").select(F.to_json(record).alias("value"), F.lit("eve").alias("source_file"))
-    out = registry.parse(lines, "suricata", "http")
+    file = F.concat(F.lit("h"), (F.col("page_id") % 4).cast("string"))
+    return view(spark, sf, "http").select(F.to_json(record).alias("value"), file.alias("source_file"))
+
+
+@query("s06_suricata_http", f"""SELECT epoch_us(ts) AS ts, "srcIP", "srcPort", concat(CASE page_id % 3 WHEN 0 THEN 'http://' WHEN 1 THEN 'https://' ELSE '' END, 'h', CAST(page_id AS VARCHAR), '/a/b') AS url,
+ method, status, "userAgent" FROM {view_sql('http')} WHERE page_id % 5 <> 4""")
+def suricata_http(spark: SparkSession, sf: str) -> DataFrame:
+    out = registry.parse(eve_http_lines(spark, sf), "suricata", "http")
     return _us(out.select("ts", "srcIP", "srcPort", "url", "method", "status", "userAgent"), "ts")
 
 
@@ -287,16 +305,33 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 # --- several types, errors, user formats ---------------------------------------------------
 
 
-@query("s22_read_all_types", f"""SELECT 'dns' AS event_type, sensor AS source_file, count(*) AS found FROM {view_sql('dns')} WHERE event_id % 4 <> 3 GROUP BY sensor""")
+@query("s22_read_all_types", f"""SELECT 'dns' AS event_type, sensor AS source_file, count(*) AS found FROM {view_sql('dns')} WHERE event_id % 4 <> 3 GROUP BY sensor
+ UNION ALL SELECT 'http', concat('h', CAST(page_id % 4 AS VARCHAR)), count(*) FROM {view_sql('http')} WHERE page_id % 5 <> 4 GROUP BY ALL""")
 def all_types(spark: SparkSession, sf: str) -> DataFrame:
-    """One scan read as DNS and HTTP; these records hold no HTTP."""
-    tables = registry.read_all_types(eve_dns_lines(spark, sf), "suricata")
-    return registry.events_found(tables)
+    """Mixed records read as DNS and HTTP in one pass."""
+    lines = eve_dns_lines(spark, sf).unionByName(eve_http_lines(spark, sf))
+    return registry.events_found(registry.read_all_types(lines, "suricata"))
+
+
+_LINE_IP = f"""(SELECT CASE WHEN {valid_ip('"srcIP"')} THEN "srcIP" END AS "srcIP", "bytesCount" FROM {view_sql('conn')})"""
+
+
+@query("s22_write_all_types", f"""SELECT event_type, "srcIP", count(*) AS entries, CAST(sum(CASE WHEN event_type = 'ip' THEN "bytesCount" ELSE 0 END) AS BIGINT) AS bytes
+ FROM {_LINE_IP}, (VALUES ('dns'), ('http'), ('ip')) t(event_type) GROUP BY ALL""")
+def all_types_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Zeek files split and read once, every line as an event of each type, written to a folder per type in one job."""
+    out = work_dir(spark, "all-types")
+    lines = read_landed_lines(spark, _zeek_files(_zeek_conn_lines(spark, sf)))
+    kinds = ["dns", "http", "ip"]
+    registry.write_all_types(registry.read_all_types(lines, "bro", kinds), out, kinds)
+    read = spark.read.text(out).select("event_type", F.from_json("value", "srcIP string, bytesOut bigint").alias("e"))
+    return read.groupBy("event_type", F.nullif("e.srcIP", F.lit("")).alias("srcIP")).agg(
+        F.count("*").alias("entries"), F.sum(F.coalesce("e.bytesOut", F.lit(0))).alias("bytes"))
 
 
 @query("a06_events_found", f"SELECT 'ip' AS event_type, sensor AS source_file, count(*) AS found FROM {view_sql('conn')} GROUP BY sensor")
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return registry.events_found({"ip": zeek_events(_zeek_conn_lines(spark, sf), "ip")})
+    return registry.events_found(registry.read_all_types(_zeek_conn_lines(spark, sf), "bro", ["ip"]))
 
 
 @query("l03_parse_drop", f"SELECT count(*) AS kept FROM {view_sql('dns')} WHERE event_id % 4 <> 3")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelight.functions.ip import with_ip_keys
+from wirelight.operators.busy_groups import dedup_last8_sliced
 from wirelight.operators.dedup import dedup_horizon, dedup_last8, flush_batches
 from wirelight.operators.domains import domain_join, drop_trusted
 from wirelight.operators.networks import NetworkMatch, cidr_filter, cidr_join
@@ -294,12 +295,6 @@ def ip_entries(spark: SparkSession, sf: str) -> DataFrame:
     return _us(to_ip_entry(view(spark, sf, "conn")), "ts")
 
 
-@query("p04_source_projection", f"SELECT page_id, url, method FROM {view_sql('http')}")
-def projected(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the mapped columns are read from the scan."""
-    return view(spark, sf, "http").select("page_id", "url", "method")
-
-
 @query("p05_event_unified", f"""SELECT 'dns' AS "eventType", epoch_us(ts) AS ts, "srcIP", CAST(NULL AS INTEGER) AS "srcPort", "query", NULL AS url FROM {view_sql('dns')}
  UNION ALL SELECT 'http', epoch_us(ts), "srcIP", "srcPort", NULL, url FROM {view_sql('http')}""")
 def unified(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,6 +331,15 @@ def unrepeated(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("event_id")
 
 
+@query("w02_one_busy_sensor", f"""SELECT CAST(split_part(kept, '|', 2) AS BIGINT) AS event_id FROM (SELECT unnest(list_reduce(rows, lambda a, b:
+ CASE WHEN list_contains(list_transform(a[-8:], lambda e: split_part(e, '|', 1)), split_part(b[1], '|', 1)) THEN a ELSE list_concat(a, b) END)) AS kept
+ FROM (SELECT list([concat("srcIP", '/', qtype, '/', "query", '|', CAST(event_id AS VARCHAR))] ORDER BY event_id) AS rows FROM {view_sql('chatter')}))""")
+def one_sensor(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rule over all rows as one sensor's, cut into slices that are run side by side."""
+    rows = view(spark, sf, "chatter").withColumn("sensor", F.lit("busy"))
+    return dedup_last8_sliced(rows, ["sensor"], ["event_id"], ["srcIP", "destIP", "qtype", "query"]).select("event_id")
+
+
 @query("w03_dns_dedup_horizon", f"""SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY "srcIP", qtype, "query" ORDER BY ts, event_id) AS prev
  FROM {view_sql('chatter')}) WHERE prev IS NULL OR ts > prev + INTERVAL 2 HOUR""")
 def spaced(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,15 +15,16 @@ from wirelight.plans.registry import query
 from wirelight.plans.scope_queries import _SCOPE_IP, GROUPS, _multi
 from wirelight.plans.views import CHATTER, DNS, view_sql
 from wirelight.session import work_dir
-from wirelight.sinks.events import dead_letters, replay_dead_letters, write_dead_letters
+from wirelight.sinks.events import dead_letters, events_ndjson, replay_dead_letters, write_dead_letters
 from wirelight.sources import registry
 from wirelight.sources.alert_pages import stream_pages
 from wirelight.sources.lines import split_errors
 from wirelight.sources.scope_file import load_scope
 from wirelight.sources.search_config import Search
 from wirelight.streaming.jobs import (
-    follow_alerts, horizon_dedup, incremental_documents, load_cursor, publish_stream, stateful_dedup, tail_to_events,
+    follow_alerts, follow_documents, horizon_dedup, publish_stream, stateful_dedup, stream_documents, tail_to_events,
 )
+from wirelight.streaming.outbox import deliver_stream, replay_unsent, unsent
 
 
 def _stream(spark: SparkSession, sf: str, columns: dict[str, str]) -> DataFrame:
@@ -82,21 +83,19 @@ _AT = "TIMESTAMP '2024-01-20 00:00:00'"
 @query("t03_incremental_docs", f"""SELECT {_ENTRY_JSON} AS value, CASE WHEN ts <= {_AT} THEN 1 ELSE 2 END AS poll FROM (SELECT *, {_multi('dns')} FROM {view_sql('dns')}
  WHERE event_id % 7 <> 6 AND ts > {_AT} - INTERVAL 5 MINUTE) WHERE keep""")
 def polled(spark: SparkSession, sf: str) -> DataFrame:
-    """Two polls: the last five minutes first, then all that came since."""
-    out, docs, search = work_dir(spark, "polls"), dns_documents(spark, sf), Search("dns", "ecs")
+    """Two runs over a folder: documents of the first days, then the rest and once more those of the last hour before."""
+    out, docs = work_dir(spark, "polls"), dns_documents(spark, sf)
     now = datetime(2024, 1, 20, tzinfo=timezone.utc)
-    incremental_documents(spark, docs.where(f"ingested <= {_AT}"), search, GROUPS, f"{out}/1", f"{out}/control", now)
-    incremental_documents(spark, docs, search, GROUPS, f"{out}/2", f"{out}/control", now)
-    if load_cursor(spark, f"{out}/control") is None:
-        raise RuntimeError("no document was found")
-    polls = []
-    for n in (1, 2):
-        try:
-            polls.append(spark.read.text(f"{out}/{n}").select("value", F.lit(n).alias("poll")))
-        except Exception as error:  # a poll that found nothing wrote nothing
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    return polls[0] if len(polls) == 1 else polls[0].unionByName(polls[1])
+
+    def run(landed: DataFrame) -> int:
+        landed.write.mode("append").parquet(f"{out}/landed")
+        found = follow_documents(stream_documents(spark, f"{out}/landed"), Search("dns", "ecs"), GROUPS, f"{out}/entries", f"{out}/checkpoint", now, max_age="100 days", once=True)
+        found.awaitTermination()
+        return max((p["batchId"] for p in found.recentProgress), default=-1)
+
+    first = run(docs.where(f"ingested <= {_AT}"))
+    run(docs.where(f"ingested > {_AT} - INTERVAL 1 HOUR"))
+    return spark.read.text(f"{out}/entries").select("value", F.when(F.col("batch_id") <= first, 1).otherwise(2).alias("poll"))
 
 
 @query("t04_stateful_dedup", f"""SELECT CAST(split_part(kept, '|', 2) AS BIGINT) AS event_id FROM (SELECT unnest(list_reduce(rows, lambda a, b:
@@ -115,7 +114,7 @@ def remembered_longer(spark: SparkSession, sf: str) -> DataFrame:
     """First question of each key within a horizon longer than the data."""
     out, rows = work_dir(spark, "horizon"), _stream(spark, sf, CHATTER)
     horizon_dedup(rows, ["srcIP", "qtype", "query"], f"{out}/data", f"{out}/checkpoint", ["event_id"], "100 days", once=True).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{out}/data").select("srcIP", "qtype", "query")
+    return spark.read.parquet(f"{out}/data").where("NOT late").select("srcIP", "qtype", "query")
 
 
 @query("t05_alert_follow", f"SELECT count(*) AS lines, count(DISTINCT id) AS threats FROM {_LINES}")
@@ -159,3 +158,23 @@ def buried(spark: SparkSession, sf: str) -> DataFrame:
     write_dead_letters(dead_letters(bad, "dns", F.lit("2024-01-01").cast("date")), path)
     return replay_dead_letters(spark, path, "dns").groupBy("source_file").agg(F.count("*").alias("letters"))
 
+
+@query("t07_unsent_events", f"""SELECT value, count(*) AS waited, count(*) AS delivered FROM (SELECT {_ENTRY_JSON} AS value FROM {view_sql('dns')}) GROUP BY value""")
+def delivered_later(spark: SparkSession, sf: str) -> DataFrame:
+    """A sink that is down takes nothing: every entry waits in the outbox, and each is delivered once when it is back."""
+    out = work_dir(spark, "outbox")
+
+    def down(entries: DataFrame, event_type: str, stream: str, batch_id: int) -> None:
+        raise OSError("connection refused")
+
+    def back(entries: DataFrame, event_type: str, stream: str, batch_id: int) -> None:
+        events_ndjson(entries, event_type).write.mode("overwrite").text(f"{out}/sent/{stream}-{batch_id}")
+
+    deliver_stream(to_dns_entry(_stream(spark, sf, DNS)), "dns", down, f"{out}/box", f"{out}/checkpoint", tries=2, wait=0.01, once=True).awaitTermination()
+    waited = events_ndjson(unsent(spark, f"{out}/box", "dns"), "dns").groupBy("value").agg(F.count("*").alias("waited"))
+    waited.write.parquet(f"{out}/waited")
+    replay_unsent(spark, f"{out}/box", "dns", back)
+    if unsent(spark, f"{out}/box", "dns") is not None:
+        raise RuntimeError("entries still wait")
+    sent = spark.read.text(f"{out}/sent/*").groupBy("value").agg(F.count("*").alias("delivered"))
+    return spark.read.parquet(f"{out}/waited").join(sent, "value", "full")

@@ -12,11 +12,14 @@ from wirelight.functions.times import wire_time
 from wirelight.sinks.formats import format_alerts
 
 
-def entry_json(kind: str) -> Column:
-    """One entry as JSON text: blanks for absent values unless the field is optional."""
+def entry_json(kind: str, columns: Mapping[str, Column] | None = None) -> Column:
+    """One entry as JSON text: blanks for absent values unless the field is optional.
+
+    ``columns`` gives the fields where the row is no entry itself.
+    """
     fields = []
     for f in schemas.ENTRY[kind].fields:
-        value = F.col(f.name)
+        value = columns[f.name] if columns else F.col(f.name)
         if f.dataType.typeName() == "timestamp":
             value = wire_time(value)
         elif f.dataType.typeName() == "string":

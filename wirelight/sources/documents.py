@@ -1,14 +1,19 @@
 """Search documents landed as JSON: search, page and decode into entries.
 
-A landed document has ``id``, ``source`` (JSON text), ``fields`` (formatted
-values, map of text arrays) and ``ingested`` (timestamp column, so that the
-cursor condition reaches the Parquet scan).
+A landed document has ``id``, ``source``, ``fields`` (formatted values, map of
+text arrays) and ``ingested`` (timestamp column, so that the cursor condition
+reaches the Parquet scan). ``source`` is JSON text, or nested columns, of which
+``source_projection`` leaves the scan those that a search names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelight import schemas
 from wirelight.functions import documents as d
@@ -16,6 +21,7 @@ from wirelight.functions.columns import all_of, derive_once, settle
 from wirelight.functions.ip import with_ip_keys
 from wirelight.sources.search_config import LOOK_BACK, Search
 
+LANDED = "id string, source string, fields map<string,array<string>>, ingested timestamp"
 HIT = "_id string, _source variant, fields map<string,array<string>>"
 
 
@@ -28,6 +34,49 @@ def land_hits(lines: DataFrame, ingested: str = "event.ingested") -> DataFrame:
     )
 
 
+def _steps(path: str) -> list[str]:
+    """``a.b``, ``$.a.b`` or ``$['a']['b']`` as field names."""
+    return [quoted or bare for _, quoted, bare in re.findall(r"""(['"])(.*?)\1|([^.\[\]$'"]+)""", path)]
+
+
+def source_projection(docs: DataFrame, search: Search) -> DataFrame:
+    """Documents with the fields that a search reads, and no others, in nested ``source``.
+
+    Each wanted leaf is named by itself, so a columnar scan reads those leaves
+    alone. Paths that the documents don't have are left out.
+    """
+    tree: dict = {}
+    for path in search.read_paths():
+        node, kind = tree, docs.schema["source"].dataType
+        steps = _steps(path)
+        for i, step in enumerate(steps):
+            if not isinstance(kind, T.StructType) or step not in kind.names:
+                break
+            kind = kind[step].dataType
+            if i + 1 < len(steps):
+                node = node.setdefault(step, {})
+            else:
+                node[step] = None
+
+    def struct(node: dict, at: Column) -> list[Column]:
+        out = []
+        for name, below in node.items():
+            inner = struct(below, at.getField(name)) if below else None
+            if below is None or inner:
+                out.append((at.getField(name) if below is None else F.when(at.getField(name).isNotNull(), F.struct(*inner))).alias(name))
+        return out
+
+    kept = struct(tree, F.col("source"))
+    source = F.struct(*kept) if kept else F.lit(None).cast("struct<none:string>")
+    return docs.select("id", source.alias("source"), "fields", "ingested")
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """Adds ``doc``, the source as a schemaless value; once, whatever is tested later."""
+    nested = isinstance(docs.schema["source"].dataType, T.StructType)
+    return derive_once(docs, {"doc": F.to_variant_object("source") if nested else F.try_parse_json("source")})
+
+
 def must_exist(doc: Column, fields: Column, paths: list[str]) -> Column:
     """All paths hold a value, in the document or among its formatted fields."""
     return all_of([
@@ -55,7 +104,7 @@ def search(
     found = docs.where(ingested_after(cursor, now))
     if search.where:
         found = found.where(search.where)
-    found = derive_once(found, {"doc": F.try_parse_json("source")})
+    found = parsed(found)
     return found.where(
         term_filter(F.col("doc"), search.final_terms())
         & must_exist(F.col("doc"), F.col("fields"), search.final_must_have())
@@ -73,6 +122,24 @@ def page(found: DataFrame, size: int, after: tuple[Column, Column] | None = None
     return found.orderBy("ingested", "id").limit(size)
 
 
+def pages(docs: DataFrame, search_: Search, cursor: Column | None = None, now: Column | None = None) -> Iterator[DataFrame]:
+    """The found documents page by page (the search's ``page_size``), to the end.
+
+    A page starts strictly after the last row of the one before by (ingested, id),
+    so equal times are neither lost nor repeated; that row's key is all that comes
+    to the driver. Documents that arrive behind that key meanwhile are not seen.
+    """
+    found, after = search(docs, search_, cursor, now), None
+    while True:
+        one = page(found, search_.page_size, after)
+        last = one.agg(F.count("*").alias("n"), F.max(F.struct(F.unix_micros("ingested").alias("at"), "id")).alias("key")).first()
+        if last.n:
+            yield one
+        if last.n < search_.page_size:
+            return
+        after = (F.timestamp_micros(F.lit(last.key["at"])), F.lit(last.key["id"]))
+
+
 def newest_ingested(found: DataFrame) -> DataFrame:
     return found.agg(F.max("ingested").alias("newest"))
 
@@ -117,7 +184,7 @@ def decode(found: DataFrame, search: Search) -> DataFrame:
     """
     kind, paths = search.event_type, search.field_map()
     if "doc" not in found.columns:
-        found = derive_once(found, {"doc": F.try_parse_json("source")})
+        found = parsed(found)
     ts = d.doc_field_ts(F.col("fields"), paths["timestamp"])
     dest = d.doc_string(F.col("doc"), paths.get("dest_ip"))
     picked = found.select(

@@ -295,20 +295,42 @@ def _question(message: bytes) -> tuple[str | None, int | None]:
 
 @F.pandas_udf(_QUESTION)
 def dns_question(messages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_question(bytes(m)) for m in messages], columns=["query", "type"]).astype({"type": "Int32"})
+    return pd.DataFrame([(None, None) if m is None else _question(bytes(m)) for m in messages], columns=["query", "type"]).astype({"type": "Int32"})
 
 
-def frames_dns(frames: DataFrame) -> DataFrame:
-    """DNS queries (not answers) to or from port 53, first question only."""
-    rows = transport(frames).where((F.col("srcPort") == 53) | (F.col("destPort") == 53))
+def _asked(rows: DataFrame) -> DataFrame:
+    """Adds the message that may be a DNS query (else NULL) as ``_m``."""
     # over TCP two length bytes come first
     start = F.col("body") + F.when(F.col("proto") == "tcp", 3).otherwise(1)
-    message = F.substring(F.col("payload"), start, F.length("payload"))
-    rows = derive_once(rows, {"_m": message})
+    at_53 = (F.col("srcPort") == 53) | (F.col("destPort") == 53)
+    rows = derive_once(rows, {"_m": F.when(at_53, F.substring(F.col("payload"), start, F.length("payload")))})
     head = F.hex(F.substring("_m", 1, 12))
     is_query = (F.length("_m") >= 17) & (_number(head, 2, 1) < 128) & (_number(head, 4, 2) > 0)
-    rows = rows.where(is_query).withColumn("_q", dns_question("_m"))
+    return derive_once(rows, {"_m": F.when(is_query, F.col("_m"))})
+
+
+def frames_dns(frames: DataFrame) -> DataFrame:
+    """DNS queries (not answers) to or from port 53, first question only."""
+    rows = _asked(transport(frames)).where(F.col("_m").isNotNull()).withColumn("_q", dns_question("_m"))
     return rows.where(F.col("_q.query").isNotNull()).select(
         "ts", "srcPort", "destPort", "proto", F.col("_q.query").alias("query"),
         dns_type_name("_q.type").alias("qtype"), "srcIP", "srcKey", "destIP", "destKey", "source_file",
     )
+
+
+def frames_all(frames: DataFrame, kinds: list[str]) -> DataFrame:
+    """Connections and DNS queries of the frames, whose headers are read once: ``event_type`` and the columns of both."""
+    rows = transport(frames)
+    both = {"ip": F.lit(True), "dns": F.lit(False)}
+    if "dns" in kinds:
+        rows = _asked(rows).withColumn("_q", dns_question("_m"))
+        rows = derive_once(rows, {"query": F.col("_q.query"), "qtype": dns_type_name("_q.type")}).drop("_q", "_m")
+        both["dns"] = F.col("query").isNotNull()
+    rows = rows.withColumn("event_type", F.explode(F.array_compact(F.array(*[F.when(both[k], F.lit(k)) for k in kinds]))))
+    ip = F.col("event_type") == "ip"
+    asked = [F.when(~ip, F.col(c)).alias(c) for c in ("query", "qtype")] if "dns" in kinds else []
+    return rows.select(
+        "event_type", "ts", "srcPort", "destPort", "proto", F.when(ip, F.length("payload").cast("bigint")).alias("bytesCount"),
+        F.when(ip, F.lit("unknown")).alias("direction"), F.lit(None).cast("string").alias("ja3"), *asked,
+        "srcIP", "srcKey", "destIP", "destKey", "srcMac", "source_file",
+    )

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelight.operators.projections import to_dns_entry, to_http_entry, to_ip_entry
+from wirelight.operators.projections import entry_columns, to_dns_entry, to_http_entry, to_ip_entry
+from wirelight.sinks.events import entry_json
 from wirelight.sources import dns_logs, pcap, suricata, zeek
-from wirelight.sources.lines import read_lines
-from wirelight.sources.placed_lines import read_placed_lines
+from wirelight.sources.lines import read_landed_lines, read_lines
 
 Reader = Callable[[SparkSession, str], DataFrame]
 Parser = Callable[..., DataFrame]
@@ -21,14 +21,17 @@ Parser = Callable[..., DataFrame]
 class LogFormat:
     """How to scan a format, and one parser per event type it can hold.
 
-    ``stateless`` parsers look at one line at a time and may run on a stream.
-    ``text`` formats are lines of text; only these can be tailed.
+    ``stateless`` parsers look at one line at a time and may run on a stream;
+    others take their lines from a table, see ``land_lines``.
+    ``text`` formats are lines of text; only these can be tailed.  ``every`` takes
+    the raw rows and event types and reads all of them in one pass.
     """
 
     read: Reader
     parsers: dict[str, Parser]
     stateless: bool = True
     text: bool = True
+    every: Callable[..., DataFrame] | None = None
 
 
 _FORMATS: dict[str, LogFormat] = {}
@@ -65,10 +68,32 @@ def read_events(spark: SparkSession, path: str, name: str, event_type: str, **op
     return parse(get_format(name).read(spark, path), name, event_type, **options)
 
 
-def read_all_types(rows: DataFrame, name: str, types: list[str] | None = None, **options) -> dict[str, DataFrame]:
-    """One scan read as every event type the format holds (or the given ones)."""
-    wanted = types or sorted(get_format(name).parsers)
-    return {kind: parse(rows, name, kind, **options) for kind in wanted}
+def read_all_types(rows: DataFrame, name: str, types: list[str] | None = None, **options) -> DataFrame:
+    """Every event type the format holds (or the given ones) from one pass over its rows.
+
+    ``event_type`` and the columns of all types; see ``of_type`` and ``write_all_types``.
+    """
+    known = get_format(name)
+    wanted = types or sorted(known.parsers)
+    unknown = set(wanted) - set(known.parsers)
+    if unknown:
+        raise ValueError(f"{name} holds no {sorted(unknown)} events")
+    if known.every is not None:
+        return known.every(rows, wanted, **options)
+    if len(wanted) > 1:
+        raise ValueError(f"{name} has no parser for several types at once")
+    return parse(rows, name, wanted[0], **options).withColumn("event_type", F.lit(wanted[0]))
+
+
+def of_type(tagged: DataFrame, event_type: str) -> DataFrame:
+    """The rows of one type among those of several."""
+    return tagged.where(F.col("event_type") == event_type)
+
+
+def write_all_types(tagged: DataFrame, path: str, types: list[str], mode: str = "append") -> None:
+    """Entries of all types as JSON lines, a folder per type, in one job."""
+    lines = [F.when(F.col("event_type") == kind, entry_json(kind, entry_columns(kind, tagged.columns))) for kind in types]
+    tagged.select("event_type", F.coalesce(*lines).alias("value")).write.mode(mode).partitionBy("event_type").text(path)
 
 
 def to_entry(rows: DataFrame, event_type: str) -> DataFrame:
@@ -76,25 +101,18 @@ def to_entry(rows: DataFrame, event_type: str) -> DataFrame:
     return _ENTRIES[event_type](rows)
 
 
-def events_found(tables: dict[str, DataFrame]) -> DataFrame:
+def events_found(tagged: DataFrame) -> DataFrame:
     """Rows found per event type and input file."""
-    counts = [
-        df.groupBy(F.lit(kind).alias("event_type"), "source_file").agg(F.count("*").alias("found"))
-        for kind, df in sorted(tables.items())
-    ]
-    result = counts[0]
-    for more in counts[1:]:
-        result = result.unionByName(more)
-    return result
+    return tagged.groupBy("event_type", "source_file").agg(F.count("*").alias("found"))
 
 
 def _zeek(kind: str) -> Parser:
     return lambda rows, **options: zeek.zeek_events(rows, kind, **options)
 
 
-register_format("bro", LogFormat(read_placed_lines, {k: _zeek(k) for k in ("dns", "ip", "http")}, stateless=False))
-register_format("suricata", LogFormat(read_lines, {"dns": suricata.suricata_dns, "http": suricata.suricata_http}))
+register_format("bro", LogFormat(read_landed_lines, {k: _zeek(k) for k in ("dns", "ip", "http")}, stateless=False, every=zeek.zeek_all))
+register_format("suricata", LogFormat(read_lines, {"dns": suricata.suricata_dns, "http": suricata.suricata_http}, every=suricata.suricata_all))
 register_format("msdns", LogFormat(read_lines, {"dns": dns_logs.msdns_dns}))
 register_format("syslog-named", LogFormat(read_lines, {"dns": dns_logs.named_dns}))
 register_format("edge", LogFormat(dns_logs.read_edge, {"dns": dns_logs.edge_dns}, text=False))
-register_format("pcap", LogFormat(pcap.pcap_frames, {"dns": pcap.frames_dns, "ip": pcap.frames_ip}, text=False))
+register_format("pcap", LogFormat(pcap.pcap_frames, {"dns": pcap.frames_dns, "ip": pcap.frames_ip}, text=False, every=pcap.frames_all))

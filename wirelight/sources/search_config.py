@@ -128,3 +128,7 @@ class Search:
         """Document paths to fetch, timestamps aside."""
         paths = self.field_map()
         return [p for name, p in paths.items() if name not in ("event_ingested", "timestamp")]
+
+    def read_paths(self) -> list[str]:
+        """All document paths the search looks at: those it fetches, tests for existence or compares."""
+        return list(dict.fromkeys([*self.source_paths(), *self.final_must_have(), *self.final_terms()]))

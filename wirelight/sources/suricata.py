@@ -11,7 +11,7 @@ from wirelight.functions import values as v
 from wirelight.functions.columns import derive_once
 from wirelight.functions.names import join_clean_path, scheme_by_port
 from wirelight.functions.times import eve_ts
-from wirelight.sources.lines import RAW, finish, first_error
+from wirelight.sources.lines import Shape, all_types, first_error, one_type
 
 _CORRUPT = "_corrupt"
 _SCHEMA = T.StructType([*schemas.EVE_RECORD.fields, T.StructField(_CORRUPT, T.StringType())])
@@ -32,34 +32,38 @@ def _problem():
     )
 
 
+def _shapes() -> dict[str, Shape]:
+    broken = F.col(f"e.{_CORRUPT}").isNotNull()
+    url = F.concat(scheme_by_port("e.dest_port"), join_clean_path("e.http.hostname", "e.http.url"))
+    nothing = F.lit(None).cast("bigint")
+    dns = {
+        "ts": eve_ts("e.timestamp"), "srcPort": F.lit(None).cast("int"), "destPort": F.col("e.dest_port"),
+        "proto": v.lower_proto("e.proto"), "query": F.col("e.dns.rrname"), "qtype": F.col("e.dns.rrtype"),
+    }
+    http = {
+        "ts": eve_ts("e.timestamp"), "srcPort": F.col("e.src_port"), "url": url, "method": F.col("e.http.http_method"),
+        "status": F.col("e.http.status"), "action": F.lit(None).cast("string"), "bytesIn": nothing, "bytesOut": nothing,
+        "contentType": F.col("e.http.http_content_type"), "referrer": F.col("e.http.http_refer"),
+        "userAgent": F.col("e.http.http_user_agent"),
+    }
+    source = {"srcIP": F.col("e.src_ip")}
+    return {
+        "dns": Shape(dns, source, _problem(), broken | (F.col("e.dns.type") == "query")),
+        "http": Shape(http, source, _problem(), broken | (F.col("e.http.hostname") != "")),
+    }
+
+
 def suricata_dns(lines: DataFrame, on_error: str = "fail") -> DataFrame:
     """DNS queries; answers and other records are skipped."""
-    rows = _records(lines).where(
-        F.col(f"e.{_CORRUPT}").isNotNull() | (F.col("e.dns.type") == "query")
-    ).select(
-        eve_ts("e.timestamp").alias("ts"), F.lit(None).cast("int").alias("srcPort"),
-        F.col("e.dest_port").alias("destPort"), v.lower_proto("e.proto").alias("proto"),
-        F.col("e.dns.rrname").alias("query"), F.col("e.dns.rrtype").alias("qtype"),
-        F.col("e.src_ip").alias("_src"), "source_file", F.col("value").alias(RAW),
-        _problem().alias("_problem"),
-    )
-    return finish(rows, {"srcIP": "_src"}, F.col("_problem"), on_error).drop("_problem")
+    return one_type(_records(lines), _shapes()["dns"], F.col("value"), on_error)
 
 
 def suricata_http(lines: DataFrame, on_error: str = "fail") -> DataFrame:
     """HTTP requests with a host name; byte counts are not part of the records."""
-    url = F.concat(scheme_by_port("e.dest_port"), join_clean_path("e.http.hostname", "e.http.url"))
-    nothing = F.lit(None).cast("bigint")
-    rows = _records(lines).where(
-        F.col(f"e.{_CORRUPT}").isNotNull() | (F.col("e.http.hostname") != "")
-    ).select(
-        eve_ts("e.timestamp").alias("ts"), F.col("e.src_port").alias("srcPort"), url.alias("url"),
-        F.col("e.http.http_method").alias("method"), F.col("e.http.status").alias("status"),
-        F.lit(None).cast("string").alias("action"), nothing.alias("bytesIn"), nothing.alias("bytesOut"),
-        F.col("e.http.http_content_type").alias("contentType"),
-        F.col("e.http.http_refer").alias("referrer"),
-        F.col("e.http.http_user_agent").alias("userAgent"),
-        F.col("e.src_ip").alias("_src"), "source_file", F.col("value").alias(RAW),
-        _problem().alias("_problem"),
-    )
-    return finish(rows, {"srcIP": "_src"}, F.col("_problem"), on_error).drop("_problem")
+    return one_type(_records(lines), _shapes()["http"], F.col("value"), on_error)
+
+
+def suricata_all(lines: DataFrame, kinds: list[str], on_error: str = "fail") -> DataFrame:
+    """Queries and requests, each record parsed once."""
+    shapes = _shapes()
+    return all_types(_records(lines), {kind: shapes[kind] for kind in kinds}, F.col("value"), on_error)

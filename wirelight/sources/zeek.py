@@ -3,8 +3,8 @@
 ``#`` lines set the separator, the empty and unset markers and the column names
 for the lines that follow, and may come again in mid-file.  Only those few lines
 are ordered per file; data lines find their header by position and are never
-sorted or grouped.  Header lines and data lines are found by two scans, so the
-positions must belong to the file: see ``placed_lines``.
+sorted or grouped.  Header lines and data lines are taken from one table, in which
+every line keeps its place: see ``land_lines``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from wirelight.functions import values as v
 from wirelight.functions.columns import derive_once
 from wirelight.functions.times import zeek_epoch
 from wirelight.operators.lookup import fits_broadcast, lookup_join, materialise
-from wirelight.sources.lines import RAW, finish, first_error
+from wirelight.sources.lines import RAW, Shape, all_types, finish, first_error, one_type
 
 _FIELDS = {
     "dns": ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "query", "qtype_name"],
@@ -33,6 +33,8 @@ def header_fill(lines: DataFrame) -> DataFrame:
 
     One row for every place where the header in force changes.
     """
+    if "mark" in lines.columns:
+        lines = lines.where("mark")
     marks = lines.select("*", v.trim_space("value").alias("_line")).where(F.col("_line").startswith("#"))
     file_order = Window.partitionBy("source_file").orderBy("block_start", "line_no")
     so_far = file_order.rowsBetween(Window.unboundedPreceding, 0)
@@ -90,7 +92,8 @@ def zeek_rows(lines: DataFrame, names: list[str]) -> DataFrame:
     """Data lines with ``parts`` (split text) and ``header`` (version in force, or NULL)."""
     # header lines are looked up in one pass over the text and kept as a small table
     headers = materialise(_headers_by_file(lines, names), "headers")
-    data = lines.withColumn("_line", v.trim_space("value")).where(
+    data = lines.where("NOT mark") if "mark" in lines.columns else lines
+    data = data.withColumn("_line", v.trim_space("value")).where(
         (F.col("_line") != "") & ~F.col("_line").startswith("#")
     )
     if fits_broadcast(headers):
@@ -119,8 +122,8 @@ def zeek_scan(lines: DataFrame, on_error: str = "fail") -> DataFrame:
     return finish(rows, {}, error, on_error).drop("_bad")
 
 
-def _named_columns(lines: DataFrame, kind: str) -> tuple[DataFrame, dict[str, Column]]:
-    names = _FIELDS[kind]
+def _named_columns(lines: DataFrame, kinds: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    names = list(dict.fromkeys(name for kind in kinds for name in _FIELDS[kind]))
     rows = zeek_rows(lines, names)
     cells = {f"c{i}": F.get("parts", F.col(f"header.ix.c{i}")) for i in range(len(names))}
     rows = derive_once(rows, {
@@ -134,14 +137,7 @@ def _bad(cell: Column, parsed: Column) -> Column:
     return cell.isNotNull() & parsed.isNull()
 
 
-def zeek_events(
-    lines: DataFrame, kind: str, on_error: str = "fail", fraction: str = "decimal"
-) -> DataFrame:
-    """dns.log, conn.log or http.log lines as dns, ip or http rows.
-
-    Columns the file does not have are blank.  ``fraction`` see ``zeek_epoch``.
-    """
-    rows, c = _named_columns(lines, kind)
+def _shape(kind: str, c: dict[str, Column], on_error: str, fraction: str) -> Shape:
     ts = zeek_epoch(c["ts"], fraction)
     checks = [
         (~(F.col("_width") == F.col("_want")) | F.col("_want").isNull(), "zeek: wrong number of columns"),
@@ -149,7 +145,7 @@ def zeek_events(
         (_bad(c["id.orig_p"], v.port16(c["id.orig_p"])), "zeek: bad port"),
     ]
     out: dict[str, Column] = {"ts": ts, "srcPort": v.port16(c["id.orig_p"])}
-    ips = {"srcIP": "c1"}
+    ips = {"srcIP": c["id.orig_h"]}
 
     def shown(name: str) -> Column:
         return v.blank_unset(c[name], "_empty", "_unset")
@@ -158,15 +154,14 @@ def zeek_events(
         return F.when(c[name] != F.col("_unset"), c[name])
 
     if kind in ("dns", "ip"):
-        ips["destIP"] = "c3"
         out["destPort"] = v.port16(c["id.resp_p"])
         out["proto"] = v.lower_proto(c["proto"])
         checks.append((_bad(c["id.resp_p"], v.port16(c["id.resp_p"])), "zeek: bad port"))
     if kind == "dns":
         # the asked server plays no part in DNS rows
-        del ips["destIP"]
         out |= {"query": c["query"], "qtype": shown("qtype_name")}
     elif kind == "ip":
+        ips["destIP"] = c["id.resp_h"]
         counters = ["orig_bytes", "orig_ip_bytes", "resp_bytes", "resp_ip_bytes"]
         out["bytesCount"] = v.byte_total(*[v.count64(count(n)) for n in counters])
         out["direction"] = F.lit("unknown")
@@ -188,7 +183,23 @@ def zeek_events(
         for name, parse in (("status_code", v.port16), ("response_body_len", v.count64), ("request_body_len", v.count64)):
             cell = c[name] if strict else count(name)
             checks.append((_bad(cell, parse(cell)), f"zeek: bad {name}"))
-    raw = [F.col(cell) for cell in ips.values()]
-    extra = [F.col("source_file"), F.col("_line").alias(RAW), first_error(*checks).alias("_problem")]
-    rows = rows.select(*[expr.alias(name) for name, expr in out.items()], *raw, *extra)
-    return finish(rows, ips, F.col("_problem"), on_error).drop("_problem")
+    return Shape(out, ips, first_error(*checks))
+
+
+def zeek_events(
+    lines: DataFrame, kind: str, on_error: str = "fail", fraction: str = "decimal"
+) -> DataFrame:
+    """dns.log, conn.log or http.log lines as dns, ip or http rows.
+
+    Columns the file does not have are blank.  ``fraction`` see ``zeek_epoch``.
+    """
+    rows, c = _named_columns(lines, [kind])
+    return one_type(rows, _shape(kind, c, on_error, fraction), F.col("_line"), on_error)
+
+
+def zeek_all(
+    lines: DataFrame, kinds: list[str], on_error: str = "fail", fraction: str = "decimal"
+) -> DataFrame:
+    """Every line as an event of each of the kinds, split and read once."""
+    rows, c = _named_columns(lines, kinds)
+    return all_types(rows, {kind: _shape(kind, c, on_error, fraction) for kind in kinds}, F.col("_line"), on_error)

@@ -7,30 +7,27 @@ neither loses nor doubles events.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wirelight.operators.alerts import enrich_alerts
-from wirelight.operators.dedup import (
-    FLUSH_SECONDS, LOOK_BACK, dedup_horizon, keep_unlike_recent, query_key,
-)
+from wirelight.operators.dedup import FLUSH_SECONDS, dedup_horizon
 from wirelight.operators.scope import scope_dns, scope_http, scope_ip
 from wirelight.operators.special import drop_special
-from wirelight.session import delete_folder
+from wirelight.schemas import ENTRY
 from wirelight.sinks.events import dead_letters, entry_json, events_ndjson, write_alerts, write_dead_letters
 from wirelight.sources.alert_pages import explode_pages
-from wirelight.sources.documents import decode, search as search_documents
-from wirelight.sources.lines import split_errors, stream_lines
+from wirelight.sources.documents import LANDED, decode, search as search_documents
+from wirelight.sources.lines import land_lines, split_errors, stream_lines
 from wirelight.sources.registry import get_format, parse, to_entry
 from wirelight.sources.scope_file import ScopeGroup
 from wirelight.sources.search_config import Search
+from wirelight.streaming.state import last_kept, sessions
 
 FILES_PER_BATCH = 1000
 
@@ -51,98 +48,18 @@ def in_scope(rows: DataFrame, event_type: str, groups: Sequence[ScopeGroup]) ->
     return scope_ip(rows, groups)
 
 
-class Memory:
-    """A small table that every micro-batch reads as the batch before left it.
-
-    A batch writes the table under its own id, so a batch that runs again starts
-    from the same rows and replaces what its first run left.  Only the newest two
-    versions are kept.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch_id - 1}")
-
-    def after(self, batch_id: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        if batch_id > 1:
-            delete_folder(self.spark, f"{self.path}/{batch_id - 2}")
-
-
-def _remember(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams through (_row, _group, _key, _kept) by group, a group's memory first; yields kept rows, then its new memory."""
-    group, seen, schema = None, deque(maxlen=LOOK_BACK), None
-
-    def memory() -> pa.RecordBatch:
-        known = {"_group": [group], "_kept": [list(seen)]}
-        return pa.RecordBatch.from_arrays([pa.array(known.get(f.name, [None]), f.type) for f in schema], schema=schema)
-
-    for batch in batches:
-        schema, keep = batch.schema, []
-        groups, keys, carried = (batch.column(c).to_pylist() for c in ("_group", "_key", "_kept"))
-        start = 0
-        for at, (name, key, kept) in enumerate(zip(groups, keys, carried, strict=True)):
-            if name != group:
-                if group is not None:
-                    yield batch.slice(start, at - start).filter(pa.array(keep, pa.bool_()))
-                    yield memory()
-                    start, keep = at, []
-                group, seen = name, deque(maxlen=LOOK_BACK)
-            if kept is not None:
-                seen.extend(kept)
-                keep.append(False)
-            else:
-                keep += keep_unlike_recent(seen, [key])
-        yield batch.slice(start).filter(pa.array(keep, pa.bool_()))
-    if group is not None:
-        yield memory()
-
-
-def remember_last8(batch: DataFrame, memory: DataFrame, group: str, order: list[str], key: list[str]) -> DataFrame:
-    """Rows of a batch unlike the last eight kept of their group, and (``_kept`` set) the new memory.
-
-    ``memory`` is (``_group``, ``_kept``).  Spark sorts the batch by group and
-    order and Python streams through with eight keys, whatever a group's size.
-    """
-    tagged = batch.select(
-        F.struct(*batch.columns).alias("_row"), query_key([group]).alias("_group"), query_key(key).alias("_key"),
-        F.lit(None).cast("array<string>").alias("_kept"), F.struct(*order).alias("_order"),
-    )
-    carried = memory.join(tagged.select("_group").distinct(), "_group", "left_semi")
-    both = tagged.unionByName(carried, allowMissingColumns=True)
-    # a NULL order comes first: the memory row stands before its group
-    ordered = both.repartition("_group").sortWithinPartitions("_group", F.col("_order").asc_nulls_first()).drop("_order")
-    return ordered.mapInArrow(_remember, ordered.schema).drop("_key")
-
-
 def stateful_dedup(
     rows: DataFrame, group: str, order: list[str], key: list[str], out: str, checkpoint: str, once: bool = False,
 ) -> StreamingQuery:
-    """``dedup_last8`` over a stream, the last eight kept keys of each group carried from batch to batch.
+    """``dedup_last8`` over a stream, the last eight kept keys of each group held in the state store.
 
-    Kept rows are written to ``out`` as Parquet, one folder per batch.  A batch is
-    sorted by Spark before the eight-key step, so the order of its files and
-    splits plays no part; a row of an earlier time in a later batch is judged
-    then, never dropped for being late.  Sequential per group; ``horizon_dedup``
-    spreads one busy group over the cluster.
+    Kept rows are appended to ``out`` as Parquet, each once.  The rows of a group
+    are put in order batch by batch, so the order of a batch's files and splits
+    plays no part; a row of an earlier time in a later batch is judged then, never
+    dropped for being late.  Sequential per group; ``horizon_dedup`` spreads one
+    busy group over the cluster.
     """
-    spark = rows.sparkSession
-    memory = Memory(spark, f"{checkpoint}/memory", "_group string, _kept array<string>")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = memory.before(batch_id)
-        place = f"{checkpoint}/found"
-        remember_last8(batch, before, group, order, key).write.mode("overwrite").parquet(place)
-        found = spark.read.parquet(place)
-        found.where("_kept IS NULL").select("_row.*").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        new = found.where("_kept IS NOT NULL").select("_group", "_kept")
-        memory.after(batch_id, before.join(new, "_group", "left_anti").unionByName(new))
-
-    return rows.writeStream.foreachBatch(write).option(
+    return last_kept(rows, group, order, key).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint
     ).trigger(**flush_trigger(once)).start()
 
@@ -153,28 +70,13 @@ def horizon_dedup(
 ) -> StreamingQuery:
     """``dedup_horizon`` over a stream: drops rows that follow an equal row (on ``key``) within the horizon.
 
-    The newest time of each key is carried from batch to batch and forgotten once
-    it is ``late`` and a horizon behind the newest row.  A row that comes late is
-    judged by the rows of its own batch alone and is never dropped for being
-    late.  Kept rows are written to ``out`` as Parquet, one folder per batch.
+    Rows up to ``late`` behind the newest are judged by all rows that came before
+    them, in whatever order they came.  Later ones can't be judged any more and are
+    kept apart: ``out`` is Parquet partitioned by ``late``, and every row is in it
+    once or follows an equal one.  Keys leave the state store by event-time timers.
     """
-    spark = rows.sparkSession
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
-    memory = Memory(spark, f"{checkpoint}/memory", f"{kinds}, _last timestamp")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = memory.before(batch_id)
-        batch = batch.persist()
-        kept = dedup_horizon(batch, key, order or [], horizon, before)
-        kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        every = before.unionByName(batch.groupBy(*key).agg(F.max("ts").alias("_last")))
-        end = every.agg(F.unix_micros(F.max("_last"))).first()[0]
-        oldest = F.timestamp_micros(F.lit(end)) - F.expr(f"INTERVAL {horizon}") - F.expr(f"INTERVAL {late}")
-        newest = every.groupBy(*key).agg(F.max("_last").alias("_last"))
-        memory.after(batch_id, newest.where(F.col("_last") >= oldest))
-        batch.unpersist()
-
-    return rows.writeStream.foreachBatch(write).option(
+    found = sessions(rows, key, order or [], horizon, late)
+    return found.writeStream.format("parquet").partitionBy("late").option("path", out).option(
         "checkpointLocation", checkpoint
     ).trigger(**flush_trigger(once)).start()
 
@@ -195,13 +97,12 @@ def tail_to_events(
 
     A micro-batch is the flush buffer: repeats of a DNS query within the horizon
     are suppressed inside it.  Formats read line by line whose rows need no such
-    step run as one streaming plan.  Zeek lines need their file's header, so their
-    batches are read again as whole files.
+    step run as one streaming plan.  Zeek lines need their file's header, so a
+    batch's lines are written to a table that the next batch replaces.
     """
     fmt = get_format(log_format)
     if not fmt.text:
         raise ValueError(f"format {log_format!r} is not read line by line, so it can't be tailed")
-    # a batch of whole files is read again by name, so its number of files is bounded
     lines = stream_lines(spark, landing, None if fmt.stateless else FILES_PER_BATCH)
     if fmt.stateless and event_type != "dns" and dead_letter_path is None:
         rows = in_scope(parse(lines, log_format, event_type, on_error="skip"), event_type, groups)
@@ -211,13 +112,8 @@ def tail_to_events(
         ).trigger(**flush_trigger(once)).start()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if not fmt.stateless:
-            # a batch is whole files: read them again with line positions
-            files = [r.source_file for r in batch.select("source_file").distinct().toLocalIterator()]
-            if not files:
-                return
-            rows = fmt.read(spark, files)
+        # a batch is whole files; where lines depend on earlier ones it is written down once
+        rows = batch if fmt.stateless else land_lines(batch, f"{checkpoint}/lines")
         parsed = parse(rows, log_format, event_type, on_error="keep")
         good, bad = split_errors(parsed)
         kept = in_scope(good, event_type, groups)
@@ -260,48 +156,47 @@ def follow_alerts(
     ).start()
 
 
-def load_cursor(spark: SparkSession, control: str) -> datetime | None:
-    """Newest ingested time already written, from the control table."""
+def started_at(spark: SparkSession, checkpoint: str, since: datetime) -> datetime:
+    """The time a stream of documents began to look from: ``since`` at its first start, the same ever after."""
+    place = f"{checkpoint}/since"
     try:
-        row = spark.read.parquet(control).agg(F.unix_micros(F.max("newest"))).first()
+        micros = spark.read.parquet(place).agg(F.unix_micros(F.min("since"))).first()[0]
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return None
-    return _moment(row[0])
+        since = since if since.tzinfo else since.replace(tzinfo=timezone.utc)
+        spark.createDataFrame([(since,)], "since timestamp").write.mode("overwrite").parquet(place)
+        return since
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
 
 
-def _moment(micros: int | None) -> datetime | None:
-    """Epoch microseconds as an aware time, whatever zone Python runs in."""
-    return None if micros is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
+def stream_documents(spark: SparkSession, path: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
+    """Landed documents (Parquet) as files arrive in a folder."""
+    return spark.readStream.schema(LANDED).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def incremental_documents(
-    spark: SparkSession,
+def follow_documents(
     docs: DataFrame,
     search: Search,
     groups: Sequence[ScopeGroup],
     out: str,
-    control: str,
-    now: datetime,
-    max_age: timedelta = timedelta(hours=24),
-) -> datetime | None:
-    """One poll: documents newer than the cursor -> scoped entries as JSON lines.
-
-    The cursor moves only after the entries are written, and a repeated poll from
-    the same cursor writes to the same place.  Returns the new cursor.
+    checkpoint: str,
+    now: datetime | None = None,
+    max_age: str = "24 hours",
+    once: bool = False,
+    write: Callable[[DataFrame, str, str, int], None] = publish,
+) -> StreamingQuery:
+    """A stream of landed documents -> scoped entries as JSON lines, every document once.
+
+    Progress is the files that are done, in the checkpoint, not a time: a document
+    that lands late with a time already seen is new all the same, and a batch whose
+    write failed is run again whole. Fetching jobs may land a document twice; one id
+    with one ingested time counts once within ``max_age``, and documents further
+    behind the newest are left out. Documents up to five minutes older than the
+    first start are looked at.
     """
-    cursor = load_cursor(spark, control)
-    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
-    since = None if cursor is None else max(cursor, now - max_age)
-    found = search_documents(docs, search, None if since is None else F.lit(since), F.lit(now))
-    newest = _moment(found.agg(F.unix_micros(F.max("ingested"))).first()[0])
-    if newest is None:
-        return cursor
-    # documents that arrive while this poll runs are left to the next one
-    settled = found.where(F.col("ingested") <= F.lit(newest))
-    kept = in_scope(decode(settled, search), search.event_type, groups)
-    name = "start" if cursor is None else cursor.strftime("%Y%m%dT%H%M%S%f")
-    events_ndjson(kept, search.event_type).write.mode("overwrite").text(f"{out}/after={name}")
-    spark.createDataFrame([(newest,)], "newest timestamp").write.mode("append").parquet(control)
-    return newest
+    now = now or datetime.now(timezone.utc)
+    since = started_at(docs.sparkSession, checkpoint, now - timedelta(minutes=5))
+    found = decode(search_documents(docs, search, F.lit(since)), search)
+    kept = in_scope(found, search.event_type, groups).withWatermark("ingested", max_age).dropDuplicatesWithinWatermark(["id", "ingested"])
+    return publish_stream(kept.select(*ENTRY[search.event_type].names), search.event_type, out, checkpoint, once, write)
