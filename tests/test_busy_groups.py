@@ -10,13 +10,13 @@ from wirelight.operators.busy_groups import dedup_last8_sliced
 from wirelight.operators.dedup import dedup_last8, keep_unlike_recent
 
 SHAPES = {
-    "many keys": F.xxhash64("id") % 40,
-    "about eight keys": F.xxhash64("id") % 9,
-    "few keys": F.xxhash64("id") % 3,
-    "one key": F.lit(1).cast("long"),
-    "eight keys once, then two of them": F.when(F.col("id") < 8, F.col("id")).otherwise(F.col("id") % 2),
-    "phases": F.xxhash64("id") % (1 + (F.col("id") / 1500).cast("int") % 12),
-    "with NULL": F.when(F.col("id") % 5 != 0, F.xxhash64("id") % 11),
+    "many keys": "xxhash64(id) % 40",
+    "about eight keys": "xxhash64(id) % 9",
+    "few keys": "xxhash64(id) % 3",
+    "one key": "1L",
+    "eight keys once, then two of them": "IF(id < 8, id, id % 2)",
+    "phases": "xxhash64(id) % (1 + CAST(id / 1500 AS INT) % 12)",
+    "with NULL": "IF(id % 5 <> 0, xxhash64(id) % 11, NULL)",
 }
 
 
@@ -29,7 +29,7 @@ def chain(rows):
 @pytest.mark.parametrize("head", [20_000, 50])
 def test_one_group_with_all_rows(spark, monkeypatch, shape, head):
     monkeypatch.setattr(busy_groups, "HEAD", head)
-    rows = spark.range(12_000).select("id", SHAPES[shape].alias("q"), F.lit("s").alias("sensor"), F.lit(3).alias("_kept"))
+    rows = spark.range(12_000).select("id", F.expr(SHAPES[shape]).alias("q"), F.lit("s").alias("sensor"), F.lit(3).alias("_kept"))
     found = dedup_last8_sliced(rows.repartition(5), ["sensor"], ["id"], ["q"], slices=12)
     assert found.columns == rows.columns
     assert sorted(r.id for r in found.collect()) == chain(rows.orderBy("id").collect())
@@ -37,7 +37,7 @@ def test_one_group_with_all_rows(spark, monkeypatch, shape, head):
 
 def test_chains_that_stay_open_are_replayed_in_order(spark, monkeypatch):
     monkeypatch.setattr(busy_groups, "ROUNDS", 1)
-    rows = spark.range(6_000).select("id", SHAPES["eight keys once, then two of them"].alias("q"), F.lit("s").alias("sensor"))
+    rows = spark.range(6_000).select("id", F.expr(SHAPES["eight keys once, then two of them"]).alias("q"), F.lit("s").alias("sensor"))
     assert sorted(r.id for r in dedup_last8_sliced(rows, ["sensor"], ["id"], ["q"], slices=10).collect()) == list(range(8))
 
 

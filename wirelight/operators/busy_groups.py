@@ -47,6 +47,8 @@ def _first_run(schema: pa.Schema):
 
         for batch in batches:
             groups, keys = batch.column(batch.schema.get_field_index("_group")).to_pylist(), batch.column(batch.schema.get_field_index("_key")).to_pylist()
+            if groups:
+                slice_ = batch.column(batch.schema.get_field_index("_slice"))[0].as_py()
             start, kept = 0, []
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
 
@@ -66,7 +68,6 @@ def _first_run(schema: pa.Schema):
                     group, seen = name, deque(maxlen=LOOK_BACK)
                 kept += keep_unlike_recent(seen, [keys[at]])
             if groups:
-                slice_ = batch.column(batch.schema.get_field_index("_slice"))[0].as_py()
                 yield out(start, len(groups), kept)
         if group is not None:
             yield end(True)
