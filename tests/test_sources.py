@@ -11,7 +11,8 @@ from wirelight.operators.projections import event_unified, to_ip_entry, with_dir
 from wirelight.sources import registry
 from wirelight.sources.documents import decode, land_hits, newest_ingested, page, pages, search, source_projection
 from wirelight.sources.lines import number_lines, read_landed_lines, read_lines, split_errors
-from wirelight.sources.pcap import pcap_frames, split_captures
+from wirelight.sources.capture_ranges import pcap_frames
+from wirelight.sources.pcap import split_captures
 from wirelight.sources.search_config import Search
 from wirelight.sources.zeek import header_fill, zeek_events, zeek_scan
 

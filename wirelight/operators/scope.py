@@ -166,13 +166,14 @@ def _valid_or_fail(table: DataFrame, valid: Column, text: str, what: str) -> Dat
 
 
 def scope_join(
-    events: DataFrame, scope: DataFrame, event_type: str, flag: bool = False, use_dest: bool = False
+    events: DataFrame, scope: DataFrame, event_type: str, flag: bool = False, use_dest: bool = False, by_order: bool = False,
 ) -> DataFrame:
     """Verdicts against a scope table of any size (see ``scope_file.scope_frame``).
 
     The same as the literal forms: a scope without groups keeps everything,
     ``use_dest`` lets the asked server of DNS rows count, and a malformed network
-    or domain is an error.
+    or domain is an error.  Networks too large to broadcast, or known to be
+    (``by_order``), meet the events in address order.
     """
     if event_type not in ("ip", "tls", "dns", "http"):
         raise ValueError(f"unknown event type {event_type}")
@@ -183,7 +184,7 @@ def scope_join(
     tag = F.struct("name", "role").alias("tag")
     entries = network_entries(_valid_or_fail(named, whole, "cidr", "network").select("cidr", tag), "cidr", "tag", strict=True)
     sides = (_SRC_ROLES, _DST_ROLES)
-    levels = broadcast_levels(entries, *[_has_role(roles) for roles in sides])
+    levels = None if by_order else broadcast_levels(entries, *[_has_role(roles) for roles in sides])
 
     def with_groups(rows: DataFrame, key: str, roles: Sequence[str], out: str) -> DataFrame:
         if levels is not None:

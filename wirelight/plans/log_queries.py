@@ -14,6 +14,7 @@ from wirelight.plans.views import valid4, valid_ip, view, view_sql
 from wirelight.sources import registry
 from wirelight.session import work_dir
 from wirelight.sources.lines import number_lines, read_landed_lines, split_errors
+from wirelight.sources.capture_ranges import pcap_frames
 from wirelight.sources.pcap import split_captures
 from wirelight.sources.zeek import header_fill, zeek_events, zeek_scan
 
@@ -240,10 +241,12 @@ _FRAMED = f"{view_sql('conn')} WHERE {valid_ip('\"srcIP\"')} AND {valid_ip('\"de
 _HEADERS = f"CASE WHEN {valid4('\"srcIP\"')} AND {valid4('\"destIP\"')} THEN 42 ELSE 62 END"
 
 
+def _udp_body() -> Column:
+    return F.concat(_hex(F.col("srcPort"), 4), _hex(F.col("destPort"), 4), _hex(8, 4), F.lit("0000"), F.repeat(F.lit("AB"), F.col("bytesCount").cast("int")))
+
+
 def _conn_captures(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "conn")
-    udp = F.concat(_hex(F.col("srcPort"), 4), _hex(F.col("destPort"), 4), _hex(8, 4), F.lit("0000"), F.repeat(F.lit("AB"), F.col("bytesCount").cast("int")))
-    return _captures(rows, "order_id", "conn_id", udp, 17)
+    return _captures(view(spark, sf, "conn"), "order_id", "conn_id", _udp_body(), 17)
 
 
 @query("s10_pcap_frames", f"SELECT CAST(order_id AS VARCHAR) AS source_file, epoch_us(ts) AS ts, 1 AS linktype, CAST({_HEADERS} + \"bytesCount\" AS INTEGER) AS captured FROM {_FRAMED}")
@@ -251,6 +254,20 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return _us(split_captures(_conn_captures(spark, sf)).select("source_file", "ts", "linktype", "captured"), "ts")
 
 
+@query("s10_capture_files", f"""SELECT CAST(order_id // 4000 AS VARCHAR) AS capture, count(*) AS frames, count(*) - 1 AS last_no, CAST(sum(epoch_us(ts) // 1000000) AS BIGINT) AS seconds,
+ CAST(sum({_HEADERS} + "bytesCount") AS BIGINT) AS bytes FROM {_FRAMED} GROUP BY ALL""")
+def capture_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Capture files of some thousand orders each, read from disk by as many tasks as they have splits."""
+    out = work_dir(spark, "captures")
+    rows = view(spark, sf, "conn").withColumn("capture", F.floor(F.col("order_id") / 4000).cast("bigint"))
+    # a text writer puts bytes as they are, and a byte 10 behind them
+    files = _captures(rows, "capture", "conn_id", _udp_body(), 17).select(F.col("path").alias("capture"), F.col("content").cast("string").alias("value"))
+    files.write.partitionBy("capture").text(out)
+    found = pcap_frames(spark, out)
+    return found.groupBy(F.regexp_extract("source_file", "/capture=([^/]+)/", 1).alias("capture")).agg(
+        F.countDistinct("frame_no").alias("frames"), F.max("frame_no").alias("last_no"), F.sum(F.unix_seconds("ts")).alias("seconds"), F.sum("captured").alias("bytes"))
+
+
 @query("s11_frames_ip", f"""SELECT epoch_us(ts) AS ts, "srcIP", "srcPort", "destIP", "destPort", 'udp' AS proto, {_HEADERS} + "bytesCount" AS "bytesCount" FROM {_FRAMED}""")
 def frame_connections(spark: SparkSession, sf: str) -> DataFrame:
     out = registry.parse(split_captures(_conn_captures(spark, sf)), "pcap", "ip")

@@ -9,7 +9,7 @@ from wirelight.functions.ip import with_ip_keys
 from wirelight.operators.busy_groups import dedup_last8_sliced
 from wirelight.operators.dedup import dedup_horizon, dedup_last8, flush_batches
 from wirelight.operators.domains import domain_join, drop_trusted
-from wirelight.operators.networks import NetworkMatch, cidr_filter, cidr_join
+from wirelight.operators.networks import NetworkMatch, cidr_filter, cidr_join, cidr_join_sorted
 from wirelight.operators.projections import (
     event_unified, to_dns_entry, to_http_entry, to_ip_entry, union_inputs,
 )
@@ -19,7 +19,7 @@ from wirelight.operators.scope import (
 )
 from wirelight.operators.special import SPECIAL_IPV4, drop_special
 from wirelight.plans.registry import query
-from wirelight.plans.views import in_nets, valid_ip, view, view_sql
+from wirelight.plans.views import in_nets, int4, read_table, valid4, valid_ip, view, view_sql
 from wirelight.sources.scope_file import ScopeGroup, load_scope, scope_domains, scope_frame, scope_networks
 
 _IN4 = ["10.0.0.0/8", "192.168.0.0/16", "172.16.0.0/12"]
@@ -98,6 +98,13 @@ def scope_ip_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conn_id", "keep", "reason")
 
 
+@query("j06_scope_ip_join_sorted", f"SELECT conn_id, {_multi('ip')} FROM {view_sql('conn')}")
+def scope_ip_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by address order, as for a scope too large to broadcast."""
+    out = scope_join(view(spark, sf, "conn"), scope_frame(spark, GROUPS), "ip", flag=True, by_order=True)
+    return out.select("conn_id", "keep", "reason")
+
+
 @query("j06_scope_ip_groups", f"SELECT conn_id, {_multi('ip')} FROM {view_sql('conn')}")
 def scope_ip_groups(spark: SparkSession, sf: str) -> DataFrame:
     return scope_ip(view(spark, sf, "conn"), GROUPS, flag=True).select("conn_id", "keep", "reason")
@@ -153,6 +160,23 @@ def network_tags(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conn_id", F.array_join("tags", ",").alias("tags"))
 
 
+_PART_NET = "concat('10.', CAST(p_partkey % 4 AS VARCHAR), '.', CAST(p_partkey * 7 % 250 AS VARCHAR), '.', CAST(p_partkey * 31 % 256 AS VARCHAR))"
+_PART_BITS = "CAST(14 + p_partkey % 19 AS INT)"
+
+
+@query("j01_cidr_join_sorted", f"""WITH nets AS (SELECT DISTINCT p_brand AS tag, bits, {int4('ip')} // (1 << (32 - bits)) AS net FROM (SELECT p_brand, {_PART_NET} AS ip, {_PART_BITS} AS bits FROM part)),
+ ips AS (SELECT DISTINCT "srcIP" AS ip, {int4('"srcIP"')} AS n FROM {view_sql('conn')} WHERE {valid4('"srcIP"')}),
+ cut AS (SELECT ip, n // (1 << (32 - bits)) AS net, bits FROM ips, (SELECT DISTINCT bits FROM nets)),
+ tagged AS (SELECT ip, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM cut JOIN nets USING (net, bits) GROUP BY ip)
+ SELECT conn_id, coalesce(tags, '') AS tags FROM {view_sql('conn')} v LEFT JOIN tagged t ON t.ip = v."srcIP" """)
+def many_networks(spark: SparkSession, sf: str) -> DataFrame:
+    """A network per part, in and around each other, and all connections, in address order."""
+    cidr = f"concat({_PART_NET}, '/', CAST({_PART_BITS} AS VARCHAR)) AS cidr".replace("VARCHAR", "STRING")
+    nets = read_table(spark, sf, "part").selectExpr(cidr, "p_brand AS tag")
+    out = cidr_join_sorted(view(spark, sf, "conn"), "srcIP", nets, "cidr", "tag", "tags")
+    return out.select("conn_id", F.array_join("tags", ",").alias("tags"))
+
+
 @query("j01_cidr_filter", f"SELECT conn_id FROM {view_sql('conn')} WHERE \"srcIP\" IN (SELECT ip FROM ({_TAGGED}))")
 def network_filter(spark: SparkSession, sf: str) -> DataFrame:
     return cidr_filter(view(spark, sf, "conn"), "srcIP", _networks(spark, sf), "cidr").select("conn_id")

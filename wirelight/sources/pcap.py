@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,37 +75,56 @@ def _ticks_per_second(order: str, options: bytes) -> int:
     return 1_000_000
 
 
+def block_reader() -> Callable[[bytearray, bool], Iterator[tuple]]:
+    """Reads a capture file made of blocks (pcapng) as its bytes come.
+
+    Given the bytes so far and whether they are all, it gives (micros, linktype,
+    bytes) of the frames in whole blocks and drops those blocks' bytes. A frame
+    without a time has NULL.
+    """
+    order, interfaces, passed = "<", [], 0
+
+    def read(buffer: bytearray, ended: bool) -> Iterator[tuple]:
+        nonlocal order, interfaces, passed
+        at = 0
+        while at + 12 <= len(buffer):
+            if buffer[at : at + 4] == b"\n\r\r\n":
+                order, interfaces = "<" if buffer[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
+            kind, size = struct.unpack_from(order + "II", buffer, at)
+            if size < 12 or size % 4:
+                raise BrokenCapture(f"pcapng: block {_CUT} at {passed + at}")
+            if at + size > len(buffer):
+                break
+            body = bytes(buffer[at + 8 : at + size - 4])
+            try:
+                if kind == _INTERFACE:
+                    link, _, snap = struct.unpack_from(order + "HHI", body)
+                    interfaces.append((link, snap, _ticks_per_second(order, body[8:])))
+                elif kind == _PACKET:
+                    port, high, low, kept, _ = struct.unpack_from(order + "5I", body)
+                    link, _, ticks = interfaces[port]
+                    yield (high << 32 | low) * 1_000_000 // ticks, link, body[20 : 20 + kept]
+                elif kind == _OLD_PACKET:
+                    port, _, high, low, kept, _ = struct.unpack_from(order + "HH4I", body)
+                    link, _, ticks = interfaces[port]
+                    yield (high << 32 | low) * 1_000_000 // ticks, link, body[20 : 20 + kept]
+                elif kind == _SIMPLE:
+                    (length,) = struct.unpack_from(order + "I", body)
+                    link, snap, _ = interfaces[0]
+                    yield None, link, body[4 : 4 + (min(length, snap) if snap else length)]
+            except (IndexError, struct.error):
+                raise BrokenCapture(f"pcapng: block without its interface or cut short at {passed + at}") from None
+            at += size
+        del buffer[:at]
+        passed += at
+        if ended and buffer:
+            raise BrokenCapture(f"pcapng: block {_CUT} at {passed}")
+
+    return read
+
+
 def _block_frames(content: bytes) -> Iterator[tuple]:
-    """(micros, linktype, bytes) of a capture file made of blocks (pcapng); a frame without a time has NULL."""
-    at, order, interfaces = 0, "<", []
-    while at < len(content):
-        if at + 12 > len(content):
-            raise BrokenCapture(f"pcapng: block {_CUT} at {at}")
-        if content[at : at + 4] == b"\n\r\r\n":
-            order, interfaces = "<" if content[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
-        kind, size = struct.unpack_from(order + "II", content, at)
-        if size < 12 or size % 4 or at + size > len(content):
-            raise BrokenCapture(f"pcapng: block {_CUT} at {at}")
-        body = content[at + 8 : at + size - 4]
-        try:
-            if kind == _INTERFACE:
-                link, _, snap = struct.unpack_from(order + "HHI", body)
-                interfaces.append((link, snap, _ticks_per_second(order, body[8:])))
-            elif kind == _PACKET:
-                port, high, low, kept, _ = struct.unpack_from(order + "5I", body)
-                link, _, ticks = interfaces[port]
-                yield (high << 32 | low) * 1_000_000 // ticks, link, body[20 : 20 + kept]
-            elif kind == _OLD_PACKET:
-                port, _, high, low, kept, _ = struct.unpack_from(order + "HH4I", body)
-                link, _, ticks = interfaces[port]
-                yield (high << 32 | low) * 1_000_000 // ticks, link, body[20 : 20 + kept]
-            elif kind == _SIMPLE:
-                (length,) = struct.unpack_from(order + "I", body)
-                link, snap, _ = interfaces[0]
-                yield None, link, body[4 : 4 + (min(length, snap) if snap else length)]
-        except (IndexError, struct.error):
-            raise BrokenCapture(f"pcapng: block without its interface or cut short at {at}") from None
-        at += size
+    return block_reader()(bytearray(content), True)
 
 
 def _split_frames(path: str, content: bytes) -> Iterator[tuple]:
@@ -157,6 +176,11 @@ def split_captures(files: DataFrame, on_error: str = "fail") -> DataFrame:
         _frames,
         f"source_file string, frame_no bigint, micros bigint, linktype int, captured int, payload binary, {ERROR} string",
     )
+    return frame_rows(raw, on_error)
+
+
+def frame_rows(raw: DataFrame, on_error: str) -> DataFrame:
+    """Frames with their times, and malformed rows as ``split_captures`` says."""
     rows = raw.select(*[
         (F.timestamp_micros("micros") if f.name == "ts" else F.col(f.name)).alias(f.name)
         for f in schemas.FRAME.fields
@@ -166,11 +190,6 @@ def split_captures(files: DataFrame, on_error: str = "fail") -> DataFrame:
     return route(rows, on_error)
 
 
-def pcap_frames(spark: SparkSession, path: str | list[str], on_error: str = "fail") -> DataFrame:
-    """Frames of all capture files under a path."""
-    return split_captures(spark.read.format("binaryFile").load(path), on_error)
-
-
 def _number(hexed: Column, at: Column | int, size: int) -> Column:
     """Unsigned number from ``size`` bytes at a byte offset of hex text."""
     start = at * 2 + 1 if isinstance(at, int) else at * 2 + F.lit(1)

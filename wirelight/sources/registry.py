@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wirelight.operators.projections import entry_columns, to_dns_entry, to_http_entry, to_ip_entry
 from wirelight.sinks.events import entry_json
-from wirelight.sources import dns_logs, pcap, suricata, zeek
+from wirelight.sources import capture_ranges, dns_logs, pcap, suricata, zeek
 from wirelight.sources.lines import read_landed_lines, read_lines
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -115,4 +115,4 @@ register_format("suricata", LogFormat(read_lines, {"dns": suricata.suricata_dns,
 register_format("msdns", LogFormat(read_lines, {"dns": dns_logs.msdns_dns}))
 register_format("syslog-named", LogFormat(read_lines, {"dns": dns_logs.named_dns}))
 register_format("edge", LogFormat(dns_logs.read_edge, {"dns": dns_logs.edge_dns}, text=False))
-register_format("pcap", LogFormat(pcap.pcap_frames, {"dns": pcap.frames_dns, "ip": pcap.frames_ip}, text=False, every=pcap.frames_all))
+register_format("pcap", LogFormat(capture_ranges.pcap_frames, {"dns": pcap.frames_dns, "ip": pcap.frames_ip}, text=False, every=pcap.frames_all))
