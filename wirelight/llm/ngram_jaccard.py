@@ -18,7 +18,9 @@ summed over the fragments and held against the threshold. Nothing is estimated.
 4. Verification first counts over the prefixes alone: a pair whose prefixes share
    too little can't reach the threshold. Only for what is left the whole sets go
    to the fragments.
-5. Candidates travel as arrays per set and verification block, not as rows.
+5. Candidates travel as arrays per set and verification block. Sets whose least
+   shared shingle is the same have one block, as most candidates of one another do,
+   so a set's shingles go to few blocks; a block that would be too large is divided.
 
 Equal sets are one class, so exact copies cost one row each.
 """
@@ -329,11 +331,11 @@ def _sum_pairs(percent: int, whole: bool):
     return run
 
 
-def _counted(probes: DataFrame, segments: DataFrame, blocks: int, percent: int, whole: bool) -> DataFrame:
-    """Those of the candidates (x, block, ys) that pass, in the same form; `segments` has a component for each class."""
+def _counted(probes: DataFrame, segments: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Those of the candidates (x, block, ys) that pass, in the same form; `segments` has a component and a block for each class."""
     own = segments.select(F.col("klass").alias("x"), F.col("n").alias("size"), F.col("fragment").alias("part"), F.col("segment").alias("own"))
     left = probes.join(own, "x").select("part", "block", "x", "size", "own", "ys")
-    right = segments.select("fragment", F.pmod("klass", F.lit(blocks)).cast("int").alias("block"), "klass", "n", "component", "segment")
+    right = segments.select("fragment", (F.col("block") + 0).alias("block"), "klass", "n", "component", "segment")  # a column of its own
     counted = left.groupBy("part", "block").cogroup(right.groupBy("fragment", "block")).applyInPandas(
         _partial, "x long, n long, block int, ys binary, sizes binary, comps binary, counts binary"
     )
@@ -341,12 +343,21 @@ def _counted(probes: DataFrame, segments: DataFrame, blocks: int, percent: int,
     return dealt.mapInArrow(_sum_pairs(percent, whole), "x long, block int, ys array<long>")
 
 
-def _by_block(pairs: DataFrame, blocks: int) -> DataFrame:
+def _blocks(shared: DataFrame, classes: DataFrame, space: Workspace) -> DataFrame:
+    """(klass, n, least, block) of the classes that share a shingle: of about BLOCK classes a block, those with one least shared shingle together."""
+    homes = space.keep(shared.groupBy("klass").agg(F.min(F.xxhash64("shingle")).alias("home")), "homes")
+    blocks = 1 + homes.count() // BLOCK
+    # more than a quarter of a block's classes have blocks of their own; there are at most four such homes a block
+    large = homes.groupBy("home").count().where(F.col("count") > BLOCK / 4).select(F.col("home").alias("_home"), F.ceil(F.col("count") * 4 / BLOCK).cast("int").alias("_shares"))
+    known = homes.join(large, F.col("home") == F.col("_home"), "left").join(classes.select("klass", "n", "least"), "klass")
+    own = blocks + F.pmod(F.xxhash64("home", F.pmod("klass", F.col("_shares"))), F.lit(1 << 30))
+    return known.select("klass", "n", "least", F.coalesce(own, F.pmod("home", F.lit(blocks))).cast("int").alias("block"))
+
+
+def _by_block(pairs: DataFrame, involved: DataFrame) -> DataFrame:
     """(x, ys) to one row per x and block of ys."""
-    each = pairs.select("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "ys") if blocks > 1 else pairs.select("x", F.lit(0).alias("block"), "ys")
-    if blocks > 1:
-        each = each.withColumn("ys", F.expr(f"filter(ys, y -> pmod(y, {blocks}) = block)")).where(F.size("ys") > 0)
-    return each.groupBy("x", "block").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+    each = pairs.select("x", F.explode("ys").alias("klass")).join(involved.select("klass", "block"), "klass")
+    return each.groupBy("x", "block").agg(F.collect_set("klass").alias("ys"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -376,27 +387,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         split = both.where("y IS NULL AND split").select("shingle", "klass", "n", "place")
         lists = space.keep(split.groupBy("shingle").agg(F.count("*").alias("members"), (F.count("*") > 1).alias("several")), "split_lists")
         shared = space.keep(shared.union(look_up(split, lists, "shingle", "members").where("several").drop("several")), "split_shared")
-    involved = space.keep(shared.select("klass").distinct().join(classes.select("klass", "n", "least"), "klass"), "involved")
-    blocks = 1 + involved.count() // BLOCK
+    involved = space.keep(_blocks(shared, classes, space), "involved")
     prefix_parts = space.keep(_segments(_only(docs, involved), order, size, percent, False), "prefixes")
 
     def links(candidates: DataFrame, comps: DataFrame, name: str) -> DataFrame:
-        likely = space.keep(_counted(candidates, prefix_parts.join(comps, "klass"), blocks, percent, False), f"likely{name}")
+        likely = space.keep(_counted(candidates, prefix_parts.join(comps, "klass"), percent, False), f"likely{name}")
         named = likely.select(F.col("x").alias("klass")).union(likely.select(F.explode("ys"))).distinct()
         chosen = space.keep(named.join(involved, "klass").select("klass", "least"), f"chosen{name}")
         segments = space.keep(_segments(_only(docs, chosen), order, size, percent, True), f"segments{name}")
-        found = _counted(likely, segments.join(comps, "klass"), blocks, percent, True)
+        found = _counted(likely, segments.join(comps, "klass"), percent, True)
         found = space.keep(found.select(F.col("x").alias("a"), F.explode("ys").alias("b")), f"links{name}")
         space.drop(f"likely{name}", f"chosen{name}", f"segments{name}")
         return found
 
     near = both.where("y IS NOT NULL").select(F.col("klass").alias("x"), F.array("y").alias("ys"))
-    found = links(_by_block(near, blocks), involved.select("klass", F.col("klass").alias("component")), "1")
+    found = links(_by_block(near, involved), involved.select("klass", "block", F.col("klass").alias("component")), "1")
     grouped = space.keep(connected(found, space, "star1-"), "components1")
-    comps = involved.select("klass").join(grouped, F.col("klass") == F.col("node"), "left").select("klass", F.coalesce("component", "klass").alias("component"))
+    comps = involved.select("klass", "block").join(grouped, F.col("klass") == F.col("node"), "left").select("klass", "block", F.coalesce("component", "klass").alias("component"))
     comps = space.keep(comps, "comps")
 
-    listed = shared.join(comps, "klass")
+    listed = shared.join(comps.select("klass", "component"), "klass")
     by_comp = listed.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     mixed = by_comp.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("common"), F.count("*").alias("comps"), F.sum("c").alias("length")).where("comps > 1")
     listed = listed.join(mixed, "shingle").withColumn("grids", (F.col("length") / BLOCK).cast("int") + 1).withColumn("mine", F.pmod("klass", F.col("grids")).cast("int"))
@@ -412,7 +422,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     space.drop("shared", "split_lists", "split_shared")
     groups = max(spark.sparkContext.defaultParallelism, 1 + lists.count() // BUCKET)
     pairs = lists.groupBy(F.pmod(F.xxhash64("shingle", "grid"), F.lit(groups)).alias("group")).applyInPandas(_across(percent), "x long, ys array<long>")
-    found = found.union(links(_by_block(pairs, blocks), comps, "2"))
+    found = found.union(links(_by_block(pairs, involved), comps, "2"))
 
     grouped = connected(found, space, "star2-")
     labelled = grouped.join(classes.select(F.col("klass").alias("node"), "least"), "node")
