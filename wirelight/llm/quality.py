@@ -109,17 +109,23 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: fl
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.array([max(1, (y < 0).sum()), max(1, (y > 0).sum())])
     most = cost * len(y) / 2 / share[(y > 0).astype(int)]
-    x = [ratios[c] / np.sqrt(squares[c].sum() + 1e-12) if len(c) else ratios[:0] for c in rows]
-    length = np.array([float(v @ v) for v in x])
+    norm = np.array([np.sqrt(squares[c].sum() + 1e-12) if len(c) else np.float32(1) for c in rows])
+
+    def row(i: int) -> np.ndarray:
+        """A row's scaled indicators, worked out when they are needed: the sample is held as cells only."""
+        return ratios[rows[i]] / norm[i]
+
+    length = np.array([float(v @ v) for v in map(row, range(len(rows)))])
     dual = np.zeros(len(y))
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
             if length[i] <= 0:
                 continue
-            slack = y[i] * (weights[rows[i]] @ x[i]) - 1
+            x = row(i)
+            slack = y[i] * (weights[rows[i]] @ x) - 1
             new = min(max(dual[i] - slack / length[i], 0.0), most[i])
             if new != dual[i]:
-                weights[rows[i]] += (new - dual[i]) * y[i] * x[i]
+                weights[rows[i]] += (new - dual[i]) * y[i] * x
                 dual[i] = new
     weights = mixed * weights + (1 - mixed) * np.abs(weights).mean() * np.sign(ratios) * (ratios != 0)
     model = Model((weights * ratios).astype(np.float32), squares, 1.0, 0.0)
