@@ -1,6 +1,7 @@
 """Suppression of repeated queries that is carried over micro-batches."""
 
 import glob
+import json
 import os
 from collections import deque
 
@@ -127,3 +128,16 @@ def test_rows_keep_their_types_through_the_state(spark, tmp_path):
 def test_tailing_takes_text_formats_only(spark, tmp_path, name):
     with pytest.raises(ValueError, match="tailed"):
         tail_to_events(spark, str(tmp_path), name, "dns", [], f"{tmp_path}/o", f"{tmp_path}/c", once=True)
+
+
+@pytest.mark.parametrize(("rule", "wanted"), [("horizon", ["a.org 0", "a.org 50", "b.org 7"]), ("last8", ["a.org 0", "b.org 7"])])
+def test_tailing_suppresses_repeats_across_batches(spark, tmp_path, rule, wanted):
+    (tmp_path / "in").mkdir()
+    rec = lambda q, s: json.dumps({"timestamp": f"2024-05-01T10:00:{s:02d}.000000+0000", "src_ip": "10.0.0.1", "proto": "UDP", "dns": {"type": "query", "rrname": q, "rrtype": "A"}})
+    for n, lines in enumerate(([rec("a.org", 0), rec("a.org", 5), "{bad"], [rec("b.org", 7), rec("a.org", 12)], [rec("a.org", 50)])):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines))
+        tail_to_events(spark, f"{tmp_path}/in", "suricata", "dns", [], f"{tmp_path}/out", f"{tmp_path}/check", once=True, repeats=rule).awaitTermination()
+    found = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert sorted(f"{e['query']} {int(e['ts'][17:19])}" for e in found) == wanted
+    with pytest.raises(ValueError, match="line by line"):
+        tail_to_events(spark, f"{tmp_path}/in", "bro", "dns", [], f"{tmp_path}/o2", f"{tmp_path}/c2", once=True, repeats=rule)

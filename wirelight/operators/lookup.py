@@ -71,11 +71,9 @@ def level_join(
     return rows.select(*before, F.struct(*[merged(f) for f in fields]).alias(out))
 
 
-def _row_spread(df: DataFrame) -> Column:
-    """A deterministic per-row number, to scatter rows that need no join."""
-    plain = (T.StringType, T.NumericType, T.TimestampType, T.BooleanType)
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, plain)]
-    return F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in names]), F.lit(_SPREAD))
+def _row_spread() -> Column:
+    """A number per row, to scatter rows that need no join, equal ones too."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(_SPREAD))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -115,7 +113,7 @@ def lookup_join(
 
     marked = events.join(hot, F.col(key) == F.col("_hot"), "left")
     # rows already answered keep a scattered key that meets nothing
-    spread = F.concat(F.lit("~"), _row_spread(events).cast("string"))
+    spread = F.concat(F.lit("~"), _row_spread().cast("string"))
     needs_join = F.col("_hot").isNull() & F.col(key).isNotNull()
     marked = marked.withColumn("_at", F.when(needs_join, F.col(key)).otherwise(spread))
     joined = marked.join(cold, F.col("_at") == F.col("_cold"), "left")

@@ -288,16 +288,24 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
 # --- scope as a table -------------------------------------------------------------------
 
 
-@query("s20_scope_table", "SELECT s_suppkey % 3 AS k, CASE s_suppkey % 3 WHEN 0 THEN 'branch' WHEN 1 THEN 'core' ELSE 'guest' END AS name, count(*) AS suppliers, "
-       "CASE s_suppkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 4 ELSE 1 END AS networks, CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1 END AS domains FROM supplier GROUP BY ALL")
+_SUPPLIER_NET = "concat('10.', CAST(s_suppkey % 200 AS VARCHAR), '.', CAST(s_nationkey AS VARCHAR), '.0/24')"
+_SUPPLIER_HOST = "concat('8.8.', CAST(s_suppkey % 200 AS VARCHAR), '.', CAST(s_nationkey AS VARCHAR))"
+
+
+@query("s20_scope_table", f"""WITH s AS (SELECT concat('g', CAST(s_suppkey AS VARCHAR)) AS name, s_suppkey AS k, {_SUPPLIER_NET} AS net, {_SUPPLIER_HOST} AS host FROM supplier)
+ SELECT name, CASE WHEN k % 3 = 0 THEN 'src_dst' ELSE 'src_in' END AS role, net AS entry FROM s WHERE k % 5 <> 0
+ UNION ALL SELECT name, CASE WHEN k % 3 = 0 THEN 'src_dst' ELSE 'src_in' END, e FROM s, (VALUES ('0.0.0.0/0'), ('::/0')) t(e) WHERE k % 5 = 0
+ UNION ALL SELECT name, 'src_out', '10.1.0.0/16' FROM s WHERE k % 2 = 0 UNION ALL SELECT name, 'dst_in', host FROM s WHERE k % 3 = 0
+ UNION ALL SELECT name, 'dst_out', host FROM s UNION ALL SELECT name, 'domain', concat('*.', name, '.example.org') FROM s""")
 def scope_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers per scope group with the group's number of networks and domains."""
-    scope = scope_frame(spark, GROUPS)
-    sizes = scope_networks(scope).groupBy("name").agg(F.count("*").cast("int").alias("networks"))
-    names = scope_domains(scope).groupBy("name").agg(F.count("*").cast("int").alias("domains"))
-    table = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr(
-        "s_suppkey % 3 AS k", "CASE s_suppkey % 3 WHEN 0 THEN 'branch' WHEN 1 THEN 'core' ELSE 'guest' END AS name")
-    return table.groupBy("k", "name").agg(F.count("*").alias("suppliers")).join(sizes, "name").join(names, "name")
+    """A scope group per supplier, taken apart into networks by role and trusted domains."""
+    one = lambda expr, condition: f"IF({condition}, array({expr}), array())"
+    net, host = _SUPPLIER_NET.replace("VARCHAR", "STRING"), _SUPPLIER_HOST.replace("VARCHAR", "STRING")
+    scope = read_table(spark, sf, "supplier").selectExpr(
+        "concat('g', s_suppkey) AS name", "s_name AS label", f"{one(net, 's_suppkey % 5 <> 0')} AS in_scope", f"""{one("'10.1.0.0/16'", 's_suppkey % 2 = 0')} AS out_scope""",
+        f"array({host}) AS trusted_ips", "array(concat('*.g', s_suppkey, '.example.org')) AS trusted_domains", f"{one(host, 's_suppkey % 3 = 0')} AS dst_includes")
+    networks = scope_networks(scope).select("name", "role", F.col("cidr").alias("entry"))
+    return networks.unionByName(scope_domains(scope).select("name", F.lit("domain").alias("role"), F.col("pattern").alias("entry")))
 
 
 # --- projections -------------------------------------------------------------------------

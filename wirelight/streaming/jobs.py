@@ -92,11 +92,17 @@ def tail_to_events(
     dead_letter_path: str | None = None,
     once: bool = False,
     horizon: str = "30 seconds",
+    repeats: str = "batch",
+    late: str = "1 hour",
 ) -> StreamingQuery:
     """Log files landing in a folder -> scoped, de-duplicated entries as JSON lines.
 
-    A micro-batch is the flush buffer: repeats of a DNS query within the horizon
-    are suppressed inside it.  Formats read line by line whose rows need no such
+    ``repeats`` says which DNS queries are suppressed. ``batch``: those that follow
+    an equal one within the horizon and in the same micro-batch, which is the flush
+    buffer. ``horizon``: the same across micro-batches, by state; rows more than
+    ``late`` behind are sent. ``last8``: those equal to one of the last eight sent
+    of their folder, by state. The latter two take formats read line by line,
+    without dead letters.  Formats read line by line whose rows need no such
     step run as one streaming plan.  Zeek lines need their file's header, so a
     batch's lines are written to a table that the next batch replaces.
     """
@@ -104,13 +110,26 @@ def tail_to_events(
     if not fmt.text:
         raise ValueError(f"format {log_format!r} is not read line by line, so it can't be tailed")
     lines = stream_lines(spark, landing, None if fmt.stateless else FILES_PER_BATCH)
-    if fmt.stateless and event_type != "dns" and dead_letter_path is None:
+    if fmt.stateless and event_type != "dns" and dead_letter_path is None and repeats == "batch":
         rows = in_scope(parse(lines, log_format, event_type, on_error="skip"), event_type, groups)
         text = to_entry(rows, event_type).select(entry_json(event_type).alias("value"))
         return text.writeStream.format("text").option("path", out).option(
             "checkpointLocation", checkpoint
         ).trigger(**flush_trigger(once)).start()
 
+    if repeats != "batch":
+        if repeats not in ("horizon", "last8") or not fmt.stateless or event_type != "dns" or dead_letter_path is not None:
+            raise ValueError(f"repeats={repeats!r} takes DNS queries of formats read line by line, without dead letters")
+        rows, asked = in_scope(parse(lines, log_format, "dns", on_error="skip"), "dns", groups), ["srcIP", "qtype", "query"]
+        if repeats == "horizon":
+            rows = sessions(rows, asked, [], horizon, late)
+        else:
+            rows = last_kept(rows.withColumn("_folder", F.regexp_extract("source_file", "^(.*)/", 1)), "_folder", ["ts", "source_file"], asked)
+        text = to_entry(rows, "dns").select(entry_json("dns").alias("value"))
+        return text.writeStream.format("text").option("path", out).option(
+            "checkpointLocation", checkpoint
+        ).trigger(**flush_trigger(once)).start()
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # a batch is whole files; where lines depend on earlier ones it is written down once
         rows = batch if fmt.stateless else land_lines(batch, f"{checkpoint}/lines")
