@@ -351,7 +351,8 @@ def _blocks(shared: DataFrame, classes: DataFrame, space: Workspace) -> DataFram
     large = homes.groupBy("home").count().where(F.col("count") > BLOCK / 4).select(F.col("home").alias("_home"), F.ceil(F.col("count") * 4 / BLOCK).cast("int").alias("_shares"))
     known = homes.join(large, F.col("home") == F.col("_home"), "left").join(classes.select("klass", "n", "least"), "klass")
     own = blocks + F.pmod(F.xxhash64("home", F.pmod("klass", F.col("_shares"))), F.lit(1 << 30))
-    return known.select("klass", "n", "least", F.coalesce(own, F.pmod("home", F.lit(blocks))).cast("int").alias("block"))
+    block = F.when(F.col("_shares").isNotNull(), own).otherwise(F.pmod("home", F.lit(blocks)))
+    return known.select("klass", "n", "least", block.cast("int").alias("block"))
 
 
 def _by_block(pairs: DataFrame, involved: DataFrame) -> DataFrame:
