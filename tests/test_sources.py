@@ -360,6 +360,7 @@ def test_only_mapped_leaves_are_read(spark, tmp_path):
      UNION ALL SELECT '2', map('@timestamp', array('2024-05-01T10:00:00Z'), 'event.ingested', array('2024-05-01T10:00:01Z')), TIMESTAMP '2024-05-01 10:00:02',
      named_struct('source', named_struct('ip', '10.0.0.2', 'port', NULL, 'user', 'u'), 'dns', NULL, 'big', 'y', 'odd.name', named_struct('q', 'c.org'))""").write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
 
     def run(wanted):
         found = decode(search(source_projection(docs, wanted), wanted, F.lit("2000-01-01").cast("timestamp")), wanted)
