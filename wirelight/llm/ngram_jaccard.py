@@ -377,15 +377,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lists = space.keep(split.groupBy("shingle").agg(F.count("*").alias("members"), (F.count("*") > 1).alias("several")), "split_lists")
         shared = space.keep(shared.union(look_up(split, lists, "shingle", "members").where("several").drop("several")), "split_shared")
     involved = space.keep(shared.select("klass").distinct().join(classes.select("klass", "n", "least"), "klass"), "involved")
-    blocks = 1 + involved.count() // BLOCK
+    n_involved = involved.count()
+    blocks = 1 + n_involved // BLOCK
     prefix_parts = space.keep(_segments(_only(docs, involved), order, size, percent, False), "prefixes")
 
+    def named_by(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """Rows with the component of their class; two numbers per class, so their count is their size."""
+        return rows.join(F.broadcast(comps) if n_involved <= BROADCAST_IDS else comps, "klass")
+
     def links(candidates: DataFrame, comps: DataFrame, name: str) -> DataFrame:
-        likely = space.keep(_counted(candidates, prefix_parts.join(comps, "klass"), blocks, percent, False), f"likely{name}")
+        likely = space.keep(_counted(candidates, named_by(prefix_parts, comps), blocks, percent, False), f"likely{name}")
         named = likely.select(F.col("x").alias("klass")).union(likely.select(F.explode("ys"))).distinct()
         chosen = space.keep(named.join(involved, "klass").select("klass", "least"), f"chosen{name}")
         segments = space.keep(_segments(_only(docs, chosen), order, size, percent, True), f"segments{name}")
-        found = _counted(likely, segments.join(comps, "klass"), blocks, percent, True)
+        found = _counted(likely, named_by(segments, comps), blocks, percent, True)
         found = space.keep(found.select(F.col("x").alias("a"), F.explode("ys").alias("b")), f"links{name}")
         space.drop(f"likely{name}", f"chosen{name}", f"segments{name}")
         return found
@@ -396,7 +401,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = involved.select("klass").join(grouped, F.col("klass") == F.col("node"), "left").select("klass", F.coalesce("component", "klass").alias("component"))
     comps = space.keep(comps, "comps")
 
-    listed = shared.join(comps, "klass")
+    listed = named_by(shared, comps)
     by_comp = listed.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     mixed = by_comp.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("common"), F.count("*").alias("comps"), F.sum("c").alias("length")).where("comps > 1")
     listed = listed.join(mixed, "shingle").withColumn("grids", (F.col("length") / BLOCK).cast("int") + 1).withColumn("mine", F.pmod("klass", F.col("grids")).cast("int"))
