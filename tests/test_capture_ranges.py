@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_captures import _blocks
-from wirelight.sources import capture_ranges
 from wirelight.sources.capture_ranges import capture_rows, pcap_frames, resync
 from wirelight.sources.lines import split_errors
 

@@ -16,7 +16,7 @@ from wirelight.session import work_dir
 from wirelight.sources.lines import number_lines, read_landed_lines, split_errors
 from wirelight.sources.capture_ranges import pcap_frames
 from wirelight.sources.pcap import split_captures
-from wirelight.sources.zeek import header_fill, zeek_events, zeek_scan
+from wirelight.sources.zeek import header_fill, zeek_scan
 
 
 def _epoch(ts: str = "ts") -> Column:
