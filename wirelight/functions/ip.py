@@ -55,8 +55,13 @@ def _v6_key(padded: Column) -> Column:
         F.contains(padded, F.lit("::")), F.replace(padded, F.lit("::"), zeros)
     ).otherwise(padded)
     key = F.concat(F.lit("6"), F.replace(full, F.lit(":"), F.lit("")))
-    whole = F.nullif(F.regexp_extract(key, r"\A6[0-9A-F]{32}\z", 0), F.lit(""))
-    return F.regexp_replace(whole, f"^6{_MAPPED}", "4")
+    # padded text holds hex digits and colons alone, so its length says whether it is whole
+    return F.when(F.length(key) == V6_KEY_LENGTH, unmapped_key(key))
+
+
+def unmapped_key(key: Column) -> Column:
+    """The IPv4 key of an address in mapped form, any other key as it is."""
+    return F.when(key.startswith(f"6{_MAPPED}"), F.concat(F.lit("4"), F.substring(key, 26, 8))).otherwise(key)
 
 
 def _is_v6(text: Column) -> Column:
@@ -111,6 +116,14 @@ def ip16(key: ColumnOrName) -> Column:
     return F.when(key.startswith("4"), F.concat(F.lit(_MAPPED.lower()), digits)).otherwise(digits)
 
 
+# four digits without the zeros in front, but for the last
+_GROUP = "000(.)|00(..)|0(...)|(....)"
+# the first of the longest runs of two or more zero groups; one pass, the longest is tried first
+_RUNS = range(8, 1, -1)
+_SQUEEZED = "^(?:" + "|".join(rf"(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)" for run in _RUNS) + ")$"
+_SQUEEZED_TO = "".join(f"${2 * i + 1}" for i in range(len(_RUNS))) + "::" + "".join(f"${2 * i + 2}" for i in range(len(_RUNS)))
+
+
 def _hex_int(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("int")
 
@@ -119,12 +132,8 @@ def key_text(key: ColumnOrName) -> Column:
     """Canonical text of an address key (dotted, or compressed lower-case IPv6)."""
     key = as_column(key)
     dotted = F.concat_ws(".", *[_hex_int(F.substring(key, 2 + 2 * i, 2)) for i in range(4)])
-    text = F.regexp_replace(F.lower(F.substring(key, 2, 32)), "(.{4})(?!$)", "$1:")
-    text = F.regexp_replace(text, "(^|:)0{1,3}", "$1")
-    # the first of the longest runs of two or more zero groups is squeezed
-    for run in range(8, 1, -1):
-        pattern = rf"^(?!.*::)(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
-        text = F.regexp_replace(text, pattern, "$1::$2")
+    spelled = F.regexp_replace(F.lower(F.substring(key, 2, 32)), _GROUP, "$1$2$3$4:")
+    text = F.regexp_replace(F.rtrim(spelled, F.lit(":")), _SQUEEZED, _SQUEEZED_TO)
     return F.when(key.startswith("4"), dotted).when(key.startswith("6"), text)
 
 

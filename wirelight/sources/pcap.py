@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from wirelight import schemas
 from wirelight.functions.columns import derive_once
-from wirelight.functions.ip import key_text
+from wirelight.functions.ip import key_text, unmapped_key
 from wirelight.functions.values import dns_type_name
 from wirelight.sources.lines import ERROR, route
 
@@ -274,8 +274,7 @@ def transport(frames: DataFrame) -> DataFrame:
         "body": l4 + F.when(tcp, F.shiftright(_number(h, l4 + 12, 1), 4) * 4).otherwise(8),
     })
     # an address in mapped form is an IPv4 address
-    mapped = "^6" + "0" * 20 + "FFFF"
-    keyed = keyed.withColumns({k: F.regexp_replace(k, mapped, "4") for k in ("srcKey", "destKey")})
+    keyed = keyed.withColumns({k: unmapped_key(F.col(k)) for k in ("srcKey", "destKey")})
     keyed = keyed.withColumns({"srcIP": key_text("srcKey"), "destIP": key_text("destKey")})
     return keyed.drop("_h", "_type", "_kind", "_l3", "_l4", "_first", "_ext", "_fam", "_proto", "_size")
 
