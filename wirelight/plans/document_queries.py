@@ -12,7 +12,7 @@ from wirelight.plans.scope_queries import _us
 from wirelight.plans.views import valid_ip, view, view_sql
 from wirelight.session import work_dir
 from wirelight.sources.documents import (
-    decode, ingested_after, must_exist, newest_ingested, page, pages, search, source_projection, term_filter,
+    decode, ingested_after, must_exist, newest_ingested, numbered_pages, page, search, source_projection, term_filter,
 )
 from wirelight.sources.search_config import Search
 
@@ -68,8 +68,8 @@ def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     docs = dns_documents(spark, sf)
     docs.write.parquet(f"{out}/landed")
     landed = spark.read.schema(docs.schema).parquet(f"{out}/landed")
-    for n, one in enumerate(pages(landed, wanted, F.expr("TIMESTAMP '2024-01-29 00:00:00'"))):
-        one.select("id").write.parquet(f"{out}/found/page={n}")
+    found = search(landed, wanted, F.expr("TIMESTAMP '2024-01-29 00:00:00'")).select("ingested", "id")
+    numbered_pages(found, wanted.page_size).select("id", "page").write.parquet(f"{out}/found")
     return spark.read.parquet(f"{out}/found")
 
 

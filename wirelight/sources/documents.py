@@ -14,11 +14,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from wirelight import schemas
 from wirelight.functions import documents as d
 from wirelight.functions.columns import all_of, derive_once, settle
 from wirelight.functions.ip import with_ip_keys
+from wirelight.operators.lookup import materialise
 from wirelight.sources.search_config import LOOK_BACK, Search
 
 LANDED = "id string, source string, fields map<string,array<string>>, ingested timestamp"
@@ -122,22 +124,35 @@ def page(found: DataFrame, size: int, after: tuple[Column, Column] | None = None
     return found.orderBy("ingested", "id").limit(size)
 
 
+def numbered_pages(found: DataFrame, size: int) -> DataFrame:
+    """The documents with column ``page``, from 0 on: ``size`` documents each, in order of (ingested, id).
+
+    The documents are put in order once, range by range, and written down; a row's
+    number is its place in its range and the counts of the ranges before.
+    """
+    placed = found.orderBy("ingested", "id").withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed, "ordered").withColumn("_range", F.shiftright("_at", 33))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one small row per range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.join(F.broadcast(ranges), "_range")
+    return numbered.select(*found.columns, F.floor(number / size).cast("int").alias("page"))
+
+
 def pages(docs: DataFrame, search_: Search, cursor: Column | None = None, now: Column | None = None) -> Iterator[DataFrame]:
     """The found documents page by page (the search's ``page_size``), to the end.
 
-    A page starts strictly after the last row of the one before by (ingested, id),
-    so equal times are neither lost nor repeated; that row's key is all that comes
-    to the driver. Documents that arrive behind that key meanwhile are not seen.
+    Documents are searched and put in order once, by (ingested, id), see
+    ``numbered_pages``; a page is a lookup of its number in that table, whose files
+    hold neighbouring pages. Equal times are neither lost nor repeated. Documents
+    that arrive meanwhile are not seen.
     """
-    found, after = search(docs, search_, cursor, now), None
-    while True:
-        one = page(found, search_.page_size, after)
-        last = one.agg(F.count("*").alias("n"), F.max(F.struct(F.unix_micros("ingested").alias("at"), "id")).alias("key")).first()
-        if last.n:
-            yield one
-        if last.n < search_.page_size:
-            return
-        after = (F.timestamp_micros(F.lit(last.key["at"])), F.lit(last.key["id"]))
+    numbered = materialise(numbered_pages(search(docs, search_, cursor, now), search_.page_size), "pages")
+    last = numbered.agg(F.max("page")).first()[0]
+    for n in range(0 if last is None else last + 1):
+        yield numbered.where(F.col("page") == n).drop("page").orderBy("ingested", "id")
 
 
 def newest_ingested(found: DataFrame) -> DataFrame:
