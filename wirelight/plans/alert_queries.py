@@ -11,7 +11,7 @@ from wirelight.operators.alerts import alert_threats, enrich_alerts, join_catalo
 from wirelight.operators.projections import to_dns_entry, to_ip_entry
 from wirelight.plans.registry import query
 from wirelight.plans.scope_queries import GROUPS, _group_tests
-from wirelight.plans.views import KNOWN_THREAT, THREAT, view, view_sql
+from wirelight.plans.views import ALERT_EVENT, KNOWN_THREAT, THREAT, read_table, view, view_sql
 from wirelight.sinks.events import events_ndjson, write_alerts
 from wirelight.sinks.formats import (
     Product, alert_json, cef_line, format_alerts, gelf_line, leef_line, line_format, per_threat, register_formatter,
@@ -25,12 +25,15 @@ _PRODUCT = Product("Acme", "Sensor|1", "1.2.3", "host-1")
 def _alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One alert per order: event, threat ids (part brands) and its page's catalogue."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey")
-    parts = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", f"{KNOWN_THREAT} AS known", *[f"{e} AS {n}" for n, e in THREAT.items()])
-    listed = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    known = F.when(F.col("known"), F.struct("id", F.struct("title", "severity", "policy").alias("t")))
-    # an order has a handful of line items
-    per_order = listed.groupBy("l_orderkey").agg(F.collect_set("id").alias("threats"), F.map_from_entries(F.collect_set(known)).alias("catalogue"))
-    alerts = view(spark, sf, "alert").join(per_order, F.col("alert_id") == F.col("l_orderkey"), "left")
+    listed = items.join(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    # an order has a handful of line items; ids alone are shuffled, what the catalogue says of them is worked out behind
+    per_order = listed.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("threats"))
+    entry = ", ".join(f"'{name}', {expr}".replace("p_brand", "b") for name, expr in THREAT.items() if name != "id")
+    known = f"transform(filter(threats, b -> {KNOWN_THREAT.replace('p_brand', 'b')}), b -> struct(b AS id, named_struct({entry}) AS t))"
+    per_order = per_order.withColumn("catalogue", F.expr(f"map_from_entries({known})"))
+    # orders are joined as they are stored, their longer texts are made behind the shuffle
+    joined = read_table(spark, sf, "orders").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    alerts = joined.selectExpr(*[f"{expr} AS {column}" for column, expr in ALERT_EVENT.items()], "threats", "catalogue")
     fields = [(F.col(n) if n in alerts.columns else F.lit(None)).alias(n) for n in schemas.UNIFIED_EVENT.names]
     none = F.array().cast("array<string>")
     return alerts.select(

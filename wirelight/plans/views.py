@@ -122,14 +122,14 @@ _VIEWS = {"conn": CONN, "dns": DNS, "chatter": CHATTER, "http": HTTP, "alert": A
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table, spread over the cores when it has fewer files than there are cores.
+    """A table, spread over the cores when its scan has fewer splits than there are cores.
 
-    One small file is one row group, hence one task; a large table has files
-    enough and is left as it is.
+    One small file is one split, hence one task; a large table has splits enough,
+    in however few files, and is left as it is: nothing is shuffled.
     """
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,12 +44,14 @@ def write_events(tables: Mapping[str, DataFrame], path: str, mode: str = "append
 
 def write_alerts(alerts: DataFrame, sinks: Mapping[str, str], batch_id: int) -> None:
     """Every alert to every sink ({format: folder}); a repeated batch replaces itself."""
-    kept = alerts.persist()
+    # worked out once for several sinks; a single one takes the rows as they come
+    kept = alerts.persist() if len(sinks) > 1 else alerts
     try:
         for name, path in sorted(sinks.items()):
             format_alerts(kept, name).write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
     finally:
-        kept.unpersist()
+        if len(sinks) > 1:
+            kept.unpersist()
 
 
 def dead_letters(bad: DataFrame, event_type: str, day: Column | None = None) -> DataFrame:
