@@ -1,9 +1,10 @@
 """Suppression of repeats as keyed state of Spark's state store.
 
 A batch reads and writes the state of the keys it holds and of those whose timer
-is due, nothing else, so its cost follows the batch. Rows of one key in one
-micro-batch are put in order in the task's memory; the source's options
-(``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bound a micro-batch.
+is due, nothing else, so its cost follows the batch. For the last kept keys the
+rows of one group in one micro-batch are put in order in the task's memory; the
+source's options (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bound a micro-batch.
+The horizon takes them as they come.
 """
 
 from __future__ import annotations
@@ -31,9 +32,13 @@ def use_state_store(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+def _place(row: Row) -> tuple:
+    """The values of ``_order`` (a struct, which comes as a dict), NULL first."""
+    return tuple((x is not None, x) for x in row["_order"].values())
+
+
 def _in_order(rows: Iterator[Row]) -> list[Row]:
-    """By the values of ``_order`` (a struct, which comes as a dict), NULL first."""
-    return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r["_order"].values()))
+    return sorted(rows, key=_place)
 
 
 class LastKept(StatefulProcessor):
@@ -61,7 +66,9 @@ class Sessions(StatefulProcessor):
     """Passes rows that follow no equal row within the horizon, and rows that come too late, marked.
 
     The state of a key is its runs of rows no further apart than the horizon, as
-    (first, last) microseconds. Event-time timers drop what the watermark and the
+    (first, last) microseconds. A batch's rows come in any order and are not
+    held: of each run they form among themselves the first row is remembered, the
+    only one that may be new. Event-time timers drop what the watermark and the
     horizon have passed, whether or not the key has new rows.
     """
 
@@ -76,26 +83,41 @@ class Sessions(StatefulProcessor):
         known = self.runs.get()
         first, last, timer = (list(known[0]), list(known[1]), known[2]) if known else ([], [], None)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for row in _in_order(rows):
+        begun, ended, heads = [], [], []
+        for row in rows:
             at = row["_at"]
             if at < passed:
                 yield Row(_row=row["_row"], late=True)
                 continue
-            i = bisect_right(first, at) - 1
-            repeated = i >= 0 and at <= last[i] + self.horizon
-            if repeated:
-                last[i] = max(last[i], at)
-            else:
-                i += 1
-                first.insert(i, at)
-                last.insert(i, at)
-            if i + 1 < len(first) and first[i + 1] <= last[i] + self.horizon:
-                last[i] = max(last[i], last.pop(i + 1))
-                first.pop(i + 1)
-            if not repeated:
+            i, n = self._touched(begun, ended, at, at)
+            if not n:
+                begun.insert(i, at)
+                ended.insert(i, at)
+                heads.insert(i, row)
+                continue
+            # of the rows that touch, the first in order stands for the run
+            if at < begun[i] or at == begun[i] and _place(row) < _place(heads[i]):
+                heads[i] = row
+            begun[i : i + n] = [min(begun[i], at)]
+            ended[i : i + n] = [max(ended[i + n - 1], at)]
+            del heads[i + 1 : i + n]
+        for start, end, row in zip(begun, ended, heads, strict=True):
+            i = bisect_right(first, start) - 1
+            if i < 0 or start > last[i] + self.horizon:
                 yield Row(_row=row["_row"], late=False)
+            i, n = self._touched(first, last, start, end)
+            low, high = (min(first[i], start), max(last[i + n - 1], end)) if n else (start, end)
+            first[i : i + n], last[i : i + n] = [low], [high]
         self._keep(first, last, timer, passed)
 
+    def _touched(self, first: list[int], last: list[int], start: int, end: int) -> tuple[int, int]:
+        """Place and number of the runs no further than the horizon from start..end; runs are in order and lie further apart."""
+        stop = bisect_right(first, end + self.horizon)
+        at = stop
+        while at and last[at - 1] + self.horizon >= start:
+            at -= 1
+        return at, stop - at
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.runs.get()
         if known:
