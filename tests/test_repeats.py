@@ -141,3 +141,20 @@ def test_tailing_suppresses_repeats_across_batches(spark, tmp_path, rule, wanted
     assert sorted(f"{e['query']} {int(e['ts'][17:19])}" for e in found) == wanted
     with pytest.raises(ValueError, match="line by line"):
         tail_to_events(spark, f"{tmp_path}/in", "bro", "dns", [], f"{tmp_path}/o2", f"{tmp_path}/c2", once=True, repeats=rule)
+
+
+def test_a_sensor_with_all_rows_of_a_batch_is_spread(spark, tmp_path):
+    """Two batches of one busy sensor and a few small ones: its rows are judged by several tasks, as the chain over both batches says."""
+    sensor = F.when(F.col("id") % 400 == 7, F.concat(F.lit("s"), F.expr("id % 3"))).otherwise("busy")
+    rows = spark.range(60_000).select("id", sensor.alias("sensor"), F.when(F.col("id") % 9 != 0, F.xxhash64("id") % 13).alias("q"))
+    batches = [rows.where("id < 35000"), rows.where("id >= 35000 AND sensor <> 's1'"), rows.where("id >= 35000 AND sensor = 's1'")]
+    _streamed(spark, str(tmp_path), batches, lambda s: stateful_dedup(s, "sensor", ["id"], ["q"], f"{tmp_path}/out", f"{tmp_path}/check", once=True))
+    seen, wanted = {}, []
+    for r in rows.orderBy("id").collect():
+        if keep_unlike_recent(seen.setdefault(r.sensor, deque(maxlen=8)), [r.q])[0]:
+            wanted.append(r.id)
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.id for r in kept.collect()) == wanted
+    assert kept.columns == rows.columns
+    # a group that is one task's is one file's
+    assert kept.where("sensor = 'busy' AND id < 35000").select(F.input_file_name()).distinct().count() > 2

@@ -14,6 +14,10 @@ chain is cut into slices all the same:
    replayed slice after slice in one task per group.
 
 The result is that of the chain. The driver holds eight keys per slice.
+
+What a group's rows of earlier batches left behind, its last kept keys, comes before
+the rows as rows of its own: eight different keys are all kept, so a run that begins
+with them remembers just them.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,10 +134,25 @@ class _Slice:
 
 def dedup_last8_sliced(rows: DataFrame, group: list[str], order: list[str], key: list[str], slices: int | None = None) -> DataFrame:
     """As ``dedup_last8``; a group may hold all rows. ``order`` must tell a group's rows apart."""
+    return last8_from(rows, group, order, key, None, slices)[0]
+
+
+def last8_from(
+    rows: DataFrame, group: list[str], order: list[str], key: list[str], before: DataFrame | None, slices: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``dedup_last8_sliced`` that goes on from what groups remember, and what they remember then.
+
+    ``before`` and the second result have a row (_group, _ends) per group: its
+    ``query_key`` and its last kept keys, oldest first. Groups without rows stay.
+    """
     spark = rows.sparkSession
     n = slices or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tagged = rows.select(F.struct(*rows.columns).alias("_row"), query_key(group).alias("_group"), query_key(key).alias("_key"), F.struct(*order).alias("_order"))
-    dealt = tagged.repartitionByRange(n, "_group", "_order").sortWithinPartitions("_group", "_order").drop("_order")
+    tagged = rows.select(F.struct(*rows.columns).alias("_row"), query_key(group).alias("_group"), query_key(key).alias("_key"), F.struct(*order).alias("_order"), F.lit(LOOK_BACK).alias("_place"))
+    if before is not None:
+        nothing = [F.lit(None).cast(tagged.schema[c].dataType).alias(c) for c in ("_row", "_order")]
+        tagged = tagged.unionByName(before.select("_group", F.posexplode("_ends").alias("_place", "_key"), *nothing))
+    inside = ["_group", "_place", "_order"]
+    dealt = tagged.repartitionByRange(n, *inside).sortWithinPartitions(*inside).drop("_order", "_place")
     dealt = dealt.withColumns({"_slice": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()})
     schema = T.StructType([*dealt.schema.fields, *(T.StructField(c, t) for c, t in (
         ("_kept", T.BooleanType()), ("_part", T.IntegerType()), ("_last", T.BooleanType()), ("_ends", T.ArrayType(T.StringType()))))])
@@ -148,11 +168,14 @@ def dedup_last8_sliced(rows: DataFrame, group: list[str], order: list[str], key:
             s.first, s.first_ends = r["_group"], r["_ends"]
         if r["_last"]:
             s.last, s.last_ends, s.whole = r["_group"], r["_ends"], r["_part"] == 0
+    # per slice the table with the rows judged otherwise
     flips: dict[int, DataFrame] = {}
+    # where a slice's first group ended, as far as it isn't as in the first run
+    closed: dict[int, list] = {}
     ends = {i: s.last_ends for i, s in known.items()}
     used: dict[int, list] = {}
-    inside = sorted(known)
-    before = {s: p for p, s in zip(inside, inside[1:]) if known[p].last == known[s].first}
+    in_order = sorted(known)
+    previous = {s: p for p, s in zip(in_order, in_order[1:]) if known[p].last == known[s].first}
 
     def replay(starts: dict[int, list | None], head: int | None, by: dict[int, int]) -> list:
         some = run.where(F.col("_slice").isin(list(starts)) & (F.col("_part") == 0) & F.col("_last").isNull())
@@ -163,20 +186,18 @@ def dedup_last8_sliced(rows: DataFrame, group: list[str], order: list[str], key:
         found = materialise(together.mapInArrow(_replay(starts), f"_slice int, _pos long, _met boolean, _ends {_ENDS}"), "replayed")
         told = found.where("_met IS NOT NULL").collect()
         settled = [r["_slice"] for r in told if r["_met"] or head is None]
-        if settled:
-            other = found.where(F.col("_pos").isNotNull() & F.col("_slice").isin(settled)).select("_pos")
-            for s in settled:
-                flips[s] = other.where(F.col("_pos").bitwiseAND(F.lit(-(1 << 33))) == F.lit(s << 33))
+        flips.update(dict.fromkeys(settled, found))
         return told
 
     def settle(told: list) -> None:
         for r in told:
             s = r["_slice"]
+            closed[s] = known[s].first_ends if r["_met"] else r["_ends"]
             if known[s].whole:
-                ends[s] = known[s].last_ends if r["_met"] else r["_ends"]
+                ends[s] = closed[s]
 
     for _ in range(ROUNDS):
-        todo = {s: ends[p] for s, p in before.items() if used.get(s) != ends[p]}
+        todo = {s: ends[p] for s, p in previous.items() if used.get(s) != ends[p]}
         if not todo:
             break
         used |= todo
@@ -185,25 +206,30 @@ def dedup_last8_sliced(rows: DataFrame, group: list[str], order: list[str], key:
         settle([r for r in told if r["_met"]])
         if open_:
             settle(replay(open_, None, {s: s for s in open_}))
-    left = sorted(s for s, p in before.items() if used.get(s) != ends[p])
+    left = sorted(s for s, p in previous.items() if used.get(s) != ends[p])
     if left:
         # from a group's first open slice on, in one task per group
         chains: dict[int, int] = {}
         starts: dict[int, list | None] = {}
-        for s in inside:
-            p = before.get(s)
+        for s in in_order:
+            p = previous.get(s)
             if p in chains and known[p].whole:
                 chains[s], starts[s] = chains[p], None
             elif s in left:
                 chains[s], starts[s] = s, ends[p]
         settle(replay(starts, None, chains))
-    result = run.where("_last IS NULL")
-    if flips:
-        other = None
-        for one in flips.values():
-            other = one if other is None else other.unionByName(one)
-        other = materialise(other.select(F.col("_pos").alias("_other")), "flips")
+    result = run.where("_last IS NULL AND _row IS NOT NULL")
+    tables = {id(found): found for found in flips.values()}
+    if tables:
+        some = [found.where(F.col("_pos").isNotNull() & F.col("_slice").isin([s for s, f in flips.items() if f is found])) for found in tables.values()]
+        other = materialise(reduce(DataFrame.unionByName, some).select(F.col("_pos").alias("_other")), "flips")
         result = result.join(other, F.col("_pos") == F.col("_other"), "left").where(F.col("_kept") != F.col("_other").isNotNull())
     else:
         result = result.where("_kept")
-    return result.select("_row.*")
+    # a slice's last group may go on in the next one
+    goes_on = set(previous.values())
+    told = [(s, closed.get(s), s in goes_on) for s in in_order]
+    told = spark.createDataFrame(told, f"_slice int, _closed {_ENDS}, _goes_on boolean")
+    final = run.where("_last IS NOT NULL").join(F.broadcast(told), "_slice").where(~(F.col("_last") & F.col("_goes_on")))
+    left_by = F.coalesce(F.when(F.col("_part") == 0, F.col("_closed")), "_ends")
+    return result.select("_row.*"), final.select("_group", left_by.alias("_ends"))

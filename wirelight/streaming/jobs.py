@@ -13,6 +13,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wirelight.operators.alerts import enrich_alerts
@@ -51,17 +52,14 @@ def in_scope(rows: DataFrame, event_type: str, groups: Sequence[ScopeGroup]) ->
 def stateful_dedup(
     rows: DataFrame, group: str, order: list[str], key: list[str], out: str, checkpoint: str, once: bool = False,
 ) -> StreamingQuery:
-    """``dedup_last8`` over a stream, the last eight kept keys of each group held in the state store.
+    """``dedup_last8`` over a stream, the last eight kept keys of each group carried from batch to batch.
 
     Kept rows are appended to ``out`` as Parquet, each once.  The rows of a group
     are put in order batch by batch, so the order of a batch's files and splits
     plays no part; a row of an earlier time in a later batch is judged then, never
-    dropped for being late.  Sequential per group; ``horizon_dedup`` spreads one
-    busy group over the cluster.
+    dropped for being late.  A busy group is spread over the cluster.
     """
-    return last_kept(rows, group, order, key).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint
-    ).trigger(**flush_trigger(once)).start()
+    return last_kept(rows, group, order, key, checkpoint, flush_trigger(once), lambda kept: kept.writeStream.format("parquet").option("path", out))
 
 
 def horizon_dedup(
@@ -121,12 +119,14 @@ def tail_to_events(
         if repeats not in ("horizon", "last8") or not fmt.stateless or event_type != "dns" or dead_letter_path is not None:
             raise ValueError(f"repeats={repeats!r} takes DNS queries of formats read line by line, without dead letters")
         rows, asked = in_scope(parse(lines, log_format, "dns", on_error="skip"), "dns", groups), ["srcIP", "qtype", "query"]
-        if repeats == "horizon":
-            rows = sessions(rows, asked, [], horizon, late)
-        else:
-            rows = last_kept(rows.withColumn("_folder", F.regexp_extract("source_file", "^(.*)/", 1)), "_folder", ["ts", "source_file"], asked)
-        text = to_entry(rows, "dns").select(entry_json("dns").alias("value"))
-        return text.writeStream.format("text").option("path", out).option(
+
+        def as_text(kept: DataFrame) -> DataStreamWriter:
+            return to_entry(kept, "dns").select(entry_json("dns").alias("value")).writeStream.format("text").option("path", out)
+
+        if repeats == "last8":
+            of_folder = rows.withColumn("_folder", F.regexp_extract("source_file", "^(.*)/", 1))
+            return last_kept(of_folder, "_folder", ["ts", "source_file"], asked, checkpoint, flush_trigger(once), as_text)
+        return as_text(sessions(rows, asked, [], horizon, late)).option(
             "checkpointLocation", checkpoint
         ).trigger(**flush_trigger(once)).start()
 

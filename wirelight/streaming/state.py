@@ -1,27 +1,34 @@
-"""Suppression of repeats as keyed state of Spark's state store.
+"""Suppression of repeats that is carried over micro-batches.
 
-A batch reads and writes the state of the keys it holds and of those whose timer
-is due, nothing else, so its cost follows the batch. For the last kept keys the
-rows of one group in one micro-batch are put in order in the task's memory; the
-source's options (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bound a micro-batch.
-The horizon takes them as they come.
+For the horizon it is keyed state of Spark's state store: a batch reads and writes
+the state of the keys it holds and of those whose timer is due, nothing else, and
+takes its rows as they come.
+
+For the last kept keys a group is one chain, and a batch may be one group's rows. A
+batch is cut into slices that run side by side (``operators/busy_groups.py``), from
+the last kept keys of all groups, a small table that each batch writes anew beside
+the checkpoint. What it keeps is written once and passed on by a stream of its own,
+so a sink has each row once, however often a batch is run.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from wirelight.operators.dedup import LOOK_BACK, keep_unlike_recent, query_key
+from wirelight.operators.busy_groups import last8_from
+from wirelight.operators.dedup import query_key
+from wirelight.session import delete_folder
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _DEFAULT = "HDFSBackedStateStoreProvider"
+_LAST = "_group string, _ends array<string>"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,31 +44,6 @@ def _place(row: Row) -> tuple:
     return tuple((x is not None, x) for x in row["_order"].values())
 
 
-def _in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=_place)
-
-
-class LastKept(StatefulProcessor):
-    """Passes rows unlike the last kept ones of their group; the state is the keys of those."""
-
-    def __init__(self, look_back: int) -> None:
-        self.look_back = look_back
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "keys array<string>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.kept.get()
-        seen = deque(before[0] if before else (), maxlen=self.look_back)
-        for row in _in_order(rows):
-            if keep_unlike_recent(seen, [row["_key"]])[0]:
-                yield Row(_row=row["_row"])
-        self.kept.update((list(seen),))
-
-    def close(self) -> None:
-        pass
-
-
 class Sessions(StatefulProcessor):
     """Passes rows that follow no equal row within the horizon, and rows that come too late, marked.
 
@@ -139,16 +121,49 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def last_kept(rows: DataFrame, group: str, order: list[str], key: list[str], look_back: int = LOOK_BACK) -> DataFrame:
-    """A stream's rows unlike (on ``key``) the last ``look_back`` kept ones of their group.
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
+def keep_batch(batch: DataFrame, batch_id: int, folder: str, group: str, order: list[str], key: list[str]) -> None:
+    """Writes a batch's rows unlike the last eight kept ones of their group, and the last keys of all groups.
+
+    A batch that is run again after it was written is left as it is.
+    """
+    spark = batch.sparkSession
+    if _there(spark, f"{folder}/done/{batch_id}"):
+        return
+    before = spark.read.schema(_LAST).parquet(f"{folder}/last/{batch_id - 1}") if batch_id else None
+    kept, last = last8_from(batch, [group], order, key, before)
+    kept.write.mode("overwrite").parquet(f"{folder}/kept/{batch_id}")
+    last.write.mode("overwrite").parquet(f"{folder}/last/{batch_id}")
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/done/{batch_id}")
+
+
+def last_kept(
+    rows: DataFrame, group: str, order: list[str], key: list[str], checkpoint: str, trigger: dict, write: Callable[[DataFrame], DataStreamWriter],
+) -> StreamingQuery:
+    """A stream's rows unlike (on ``key``) the last eight kept ones of their group, as a stream into ``write``'s sink.
 
     NULL is a group, and a key value, of its own.
     """
-    use_state_store(rows.sparkSession)
-    tagged = rows.select(
-        query_key([group]).alias("_group"), query_key(key).alias("_key"), F.struct(*order).alias("_order"), F.struct(*rows.columns).alias("_row"))
-    out = T.StructType([tagged.schema["_row"]])
-    return tagged.groupBy("_group").transformWithState(LastKept(look_back), out, "append", "None").select("_row.*")
+    spark, folder, schema = rows.sparkSession, f"{checkpoint}/kept_keys", rows.schema
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        keep_batch(batch, batch_id, folder, group, order, key)
+        # the files a sink has taken are in its own checkpoint
+        found = spark.readStream.schema(schema).parquet(f"{folder}/kept/*")
+        write(found).option("checkpointLocation", f"{folder}/sink").trigger(availableNow=True).start().awaitTermination()
+        for old in (f"kept/{batch_id - 1}", f"last/{batch_id - 2}", f"done/{batch_id - 2}"):
+            delete_folder(spark, f"{folder}/{old}")
+
+    return rows.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def sessions(rows: DataFrame, key: list[str], order: list[str], horizon: str, late: str) -> DataFrame:
