@@ -73,3 +73,42 @@ def test_events_are_shuffled_once(spark):
     plan = cidr_join_sorted(rows, "ip", table, "cidr", "tag", "tags")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
     assert sum("repeat(x" in line or "wide" in line for line in plan.split("\n") if "Join" in line) <= 1
+
+
+def _windows_columns(plan):
+    """Names of all columns that window steps of a plan read."""
+    found = []
+    if plan.nodeName() == "Window":
+        out = plan.children().head().output()
+        found += [out.apply(i).name() for i in range(out.size())]
+    for i in range(plan.children().size()):
+        found += _windows_columns(plan.children().apply(i))
+    return found
+
+
+def test_ranges_are_counted_once_and_unread_columns_stay_behind(spark, monkeypatch):
+    """Ranges of both addresses come from one pass over the events, not from the rows of the first join."""
+    from wirelight.operators import scope
+    from wirelight.plans.scope_queries import GROUPS
+    from wirelight.sources.scope_file import scope_frame
+
+    counted = []
+    real = intervals.materialise
+
+    def noted(df, name):
+        if name == "ranges":
+            counted.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(intervals, "materialise", noted)
+    ips = ["10.1.2.3", "192.168.4.4", None, "8.8.8.8", "fd00::1", "bad", "172.16.0.9"]
+    rows = [(i, ips[i % 7], ips[i % 5], f"never read {i}") for i in range(200)]
+    events = spark.createDataFrame(rows, "id int, srcIP string, destIP string, note string")
+    table = scope_frame(spark, GROUPS)
+    found = scope.scope_join(events, table, "ip", flag=True, by_order=True)
+    assert len(counted) == 1 and "Window" not in counted[0]
+    assert found.columns == [*events.columns, "keep", "reason"]
+    wanted = scope.scope_ip(events, GROUPS, flag=True)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    plan = found.select("id", "keep")._jdf.queryExecution().optimizedPlan()
+    assert not any("note" in c for c in _windows_columns(plan))

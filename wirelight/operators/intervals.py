@@ -67,16 +67,25 @@ def elementary(entries: DataFrame) -> DataFrame:
     return own.join(outer, "_next", "left").select("entry", _after(F.col("entry")).alias("end"), "facts", "outer")
 
 
-def interval_join(rows: DataFrame, key: str, entries: DataFrame, out: str) -> DataFrame:
+def range_counts(rows: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Per key column its ranges and their rows, (_range, _n), all counted in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), _range(F.col(k)).alias("range")) for k in keys])).alias("_of")
+    found = rows.select(each).where("_of.range IS NOT NULL").groupBy(F.col("_of.key").alias("_key"), F.col("_of.range").alias("_range")).agg(F.count("*").alias("_n"))
+    found = materialise(found, "ranges")
+    return {k: found.where(F.col("_key") == k).select("_range", "_n") for k in keys}
+
+
+def interval_join(rows: DataFrame, key: str, entries: DataFrame, out: str, counts: DataFrame | None = None) -> DataFrame:
     """Add struct column ``out``: the facts of all entries that cover a row's key, merged; NULL where there are none.
 
     ``entries`` is as for ``level_join``: one row (level, entry, facts) per entry,
     ``facts`` being a struct of arrays. One address, or one range, may hold most
     rows: its rows are dealt out in parts, and the points of its range go to each.
+    ``counts`` are the rows by range where they are known (``range_counts``).
     """
     parts = materialise(elementary(entries.select("entry", "facts")), "intervals")
-    here = _range(F.col(key))
-    counts = materialise(rows.where(F.col(key).isNotNull()).groupBy(here.alias("_range")).agg(F.count("*").alias("_n")), "ranges")
+    if counts is None:
+        counts = range_counts(rows, [key])[key]
     total = counts.agg(F.sum("_n")).first()[0] or 0
     part = max(LEAST_PART, total // PARTS)
     # at most PARTS rows, whatever the events
@@ -98,14 +107,14 @@ def interval_join(rows: DataFrame, key: str, entries: DataFrame, out: str) -> Da
     points = points.join(counts, "_range", "left_semi").unionByName(first.select("_range", F.lit("").alias("_at"), "_point"))
     points = dealt(points).select("_range", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_at", "_point")
 
-    number = F.monotonically_increasing_id()
-    # rows without a key look nothing up and only need spreading
+    # rows without a key look nothing up and only need spreading; columns nobody reads are not shuffled
     spread = F.concat(F.lit("~"), F.pmod(F.col("_number"), F.lit(_SPREAD)).cast("string"))
-    events = rows.select(F.struct(*rows.columns).alias("_row"), F.col(key).alias("_at")).withColumn("_number", number)
-    events = events.withColumn("_range", F.coalesce(_range(F.col("_at")), spread))
-    events = dealt(events).select("_range", F.pmod(F.col("_number"), F.col("_parts")).cast("int").alias("_part"), F.coalesce("_at", F.lit("")).alias("_at"), "_row")
-    both = points.unionByName(events, allowMissingColumns=True)
+    place = F.col(key)
+    events = rows.withColumns({"_number": F.monotonically_increasing_id(), "_event": F.lit(True)})
+    events = dealt(events.withColumn("_range", F.coalesce(_range(place), spread)))
+    events = events.withColumns({"_part": F.pmod(F.col("_number"), F.col("_parts")).cast("int"), "_at": F.coalesce(place, F.lit(""))}).drop("_number", "_parts")
+    both = events.unionByName(points, allowMissingColumns=True)
     # a point comes before the rows of its own address
-    so_far = Window.partitionBy("_range", "_part").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    told = both.withColumn("_last", F.last("_point", ignorenulls=True).over(so_far)).where(F.col("_row").isNotNull())
-    return told.select("_row.*", F.col("_last._found").alias(out))
+    so_far = Window.partitionBy("_range", "_part").orderBy("_at", F.col("_event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("_last", F.last("_point", ignorenulls=True).over(so_far)).where("_event")
+    return told.select(*rows.columns, F.col("_last._found").alias(out))

@@ -23,7 +23,7 @@ from wirelight.functions.ip import in_prefixes, with_ip_keys
 from wirelight.functions.names import trusted_by, url_host, valid_pattern
 from wirelight.operators.domains import domain_entries, domain_hits, domain_table, name_tail
 from wirelight.operators.lookup import broadcast_levels, level_join, lookup_join
-from wirelight.operators.intervals import interval_join
+from wirelight.operators.intervals import interval_join, range_counts
 from wirelight.operators.networks import key_prefix, keyed_events, network_entries
 from wirelight.sources.scope_file import ScopeGroup, scope_domains, scope_networks
 
@@ -189,7 +189,7 @@ def scope_join(
     def with_groups(rows: DataFrame, key: str, roles: Sequence[str], out: str) -> DataFrame:
         if levels is not None:
             return level_join(rows, _role_lists(entries, roles), levels[sides.index(roles)], key_prefix(key), out)
-        return interval_join(rows, key, _role_lists(entries, roles), out)
+        return interval_join(rows, key, _role_lists(entries, roles), out, counts[key])
 
     by_dest = event_type in ("ip", "tls") or (event_type == "dns" and use_dest)
     keyed = keyed_events(events, "_src", "_dst" if by_dest else None)
@@ -197,6 +197,8 @@ def scope_join(
         keyed = keyed.withColumn("_name", F.lower("query"))
     elif event_type == "http":
         keyed = keyed.withColumn("_name", url_host("url"))
+    if levels is None:
+        counts = range_counts(keyed, ["_src", "_dst"] if by_dest else ["_src"])
     joined = with_groups(keyed, "_src", _SRC_ROLES, "_src_groups")
     none = F.array().cast("array<string>")
     anywhere, bound = F.coalesce("_src_groups.src_in", none), F.coalesce("_src_groups.src_dst", none)
