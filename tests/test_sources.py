@@ -384,3 +384,24 @@ def test_pages_to_the_end_with_equal_times(spark):
         wanted = Search("dns", fields=paths, where="true", page_size=size)
         found = [[r.id for r in p.collect()] for p in pages(docs, wanted, F.lit("1969-01-01").cast("timestamp"))]
         assert [len(p) for p in found] == sizes and sum(found, []) == [r[0] for r in rows]
+
+
+def test_hellos_cut_anywhere_are_read_side_by_side(spark):
+    """Whole, cut and odd hellos in one column: each gives its own fields or none, and none is read one by one in Python."""
+    import pyarrow as pa
+
+    from wirelight.functions import ja3
+
+    whole = _hello()
+    none = dict.fromkeys(["version", "ciphers", "extensions", "curves", "formats"])
+    read = {"version": 771, "ciphers": [0x0A0A, 60, 47], "extensions": [0x2A2A, 10, 11], "curves": [23, 0x1A1A, 24], "formats": [0]}
+    bare = {"version": 771, "ciphers": [0x0A0A, 60, 47], "extensions": [], "curves": [], "formats": []}
+    payloads = [whole, None, b"", whole + b"more", _hello(exts=False), *[whole[:n] for n in range(1, len(whole))], b"\x17" + whole[1:]]
+    wanted = [read, none, none, read, bare, *[none] * (len(whole) - 1), none]
+    assert ja3._hellos(pa.array(payloads, pa.binary())).to_pylist() == wanted
+    # a part of a column, which begins in the midst of its bytes
+    assert ja3._hellos(pa.array(payloads, pa.binary())[3:6]).to_pylist() == wanted[3:6]
+    # the text is made once, not for a filter as well
+    files = spark.createDataFrame([("f", bytearray(_pcap([_ipv4(6, _tcp(whole))])))], "path string, content binary")
+    plan = frames_ja3(split_captures(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 4
