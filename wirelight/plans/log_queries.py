@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelight.functions.columns import derive_once
 from wirelight.functions.ip import with_ip_keys
 from wirelight.functions.ja3 import frames_ja3
 from wirelight.operators.projections import with_direction, with_sensor_direction
@@ -15,7 +16,7 @@ from wirelight.sources import registry
 from wirelight.session import work_dir
 from wirelight.sources.lines import number_lines, read_landed_lines, split_errors
 from wirelight.sources.capture_ranges import pcap_frames
-from wirelight.sources.pcap import split_captures
+from wirelight.sources.pcap import joined_records, split_captures
 from wirelight.sources.zeek import header_fill, zeek_scan
 
 
@@ -221,20 +222,20 @@ def _captures(rows: DataFrame, key: str, seq: str, body: Column, proto: int) ->
     Two IPv4 addresses travel in IPv4, all others in IPv6; what is no address has no frame.
     """
     rows = with_ip_keys(rows, {"_src": "srcIP", "_dst": "destIP"}).where("_src IS NOT NULL AND _dst IS NOT NULL")
-    rows = rows.withColumn("_body", body).withColumn("_len", (F.length("_body") / 2).cast("int"))
+    # in steps that are compiled: an aggregate's own input is not, and it would work out each use of the body anew
+    rows = derive_once(rows, {"_body": body})
+    rows = derive_once(rows, {"_len": (F.length("_body") / 2).cast("int"), "_four": F.col("_src").startswith("4") & F.col("_dst").startswith("4")})
     mac = F.concat(F.lit("0200000000"), _hex(F.pmod(F.col("srcPort"), F.lit(4)), 2))
-    four = F.col("_src").startswith("4") & F.col("_dst").startswith("4")
     v4 = F.concat(F.lit("08004500"), _hex(F.col("_len") + 20, 4), F.lit("0001000040"), _hex(proto, 2), F.lit("0000"), _narrow("_src"), _narrow("_dst"))
     v6 = F.concat(F.lit("86DD60000000"), _hex(F.col("_len"), 4), _hex(proto, 2), F.lit("40"), _wide("_src"), _wide("_dst"))
-    frame = F.concat(F.lit("020000000099"), mac, F.when(four, v4).otherwise(v6), F.col("_body"))
+    frame = F.concat(F.lit("020000000099"), mac, F.when(F.col("_four"), v4).otherwise(v6), F.col("_body"))
     us = F.unix_micros("ts")
-    size = _le32(F.col("_len") + F.when(four, 34).otherwise(54))
-    record = F.concat(_le32((us / 1000000).cast("bigint")), _le32(F.pmod(us, F.lit(1000000))), size, size, frame)
-    head = "d4c3b2a1" + "02000400" + "00000000" * 2 + "ffff0000" + "01000000"
-    # a key holds a handful of frames
-    return rows.groupBy(F.col(key).cast("string").alias("path")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("n"), record.alias("r")))).alias("f")
-    ).select("path", F.unhex(F.concat(F.lit(head), F.array_join(F.col("f.r"), ""))).alias("content"))
+    rows = derive_once(rows, {
+        "_time": F.concat(_le32((us / 1000000).cast("bigint")), _le32(F.pmod(us, F.lit(1000000)))),
+        "_size": _le32(F.col("_len") + F.when(F.col("_four"), 34).otherwise(54)), "_frame": frame})
+    records = derive_once(rows, {"_r": F.unhex(F.concat("_time", "_size", "_size", "_frame"))}).select(key, seq, "_r")
+    ordered = records.repartition(key).sortWithinPartitions(key, seq, "_r")
+    return ordered.select(F.col(key).cast("string"), "_r").mapInArrow(joined_records, "path string, content binary")
 
 
 _FRAMED = f"{view_sql('conn')} WHERE {valid_ip('\"srcIP\"')} AND {valid_ip('\"destIP\"')}"
@@ -264,7 +265,7 @@ def capture_files(spark: SparkSession, sf: str) -> DataFrame:
     files = _captures(rows, "capture", "conn_id", _udp_body(), 17).select(F.col("path").alias("capture"), F.col("content").cast("string").alias("value"))
     files.write.partitionBy("capture").text(out)
     found = pcap_frames(spark, out)
-    return found.groupBy(F.regexp_extract("source_file", "/capture=([^/]+)/", 1).alias("capture")).agg(
+    return found.groupBy(F.substring_index(F.substring_index("source_file", "/capture=", -1), "/", 1).alias("capture")).agg(
         F.countDistinct("frame_no").alias("frames"), F.max("frame_no").alias("last_no"), F.sum(F.unix_seconds("ts")).alias("seconds"), F.sum("captured").alias("bytes"))
 
 

@@ -15,10 +15,13 @@ next byte 10, whatever they mean.
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,9 +35,15 @@ CHAIN = 5  # headers that must follow one another
 OVER_END = 3  # headers that suffice if the chain leaves the split
 YEAR = 366 * 86_400
 PIECE = 1 << 20
-
-HEAD, FRAME, TAIL = 0, 1, 2
-_TABLE = "source_file string, block bigint, seq bigint, kind int, order string, seconds bigint, fraction bigint, original bigint, body binary"
+MOST_AT_ONCE = 1 << 26  # bytes of whole frames that become one batch
+
+HEAD, FRAME, TAIL, SPLIT = 0, 1, 2, 3
+# A frame's bytes are its ``body``, those of a head or tail its ``rest``: what reads the few ends doesn't read all frames.
+# A split's last row counts its rows: heads as ``original``, frames as ``fraction``, with the first one's seq as ``seconds``;
+# its order is NULL where nothing but heads was found.
+_TABLE = "source_file string, block bigint, seq bigint, kind int, order string, seconds bigint, fraction bigint, original bigint, captured int, body binary, rest binary"
+_NAMES = [c.split(" ")[0] for c in _TABLE.split(", ")]
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 _FOUND = "source_file string, block bigint, seq bigint, seconds bigint, fraction bigint, linktype int, body binary, error string"
 
 
@@ -80,28 +89,80 @@ def resync(data: bytes | bytearray, ends_here: bool = True) -> tuple[int, str] |
     return found[0] if found else None
 
 
-class _Split:
-    """Takes one split's bytes in order; gives rows (seq, kind, order, seconds, fraction, original, bytes)."""
-
-    def __init__(self, first: bool) -> None:
-        self.first, self.order, self.buffer, self.at, self.seq = first, None, bytearray(), 0, 0
-        self.raw = False
+def _chain(data: bytearray, order: str) -> tuple[list[int], int]:
+    """Where whole frames begin, one behind the other, and where the last one ends."""
+    size = struct.Struct(order + "I").unpack_from
+    starts, at, last = [], 0, len(data) - 16
+    while at <= last and at < MOST_AT_ONCE:
+        after = at + 16 + size(data, at + 8)[0]
+        if after > len(data):
+            break
+        starts.append(at)
+        at = after
+    return starts, at
 
-    def _row(self, kind: int, body: bytes, header: tuple = (None, None, None)) -> tuple:
-        self.seq += 1
-        return self.seq - 1, kind, self.order, *header, bytes(body)
 
-    def feed(self, data: bytes) -> Iterator[tuple]:
+class _Split:
+    """Takes one split's bytes in order; gives its rows as Arrow batches."""
+
+    def __init__(self, file: str, block: int) -> None:
+        self.file, self.block, self.first = file, block, block == 0
+        self.order, self.buffer, self.seq, self.fed = None, bytearray(), 0, False
+        self.raw, self.made = False, Counter()
+
+    def _batch(self, kind: int, columns: list[pa.Array | None], n: int) -> pa.RecordBatch:
+        """``n`` rows of a kind; ``columns`` are those behind the order, None for NULLs."""
+        seq = pa.array(np.arange(self.seq, self.seq + n))
+        self.seq += n
+        self.made[kind] += n
+        known = [pa.repeat(pa.scalar(v, k), n) for v, k in ((self.file, pa.string()), (self.block, pa.int64()))]
+        told = [pa.repeat(pa.scalar(v, k), n) for v, k in ((kind, pa.int32()), (self.order, pa.string()))]
+        rest = [pa.nulls(n, k) if c is None else c for c, k in zip(columns, _KINDS[5:], strict=True)]
+        return pa.RecordBatch.from_arrays([*known, seq, *told, *rest], names=_NAMES)
+
+    def _end(self, kind: int, data: bytearray) -> pa.RecordBatch:
+        return self._batch(kind, [None] * 5 + [pa.array([bytes(data)], pa.binary())], 1)
+
+    def _frames(self, starts: list[int], end: int) -> pa.RecordBatch:
+        raw = np.frombuffer(bytes(self.buffer[:end]), dtype=np.uint8)
+        at = np.array(starts, dtype=np.int64)[:, None] + np.arange(16)
+        seconds, fraction, size, original = raw[at].view(self.order + "u4").astype(np.int64).T
+        inside = np.ones(end, dtype=bool)
+        inside[at] = False
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        body = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+        return self._batch(FRAME, [pa.array(seconds), pa.array(fraction), pa.array(original), pa.array(size.astype(np.int32)), body, None], len(starts))
+
+    def feed(self, data: bytes) -> Iterator[pa.RecordBatch]:
         self.buffer += data
         if len(self.buffer) >= PIECE:
             yield from self._read(False)
 
-    def end(self) -> Iterator[tuple]:
+    def lines(self, values: pa.Array) -> Iterator[pa.RecordBatch]:
+        """The next lines; a byte 10 is between two of them."""
+        if self.fed:
+            self.buffer += b"\n"
+        self.fed = True
+        yield from self.feed(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), b"\n")[0].as_py())
+
+    def end(self, last: bool) -> Iterator[pa.RecordBatch]:
+        # the byte 10 behind the last line of a file may not be there
+        if not last:
+            self.buffer += b"\n"
         yield from self._read(True)
         if self.buffer:
-            yield self._row(TAIL if self.order else HEAD, self.buffer)
-
-    def _read(self, ended: bool) -> Iterator[tuple]:
+            yield self._end(TAIL if self.order else HEAD, self.buffer)
+        yield self._count()
+
+    def _count(self) -> pa.RecordBatch:
+        heads, frames = self.made[HEAD], self.made[FRAME]
+        if not frames + self.made[TAIL]:
+            self.order = None
+        # heads come before the frames
+        numbers = [pa.array([n], pa.int64()) for n in (heads, frames, heads)]
+        return self._batch(SPLIT, [*numbers, None, None, pa.array([b""], pa.binary())], 1)
+
+    def _read(self, ended: bool) -> Iterator[pa.RecordBatch]:
         if self.order is None and not self.raw:
             if self.first:
                 known = _MAGIC.get(bytes(self.buffer[:4]))
@@ -113,60 +174,53 @@ class _Split:
                 start, self_order = place or (0, None)
             if not self.raw:
                 if start:
-                    yield self._row(HEAD, self.buffer[:start])
+                    yield self._end(HEAD, self.buffer[:start])
                 del self.buffer[:start]
                 self.order = self_order
         if self.raw:
             # nothing is known of these bytes: all are handed on
             for lo in range(0, len(self.buffer), PIECE):
-                yield self._row(HEAD, self.buffer[lo : lo + PIECE])
+                yield self._end(HEAD, self.buffer[lo : lo + PIECE])
             self.buffer.clear()
             return
-        at = 0
-        while at + 16 <= len(self.buffer):
-            seconds, fraction, size, original = struct.unpack_from(self.order + "4I", self.buffer, at)
-            if at + 16 + size > len(self.buffer):
-                break
-            yield self._row(FRAME, self.buffer[at + 16 : at + 16 + size], (seconds, fraction, original))
-            at += 16 + size
-        del self.buffer[:at]
+        while (found := _chain(self.buffer, self.order))[0]:
+            yield self._frames(*found)
+            del self.buffer[: found[1]]
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of one file and block, as (from, to)."""
+    n = batch.num_rows
+    new = [pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+    yield from pairwise([0, *(np.flatnonzero(new[0] | new[1]) + 1).tolist(), n])
 
 
 def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (source_file, block, last, value) as the text source gives them."""
-    key, split, held = None, None, None
-    rows: list[tuple] = []
-    size = 0
-    names = [c.split(" ")[0] for c in _TABLE.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    split, last = None, False
+    made: list[pa.RecordBatch] = []
 
-    def close() -> Iterator[tuple]:
-        # the byte 10 behind the last line of a file may not be there
-        if held is not None:
-            yield from split.feed(held[0] if held[1] else held[0] + b"\n")
-        yield from split.end()
+    def whole() -> Iterator[pa.RecordBatch]:
+        nonlocal made
+        if made:
+            yield pa.concat_batches(made)
+        made = []
 
     for batch in batches:
-        for file, block, last, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (file, block) != key:
+        if not batch.num_rows:
+            continue
+        for lo, hi in _runs(batch):
+            file, block = batch.column(0)[lo].as_py(), batch.column(1)[lo].as_py()
+            if split is None or (file, block) != (split.file, split.block):
                 if split is not None:
-                    rows += [(*key, *r) for r in close()]
-                key, split, held = (file, block), _Split(block == 0), None
-            if held is not None:
-                for r in split.feed(held[0] + b"\n"):
-                    rows.append((*key, *r))
-                    size += len(r[-1])
-            held = (value, last)
-            if size >= 4 * PIECE or len(rows) >= 10_000:
-                yield made()
-                rows, size = [], 0
+                    made += split.end(last)
+                split, last = _Split(file, block), batch.column(2)[lo].as_py()
+            made += split.lines(batch.column(3).slice(lo, hi - lo))
+            if sum(m.num_rows for m in made) >= 10_000 or sum(m.nbytes for m in made) >= 4 * PIECE:
+                yield from whole()
     if split is not None:
-        rows += [(*key, *r) for r in close()]
-    if rows:
-        yield made()
+        made += split.end(last)
+    yield from whole()
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -331,14 +385,17 @@ def capture_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
         (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("last"),
         F.col("value").cast("binary").alias("value"))
     table = materialise(lines.mapInArrow(_splits, _TABLE), "captures")
-    synced = table.where(F.col("kind") != HEAD).select("source_file", "block").distinct().withColumn("synced", F.lit(True))
-    ends = table.where(F.col("kind") != FRAME).join(synced, ["source_file", "block"], "left").select(
-        "source_file", "block", "seq", "kind", "order", "body", F.coalesce("synced", (F.col("block") == 0) & (F.length("body") == 24)).alias("synced"))
+    kind = F.col("kind")
+    few = materialise(table.where("rest IS NOT NULL").drop("captured", "body"), "ends")
+    splits = few.where(kind == SPLIT).select("source_file", "block", F.col("order").isNotNull().alias("synced"), F.col("order").alias("_order"),
+                                             (F.col("original") > 0).alias("_headed"), F.col("seconds").alias("_first"), F.col("fraction").alias("_n"))
+    ends = few.where(kind != SPLIT).drop("order").join(splits, ["source_file", "block"]).select(
+        "source_file", "block", "seq", "kind", F.col("_order").alias("order"), F.col("rest").alias("body"),
+        (F.col("synced") | ((F.col("block") == 0) & (F.length("rest") == 24))).alias("synced"))
     # a synchronised split without a head begins with a frame: an empty head stands for it
-    bare = synced.join(table.where(F.col("kind") == HEAD).select("source_file", "block").distinct(), ["source_file", "block"], "left_anti").select(
-        "source_file", "block", F.lit(-1).cast("bigint").alias("seq"), F.lit(HEAD).alias("kind"), F.lit(None).cast("string").alias("order"), F.lit(b"").alias("body"), "synced")
-    orders = table.where(F.col("kind") != HEAD).groupBy("source_file", "block").agg(F.first("order").alias("_order"))
-    heads = ends.unionByName(bare).join(orders, ["source_file", "block"], "left").select("source_file", "block", "seq", "kind", F.col("_order").alias("order"), "body", "synced")
+    bare = splits.where("synced AND NOT _headed").select(
+        "source_file", "block", F.lit(-1).cast("bigint").alias("seq"), F.lit(HEAD).alias("kind"), F.col("_order").alias("order"), F.lit(b"").alias("body"), "synced")
+    heads = ends.unionByName(bare)
     # the frames of one split end are all one task needs of it: bytes of about a frame
     joints = materialise(heads.repartition("source_file").sortWithinPartitions("source_file", "block", "seq").mapInArrow(_joints, _FOUND), "joints")
     slow = joints.where("error = 'order'").select("source_file").distinct()
@@ -348,22 +405,25 @@ def capture_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return F.broadcast(df) if fits_broadcast(df) else df
 
     slow_side, facts = small(slow), small(facts)
-    apart = table.where(F.col("kind") == FRAME).select("source_file", "block", "seq", "seconds", "fraction", F.col("body"), F.lit(None).cast("string").alias("error"))
-    across = joints.where("block >= 0 AND (error IS NULL OR error <> 'order')").select("source_file", "block", "seq", "seconds", "fraction", "body", "error")
-    quick = apart.unionByName(across).join(slow_side, "source_file", "left_anti").join(facts, "source_file")
+    across = joints.where("block >= 0 AND (error IS NULL OR error <> 'order')")
     # a split's frames are numbered without gaps, its last ones from 2**40 on
-    counts = materialise(quick.groupBy("source_file", "block", (F.col("seq") >= 1 << 40).alias("_end")).agg(F.min("seq").alias("_first"), F.count("*").alias("_n")), "counts")
+    inner = splits.where("_n > 0").select("source_file", "block", F.lit(False).alias("_end"), "_first", "_n")
+    outer = across.groupBy("source_file", "block").agg(F.lit(True).alias("_end"), F.min("seq").alias("_first"), F.count("*").alias("_n"))
+    counts = inner.unionByName(outer).join(slow_side, "source_file", "left_anti").join(facts, "source_file")
     before = Window.partitionBy("source_file").orderBy("block", "_end").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_file", "block", "_end", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
-    numbered = quick.withColumn("_end", F.col("seq") >= 1 << 40).join(small(materialise(offsets, "offsets")), ["source_file", "block", "_end"])
+    offsets = counts.select("source_file", "block", "_end", "units", "linktype", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    quick = table.where(kind == FRAME).select("source_file", "block", F.lit(False).alias("_end"), "seq", "seconds", "fraction", "captured", "body", F.lit(None).cast("string").alias("error"))
+    quick = quick.unionByName(across.select("source_file", "block", F.lit(True).alias("_end"), "seq", "seconds", "fraction", F.length("body").alias("captured"), "body", "error"))
+    numbered = quick.join(small(materialise(offsets, "offsets")), ["source_file", "block", "_end"])
     micros = F.col("seconds") * 1_000_000 + F.floor(F.col("fraction") / F.col("units")).cast("bigint")
     by_split = numbered.select("source_file", (F.col("seq") + F.col("_offset")).alias("frame_no"), micros.alias("micros"),
-                               F.when(F.col("error").isNull(), F.col("linktype")).alias("linktype"), "body", "error")
-    all_of = table.join(slow_side, "source_file", "left_semi").repartition("source_file").sortWithinPartitions("source_file", "block", "seq")
-    one_by_one = all_of.select("source_file", "order", "kind", "seconds", "fraction", "original", "body").mapInArrow(_in_order, _FOUND)
-    in_order = one_by_one.select("source_file", F.col("seq").alias("frame_no"), F.col("seconds").alias("micros"), "linktype", "body", "error")
+                               F.when(F.col("error").isNull(), F.col("linktype")).alias("linktype"), "captured", "body", "error")
+    all_of = table.where(kind != SPLIT).join(slow_side, "source_file", "left_semi").repartition("source_file").sortWithinPartitions("source_file", "block", "seq")
+    one_by_one = all_of.select(
+        "source_file", "order", "kind", "seconds", "fraction", "original", F.coalesce("rest", "body").alias("body")).mapInArrow(_in_order, _FOUND)
+    in_order = one_by_one.select("source_file", F.col("seq").alias("frame_no"), F.col("seconds").alias("micros"), "linktype", F.length("body").alias("captured"), "body", "error")
     return by_split.unionByName(in_order).select(
-        "source_file", "frame_no", "micros", "linktype", F.length("body").alias("captured"), F.col("body").alias("payload"), F.col("error").alias("_error"))
+        "source_file", "frame_no", "micros", "linktype", "captured", F.col("body").alias("payload"), F.col("error").alias("_error"))
 
 
 def pcap_frames(spark: SparkSession, path: str | list[str], on_error: str = "fail") -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,9 @@ _MAGIC = {
 }
 
 
+# Header of a classic file: little-endian, microseconds, Ethernet.
+_CLASSIC_HEAD = bytes.fromhex("d4c3b2a1" + "02000400" + "00000000" * 2 + "ffff0000" + "01000000")
+
 # Block types of the next-generation capture format.
 _SECTION, _INTERFACE, _OLD_PACKET, _SIMPLE, _PACKET = 0x0A0D0D0A, 1, 2, 3, 6
 
@@ -179,6 +184,33 @@ def split_captures(files: DataFrame, on_error: str = "fail") -> DataFrame:
     return frame_rows(raw, on_error)
 
 
+def joined_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (path, bytes), a path's one after another -> a classic capture file (path, content) per path.
+
+    Bytes that are NULL are no frame.
+    """
+    path, parts = None, None
+    for batch in batches:
+        done: list[tuple] = []
+        paths, records = batch.columns
+        starts = [0, *(np.flatnonzero(np.diff(paths.dictionary_encode("encode").indices.to_numpy())) + 1).tolist()] if batch.num_rows else []
+        pieces = pa.ListArray.from_arrays(pa.array([*starts, batch.num_rows], pa.int32()), records.fill_null(b""))
+        for name, piece in zip(paths.take(pa.array(starts, pa.int64())).to_pylist(), pc.binary_join(pieces, b"").to_pylist(), strict=True):
+            if parts is None or name != path:
+                if parts is not None:
+                    done.append((path, b"".join(parts)))
+                path, parts = name, [_CLASSIC_HEAD]
+            parts.append(piece)
+        if done:
+            yield _contents(done)
+    if parts is not None:
+        yield _contents([(path, b"".join(parts))])
+
+
+def _contents(files: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*files, strict=True), (pa.string(), pa.binary()), strict=True)], names=["path", "content"])
+
+
 def frame_rows(raw: DataFrame, on_error: str) -> DataFrame:
     """Frames with their times, and malformed rows as ``split_captures`` says."""
     rows = raw.select(*[
