@@ -47,6 +47,15 @@ def derive_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select(*kept, record.alias("_once")).select(*kept, F.inline(F.array("_once")))
 
 
+def derive(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """The same columns as a plain projection, a copy of each row less.
+
+    For steps that no filter is pushed below, such as those that feed a generator.
+    """
+    kept = [name for name in df.columns if name not in columns]
+    return df.select(*kept, *[expr.alias(name) for name, expr in columns.items()])
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Work out all columns here, once, whatever is filtered or derived later."""
     return derive_once(df, {name: F.col(name) for name in df.columns})

@@ -9,7 +9,7 @@ IPv4-mapped IPv6 address has an IPv4 key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,23 +80,25 @@ def ip_key(ip: ColumnOrName) -> Column:
 
 
 def with_ip_keys(
-    df: DataFrame, keys: Mapping[str, ColumnOrName], canonical: Mapping[str, str] | None = None
+    df: DataFrame, keys: Mapping[str, ColumnOrName], canonical: Mapping[str, str] | None = None,
+    step: Callable[[DataFrame, Mapping[str, Column]], DataFrame] = derive_once,
 ) -> DataFrame:
     """Add address keys (``{new column: address text}``), each worked out once per row.
 
     ``canonical`` names, per key, a column that gets the address's canonical text.
     The steps are separate operators so that generated methods stay small enough
-    for the JIT; rows without IPv6 text skip all but the first.
+    for the JIT; rows without IPv6 text skip all but the first.  ``step`` may be
+    ``derive`` where nothing filters the rows further on.
     """
     columns = df.columns
     texts = {key: as_column(ip) for key, ip in keys.items()}
     tails = {f"_v4_{k}": _v4_key(F.substring_index(t, ":", -1)) for k, t in texts.items()}
-    df = derive_once(df, {**{f"_ip_{k}": t for k, t in texts.items()}, **tails})
+    df = step(df, {**{f"_ip_{k}": t for k, t in texts.items()}, **tails})
     texts = {key: F.col(f"_ip_{key}") for key in keys}
-    df = derive_once(df, {
+    df = step(df, {
         f"_v6_{k}": F.when(_is_v6(t), _v6_padded(t, F.col(f"_v4_{k}"))) for k, t in texts.items()
     })
-    df = derive_once(df, {
+    df = step(df, {
         k: F.when(_is_v6(t), _v6_key(F.col(f"_v6_{k}"))).otherwise(F.col(f"_v4_{k}"))
         for k, t in texts.items()
     })

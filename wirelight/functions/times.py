@@ -10,6 +10,9 @@ from wirelight.functions.columns import ColumnOrName, as_column
 _RFC3339 = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:\d\d)\z"
 _EVE = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:[.,]\d+)?[+-]\d{4}\z"
 
+# microseconds of 0001-01-03 and 9999-12-30, so that a time zone makes no difference
+_FOUR_DIGITS = (-62135424000000000, 253402128000000000)
+
 
 def zeek_epoch(text: ColumnOrName, fraction: str = "decimal") -> Column:
     """``seconds.fraction`` -> timestamp; NULL unless there is exactly one dot.
@@ -83,5 +86,9 @@ def clamp_cursor(cursor: ColumnOrName, now: Column, max_age: str = "24 HOURS") -
 
 def wire_time(ts: ColumnOrName) -> Column:
     """RFC 3339 text in UTC without trailing zeros in the fraction."""
-    text = F.date_format(as_column(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
+    ts = as_column(ts).cast("timestamp")
+    text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    pattern = F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
+    # as text a time has no such zeros either; years of other than four digits are spelled otherwise
+    plain = F.concat(F.translate(ts.cast("string"), " ", "T"), F.lit("Z"))
+    return F.when(F.unix_micros(ts).between(*_FOUR_DIGITS), plain).otherwise(pattern)

@@ -342,9 +342,9 @@ def all_types_written(spark: SparkSession, sf: str) -> DataFrame:
     lines = read_landed_lines(spark, _zeek_files(_zeek_conn_lines(spark, sf)))
     kinds = ["dns", "http", "ip"]
     registry.write_all_types(registry.read_all_types(lines, "bro", kinds), out, kinds)
-    read = spark.read.text(out).select("event_type", F.from_json("value", "srcIP string, bytesOut bigint").alias("e"))
-    return read.groupBy("event_type", F.nullif("e.srcIP", F.lit("")).alias("srcIP")).agg(
-        F.count("*").alias("entries"), F.sum(F.coalesce("e.bytesOut", F.lit(0))).alias("bytes"))
+    read = spark.read.schema("srcIP string, bytesOut bigint, event_type string").json(out)
+    return read.groupBy("event_type", F.nullif("srcIP", F.lit("")).alias("srcIP")).agg(
+        F.count("*").alias("entries"), F.sum(F.coalesce("bytesOut", F.lit(0))).alias("bytes"))
 
 
 @query("a06_events_found", f"SELECT 'ip' AS event_type, sensor AS source_file, count(*) AS found FROM {view_sql('conn')} GROUP BY sensor")

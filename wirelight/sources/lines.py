@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirelight.functions.columns import settle
+from wirelight.functions.columns import any_of, derive, settle
 from wirelight.functions.ip import with_ip_keys
 from wirelight.functions.values import trim_space
 from wirelight.operators.lookup import fits_broadcast, materialise
@@ -123,20 +123,37 @@ def all_types(rows: DataFrame, shapes: Mapping[str, Shape], raw: Column, on_erro
 
     Each parsed row becomes an array of its events, which is taken apart once; what
     an event's type does not have is NULL.  A row that is malformed in two types
-    counts in both.
+    counts in both.  An address that several types share is worked out once a row,
+    before the row becomes several.
     """
-    texts = {name: f"_{name}" for name in dict.fromkeys(n for s in shapes.values() for n in s.ips)}
-    exprs = {kind: {**s.columns, **{texts[n]: c for n, c in s.ips.items()}, "_problem": s.problem} for kind, s in shapes.items()}
+    # types share an address where their shapes hold the same column object
+    ids = {id(c): f"_address_{i}" for i, c in enumerate({id(c): c for s in shapes.values() for c in s.ips.values()}.values())}
+    texts = {ids[id(c)]: c for s in shapes.values() for c in s.ips.values()}
+    keeps = [s.keep for s in shapes.values()]
+    if all(keep is not None for keep in keeps):  # a row without events has no address to work out
+        texts = {name: F.when(any_of(keeps), c) for name, c in texts.items()}
+    rows = with_ip_keys(rows, {f"{name}_key": c for name, c in texts.items()}, {f"{name}_key": f"{name}_text" for name in texts}, derive)
+    exprs = {}
+    for kind, s in shapes.items():
+        keys = {name.removesuffix("IP") + "Key": F.col(f"{ids[id(c)]}_key") for name, c in s.ips.items()}
+        shown = {name: F.col(f"{ids[id(c)]}_text") for name, c in s.ips.items()}
+        exprs[kind] = {**s.columns, "_problem": s.problem, **keys, **shown}
     types = {name: kind for found in exprs.values() for name, kind in rows.select(*[c.alias(n) for n, c in found.items()]).dtypes}
+    last = [n for s in shapes.values() for name in s.ips for n in (name.removesuffix("IP") + "Key", name)]
+    last = sorted(dict.fromkeys(last), key=lambda n: not n.endswith("Key"))
 
     def event(kind: str) -> Column:
         fields = [exprs[kind].get(name, F.lit(None)).cast(of).alias(name) for name, of in types.items()]
         record, keep = F.struct(F.lit(kind).alias("event_type"), *fields), shapes[kind].keep
         return record if keep is None else F.when(keep, record)
 
-    events = F.array_compact(F.array(*[event(kind) for kind in shapes]))
-    picked = rows.select("source_file", raw.alias(RAW), events.alias("_events")).select("source_file", RAW, F.inline("_events"))
-    return finish(picked, texts, F.col("_problem"), on_error).drop("_problem")
+    # the events are columns first: an array made below the generator would be worked out again by the filter Spark puts there
+    kept = ["source_file"] if on_error in ("fail", "skip") else ["source_file", RAW]
+    events = {f"_event_{i}": event(kind) for i, kind in enumerate(shapes)}
+    picked = rows.select("source_file", raw.alias(RAW), *[e.alias(n) for n, e in events.items()]).select(*kept, F.inline(F.array(*events)))
+    found = picked.where(F.col("event_type").isNotNull()).withColumn(ERROR, F.col("_problem"))
+    middle = [n for n in types if n not in last and n != "_problem"]
+    return route(found.select(*kept, "event_type", *middle, *last, ERROR), on_error)
 
 
 def route(rows: DataFrame, on_error: str) -> DataFrame:

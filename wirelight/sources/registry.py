@@ -93,7 +93,14 @@ def of_type(tagged: DataFrame, event_type: str) -> DataFrame:
 def write_all_types(tagged: DataFrame, path: str, types: list[str], mode: str = "append") -> None:
     """Entries of all types as JSON lines, a folder per type, in one job."""
     lines = [F.when(F.col("event_type") == kind, entry_json(kind, entry_columns(kind, tagged.columns))) for kind in types]
-    tagged.select("event_type", F.coalesce(*lines).alias("value")).write.mode(mode).partitionBy("event_type").text(path)
+    conf, name = tagged.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    # a task keeps a file open per type; Spark would sort all its events by type otherwise
+    conf.set(name, str(len(types)))
+    try:
+        tagged.select("event_type", F.coalesce(*lines).alias("value")).write.mode(mode).partitionBy("event_type").text(path)
+    finally:
+        conf.set(name, before)
 
 
 def to_entry(rows: DataFrame, event_type: str) -> DataFrame:

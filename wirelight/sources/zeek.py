@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wirelight.functions import values as v
-from wirelight.functions.columns import derive_once
+from wirelight.functions.columns import derive, derive_once
 from wirelight.functions.times import zeek_epoch
 from wirelight.operators.lookup import fits_broadcast, lookup_join, materialise
 from wirelight.sources.lines import RAW, Shape, all_types, finish, first_error, one_type
@@ -79,8 +79,9 @@ def _headers_by_file(lines: DataFrame, names: list[str]) -> DataFrame:
         F.struct("block_start", "line_no").alias("at"),
         F.when(F.col("sep").rlike(r"\A[\t ,;:]\z"), F.col("sep"))
         .otherwise(F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))).alias("pattern"),
-        "empty", "unset", "fields", F.size("fields").alias("width"),
-        F.struct(*index).alias("ix") if index else F.lit(None).alias("ix"),
+        "empty", "unset", F.size("fields").alias("width"),
+        # every row carries its header: the names or the places of the wanted ones
+        F.struct(*index).alias("ix") if index else F.col("fields"),
     )
     # one entry per header change of a file, not per line
     return header_fill(lines).groupBy("source_file").agg(
@@ -122,29 +123,36 @@ def zeek_scan(lines: DataFrame, on_error: str = "fail") -> DataFrame:
     return finish(rows, {}, error, on_error).drop("_bad")
 
 
-def _named_columns(lines: DataFrame, kinds: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+def _named_columns(lines: DataFrame, kinds: list[str], fraction: str, step=derive_once) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """Rows, their cells by column name, and what the cells of times and numbers say (NULL: unreadable)."""
     names = list(dict.fromkeys(name for kind in kinds for name in _FIELDS[kind]))
     rows = zeek_rows(lines, names)
     cells = {f"c{i}": F.get("parts", F.col(f"header.ix.c{i}")) for i in range(len(names))}
-    rows = derive_once(rows, {
+    rows = step(rows, {
         **cells, "_width": F.size("parts"), "_want": F.col("header.width"),
         "_empty": F.col("header.empty"), "_unset": F.col("header.unset"),
     }).drop("parts", "header")
-    return rows, {name: F.col(f"c{i}") for i, name in enumerate(names)}
+    at = {name: f"c{i}" for i, name in enumerate(names)}
+    # values are asked for by columns and by checks, of several types at times: they are read once
+    parsed = {at["ts"]: zeek_epoch(at["ts"], fraction)}
+    parsed |= {at[n]: v.port16(at[n]) for n in ("id.orig_p", "id.resp_p", "status_code") if n in at}
+    counters = ("orig_bytes", "orig_ip_bytes", "resp_bytes", "resp_ip_bytes", "request_body_len", "response_body_len")
+    parsed |= {at[n]: v.count64(at[n]) for n in counters if n in at}
+    rows = step(rows, {f"_of_{c}": value for c, value in parsed.items()})
+    return rows, {n: F.col(c) for n, c in at.items()}, {n: F.col(f"_of_{c}") for n, c in at.items() if c in parsed}
 
 
 def _bad(cell: Column, parsed: Column) -> Column:
     return cell.isNotNull() & parsed.isNull()
 
 
-def _shape(kind: str, c: dict[str, Column], on_error: str, fraction: str) -> Shape:
-    ts = zeek_epoch(c["ts"], fraction)
+def _shape(kind: str, c: dict[str, Column], parsed: dict[str, Column], on_error: str) -> Shape:
     checks = [
         (~(F.col("_width") == F.col("_want")) | F.col("_want").isNull(), "zeek: wrong number of columns"),
-        (_bad(c["ts"], ts), "zeek: bad timestamp"),
-        (_bad(c["id.orig_p"], v.port16(c["id.orig_p"])), "zeek: bad port"),
+        (_bad(c["ts"], parsed["ts"]), "zeek: bad timestamp"),
+        (_bad(c["id.orig_p"], parsed["id.orig_p"]), "zeek: bad port"),
     ]
-    out: dict[str, Column] = {"ts": ts, "srcPort": v.port16(c["id.orig_p"])}
+    out: dict[str, Column] = {"ts": parsed["ts"], "srcPort": parsed["id.orig_p"]}
     ips = {"srcIP": c["id.orig_h"]}
 
     def shown(name: str) -> Column:
@@ -153,36 +161,38 @@ def _shape(kind: str, c: dict[str, Column], on_error: str, fraction: str) -> Sha
     def count(name: str) -> Column:
         return F.when(c[name] != F.col("_unset"), c[name])
 
+    def number(name: str) -> Column:
+        return F.when(c[name] != F.col("_unset"), parsed[name])
+
     if kind in ("dns", "ip"):
-        out["destPort"] = v.port16(c["id.resp_p"])
+        out["destPort"] = parsed["id.resp_p"]
         out["proto"] = v.lower_proto(c["proto"])
-        checks.append((_bad(c["id.resp_p"], v.port16(c["id.resp_p"])), "zeek: bad port"))
+        checks.append((_bad(c["id.resp_p"], parsed["id.resp_p"]), "zeek: bad port"))
     if kind == "dns":
         # the asked server plays no part in DNS rows
         out |= {"query": c["query"], "qtype": shown("qtype_name")}
     elif kind == "ip":
         ips["destIP"] = c["id.resp_h"]
         counters = ["orig_bytes", "orig_ip_bytes", "resp_bytes", "resp_ip_bytes"]
-        out["bytesCount"] = v.byte_total(*[v.count64(count(n)) for n in counters])
+        out["bytesCount"] = v.byte_total(*[number(n) for n in counters])
         out["direction"] = F.lit("unknown")
         out["ja3"] = shown("ja3")
-        checks += [(_bad(count(n), v.count64(count(n))), "zeek: bad byte count") for n in counters]
+        checks += [(_bad(count(n), number(n)), "zeek: bad byte count") for n in counters]
     else:
         out |= {
             "url": F.concat(F.lit("http://"), F.coalesce(c["host"], F.lit("")), F.coalesce(c["uri"], F.lit(""))),
             "method": c["method"],
-            "status": v.port16(count("status_code")),
+            "status": number("status_code"),
             "action": F.lit(None).cast("string"),
-            "bytesIn": v.count64(count("response_body_len")),
-            "bytesOut": v.count64(count("request_body_len")),
+            "bytesIn": number("response_body_len"),
+            "bytesOut": number("request_body_len"),
             "contentType": shown("resp_mime_types"),
             "referrer": shown("referrer"),
             "userAgent": shown("user_agent"),
         }
         strict = on_error == "fail"
-        for name, parse in (("status_code", v.port16), ("response_body_len", v.count64), ("request_body_len", v.count64)):
-            cell = c[name] if strict else count(name)
-            checks.append((_bad(cell, parse(cell)), f"zeek: bad {name}"))
+        for name in ("status_code", "response_body_len", "request_body_len"):
+            checks.append((_bad(c[name], parsed[name]) if strict else _bad(count(name), number(name)), f"zeek: bad {name}"))
     return Shape(out, ips, first_error(*checks))
 
 
@@ -193,13 +203,13 @@ def zeek_events(
 
     Columns the file does not have are blank.  ``fraction`` see ``zeek_epoch``.
     """
-    rows, c = _named_columns(lines, [kind])
-    return one_type(rows, _shape(kind, c, on_error, fraction), F.col("_line"), on_error)
+    rows, c, parsed = _named_columns(lines, [kind], fraction)
+    return one_type(rows, _shape(kind, c, parsed, on_error), F.col("_line"), on_error)
 
 
 def zeek_all(
     lines: DataFrame, kinds: list[str], on_error: str = "fail", fraction: str = "decimal"
 ) -> DataFrame:
     """Every line as an event of each of the kinds, split and read once."""
-    rows, c = _named_columns(lines, kinds)
-    return all_types(rows, {kind: _shape(kind, c, on_error, fraction) for kind in kinds}, F.col("_line"), on_error)
+    rows, c, parsed = _named_columns(lines, kinds, fraction, derive)
+    return all_types(rows, {kind: _shape(kind, c, parsed, on_error) for kind in kinds}, F.col("_line"), on_error)
