@@ -26,8 +26,9 @@ def _alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One alert per order: event, threat ids (part brands) and its page's catalogue."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey")
     listed = items.join(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    # an order has a handful of line items; ids alone are shuffled, what the catalogue says of them is worked out behind
-    per_order = listed.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("threats"))
+    # an order has a handful of line items; ids alone are shuffled, as they are: sets of one or two are longer than their ids.
+    # What the catalogue says of them is worked out behind
+    per_order = listed.select("l_orderkey", "p_brand").repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("threats"))
     entry = ", ".join(f"'{name}', {expr}".replace("p_brand", "b") for name, expr in THREAT.items() if name != "id")
     known = f"transform(filter(threats, b -> {KNOWN_THREAT.replace('p_brand', 'b')}), b -> struct(b AS id, named_struct({entry}) AS t))"
     per_order = per_order.withColumn("catalogue", F.expr(f"map_from_entries({known})"))

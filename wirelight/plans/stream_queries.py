@@ -34,9 +34,10 @@ def _stream(spark: SparkSession, sf: str, columns: dict[str, str]) -> DataFrame:
     return raw.selectExpr(*[f"{expr} AS {name}" for name, expr in columns.items()])
 
 
-def _landed(lines: DataFrame, name: str) -> str:
+def _landed(lines: DataFrame, name: str, compression: str = "none") -> str:
     path = work_dir(lines.sparkSession, name)
-    lines.select("value").write.text(path)
+    # a compressed file can't be split, so it holds no more lines than a task should read; there are as many files as it takes
+    lines.select("value").write.option("compression", compression).option("maxRecordsPerFile", 0 if compression == "none" else 100_000).text(path)
     return path
 
 
@@ -121,7 +122,8 @@ def remembered_longer(spark: SparkSession, sf: str) -> DataFrame:
 def followed(spark: SparkSession, sf: str) -> DataFrame:
     """Alert pages landing in a folder -> CEF lines."""
     out = work_dir(spark, "follow")
-    follow_alerts(stream_pages(spark, _landed(_pages(spark, sf), "pages")), GROUPS, {"cef": f"{out}/cef"}, f"{out}/checkpoint", once=True).awaitTermination()
+    follow_alerts(stream_pages(spark, _landed(_pages(spark, sf), "pages", "gzip")), GROUPS, {"cef": f"{out}/cef"}, f"{out}/checkpoint", once=True,
+                  compression="gzip").awaitTermination()
     lines = spark.read.text(f"{out}/cef").select(F.split("value", r"(?<!\\)\|")[4].alias("id"))
     return lines.agg(F.count("*").alias("lines"), F.countDistinct("id").alias("threats"))
 

@@ -72,7 +72,8 @@ def alert_json(alerts: DataFrame) -> DataFrame:
 
 def per_threat(alerts: DataFrame) -> DataFrame:
     """One row per alert and threat: adds threatId and threat {severity, desc, policy}."""
-    return alerts.select("*", F.explode("threats").alias("threatId", "threat"))
+    # of a plain explode Spark makes a filter that works out the threats once more below
+    return alerts.select("*", F.explode_outer("threats").alias("threatId", "threat")).where(F.col("threatId").isNotNull())
 
 
 def _escape(value: Column, marks: str) -> Column:

@@ -164,11 +164,12 @@ def publish_stream(
 
 
 def follow_alerts(
-    pages: DataFrame, groups: Sequence[ScopeGroup], sinks: Mapping[str, str], checkpoint: str, once: bool = False
+    pages: DataFrame, groups: Sequence[ScopeGroup], sinks: Mapping[str, str], checkpoint: str, once: bool = False,
+    compression: str = "none",
 ) -> StreamingQuery:
-    """Alert pages as they land -> enriched alert lines in every sink."""
+    """Alert pages as they land -> enriched alert lines in every sink (``compression`` see ``write_alerts``)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_alerts(enrich_alerts(explode_pages(batch), groups), sinks, batch_id)
+        write_alerts(enrich_alerts(explode_pages(batch), groups), sinks, batch_id, compression)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **flush_trigger(once)
