@@ -136,9 +136,12 @@ def test_followed_pages_and_lines_may_be_compressed(spark, tmp_path):
 
 
 def test_queries_keep_alert_lines_and_pages_compressed(spark, sf_dir, tmp_path, monkeypatch):
-    monkeypatch.setattr(stream_queries, "work_dir", lambda _, name: f"{tmp_path}/{name}")
-    assert stream_queries.followed(spark, sf_dir).first().lines > 0
-    for folder in ("pages", "follow/cef"):
+    for plans in (alert_queries, stream_queries):
+        monkeypatch.setattr(plans, "work_dir", lambda _, name: f"{tmp_path}/{name}")
+    found = {r.sink: r.lines for r in alert_queries.several_sinks(spark, sf_dir).collect()}
+    assert found["json"] == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert stream_queries.followed(spark, sf_dir).first().lines == found["cef"]
+    for folder in ("cef", "json", "pages", "follow/cef"):
         names = _files(tmp_path / folder)[1]
         assert names and all(n.endswith(".gz") for n in names)
 

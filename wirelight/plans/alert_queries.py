@@ -168,7 +168,7 @@ def json_lines(spark: SparkSession, sf: str) -> DataFrame:
 def several_sinks(spark: SparkSession, sf: str) -> DataFrame:
     """The same alerts written to two folders; lines in each."""
     out = {name: work_dir(spark, name) for name in ("cef", "json")}
-    write_alerts(_enriched(spark, sf), out, 0)
+    write_alerts(_enriched(spark, sf), out, 0, "gzip")
     counts = [spark.read.text(path).agg(F.lit(name).alias("sink"), F.count("*").alias("lines")) for name, path in out.items()]
     return counts[0].unionByName(counts[1])
 
