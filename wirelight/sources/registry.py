@@ -95,8 +95,8 @@ def write_all_types(tagged: DataFrame, path: str, types: list[str], mode: str =
     lines = [F.when(F.col("event_type") == kind, entry_json(kind, entry_columns(kind, tagged.columns))) for kind in types]
     conf, name = tagged.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
     before = conf.get(name)
-    # a task keeps a file open per type; Spark would sort all its events by type otherwise
-    conf.set(name, str(len(types)))
+    # a task keeps a file open per type; Spark sorts all its events by type otherwise, or once it has as many files open
+    conf.set(name, str(len(types) + 1))
     try:
         tagged.select("event_type", F.coalesce(*lines).alias("value")).write.mode(mode).partitionBy("event_type").text(path)
     finally:
